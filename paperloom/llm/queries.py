@@ -8,6 +8,7 @@ from importlib import import_module
 #: and, where SQL can express it, its DuckDB text in ORACLE_SQL.
 MODULES = {
     "op1_quality_rules": "quality",
+    "op2_simhash": "simhash",
 }
 
 QUERIES = {name: getattr(import_module(f"{__package__}.{module}"), name) for name, module in MODULES.items()}
