@@ -9,6 +9,7 @@ from importlib import import_module
 MODULES = {
     "op1_quality_rules": "quality",
     "op2_simhash": "simhash",
+    "op3_bpe": "bpe",
 }
 
 QUERIES = {name: getattr(import_module(f"{__package__}.{module}"), name) for name, module in MODULES.items()}
