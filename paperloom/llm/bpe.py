@@ -3,9 +3,15 @@
 A word is a doubly linked list of symbols; a priority queue holds the adjacent
 pairs that have a merge rank. The least (rank, position) is popped; an entry
 whose symbols have changed since it was pushed is stale and skipped; otherwise
-the right symbol is unlinked and the two new neighbours are pushed. Words
-repeat, so each task keeps a bounded table of words already encoded, cleared
-when full. Decoding concatenates vocabulary strings.
+the right symbol is unlinked and the two new neighbours are pushed. Decoding
+concatenates vocabulary strings.
+
+Words repeat, so each worker keeps two bounded tables: of pre-tokens and their
+ids, and of what stands between two spaces ("chunks") and what is made of its
+ids. A full table becomes the old one, whose entries in use come back; what the
+old one still holds then is forgotten. A space always starts a new pre-token, so a text's ids are its chunks' ids, but for the byte-level pattern
+where white space meets white space around a space: chunks that begin or end
+with white space are odd, and a text that has one is parted whole.
 
 BPE reads the parts of a tokenizer file that the two vocabularies use:
 normalizers NFC, Replace of white space and Lowercase; a Split pre-tokenizer
@@ -25,6 +31,7 @@ import hashlib
 import heapq
 import json
 import unicodedata
+from functools import lru_cache
 
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -35,12 +42,31 @@ from .common import map_rows, table
 SPACE = r"\t-\r \x85\xa0  -     　"
 #: The byte-level pre-tokenizer's own pattern.
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Words in a task's table before it is cleared.
-WORDS_KEPT = 300_000
-#: A longer word is encoded but not kept.
+#: Entries of a table before it becomes the old one.
+WORDS_KEPT, CHUNKS_KEPT = 200_000, 150_000
+#: A longer word or chunk is encoded but not kept.
 LONGEST_KEPT = 64
 
 
+class Table:
+    """A bounded memory of what was computed: a young and an old part."""
+
+    def __init__(self, most: int):
+        self.most, self.young, self.old = most, {}, {}
+
+    def get(self, key: str):
+        x = self.young.get(key)
+        if x is None and (x := self.old.get(key)) is not None:
+            self.put(key, x)
+        return x
+
+    def put(self, key: str, value) -> None:
+        if len(key) <= LONGEST_KEPT:
+            if len(self.young) >= self.most:
+                self.old, self.young = self.young, {}
+            self.young[key] = value
+
+
 def byte_symbols() -> list[str]:
     """The printable character that stands for each byte: itself where it is a
     visible Latin-1 character, else the next one from U+0100."""
@@ -74,7 +100,8 @@ class BPE:
         self.words = regex.compile(spaced(split)).findall
         self.spaces = regex.compile(f"[{SPACE}]+")
         self.joined = "" if spec["decoder"] else " "
-        self.table: dict[str, tuple] = {}
+        self.table = Table(WORDS_KEPT)
+        self.removed = any(s["type"] == "Split" and s["behavior"] == "Removed" for s in steps)
 
     def merge(self, word: str) -> list[int]:
         """Ids of one pre-token."""
@@ -123,14 +150,21 @@ class BPE:
             text = text.lower() if "Σ" not in text else "".join(map(str.lower, text))
         return text
 
+    def word(self, w: str) -> tuple[int, ...]:
+        ids = self.table.get(w)
+        if ids is None:
+            ids = tuple(self.merge(w))
+            self.table.put(w, ids)
+        return ids
+
+    def plain_ids(self, text: str) -> list[int]:
+        """Ids of a text or chunk without special tokens."""
+        return [i for w in self.words(self.normal(text)) for i in self.word(w)]
+
     def encode(self, text: str | None) -> list[int]:
         out: list[int] = []
         for piece in self.pieces(text or ""):
-            if isinstance(piece, int):
-                out.append(piece)
-            else:
-                for w in self.words(self.normal(piece)):
-                    out += self.merge(w)
+            out += [piece] if isinstance(piece, int) else self.plain_ids(piece)
         return out
 
     def decode(self, ids: list[int]) -> str:
@@ -140,43 +174,53 @@ class BPE:
         back = {c: b for b, c in enumerate(self.symbols)}
         return bytes(back[c] for c in text).decode("utf-8", "replace")
 
-    def looked_up(self, words: list[str], make) -> list:
-        """make(ids) of each word, by the table."""
-        kept = self.table
-        out = list(map(kept.get, words))
+    def looked_up(self, text: str, make, kept: Table) -> list:
+        """make(ids) for parts of text, in order; kept: this make's table."""
+        first, *chunks = text.split(" ")
+        out = list(map(kept.young.get, chunks))
         if None in out:
-            for i, w in enumerate(words):
+            for i, c in enumerate(chunks):
                 if out[i] is None:
-                    out[i] = x = kept.get(w) or make(self.merge(w))
-                    if len(w) <= LONGEST_KEPT:
-                        if len(kept) >= WORDS_KEPT:
-                            kept.clear()
-                        kept[w] = x
-        return out
+                    x = kept.get(c)
+                    if x is None:
+                        if not self.removed and (not c or c[0].isspace() or c[-1].isspace()):
+                            return [make(self.plain_ids(text))]
+                        x = make(self.plain_ids(c if self.removed else " " + c))
+                        kept.put(c, x)
+                    out[i] = x
+        return [make(self.plain_ids(first)), *out]
+
+    def each_part(self, text: str | None, make, kept: Table) -> list:
+        """make(ids) for parts of a whole text, special tokens included."""
+        pieces = self.pieces(text or "")
+        if len(pieces) == 1:
+            return self.looked_up(pieces[0], make, kept)
+        return [x for piece in pieces for x in ([make([piece])] if isinstance(piece, int) else self.looked_up(piece, make, kept))]
+
+
+@lru_cache
+def loaded(path: str) -> BPE:
+    """One for each file and worker: its table of words outlives a task."""
+    return BPE(path)
+
+
+@lru_cache
+def chunk_table(path: str, kind: str) -> Table:
+    return Table(CHUNKS_KEPT)
 
 
 def text_digests(path: str):
-    """The function (text -> n_tokens, ids_sha256, decoded_sha256) of a task."""
+    """The function (doc_id, text) -> (doc_id, n_tokens, ids_sha256, decoded_sha256)."""
 
     def make():
-        bpe = BPE(path)
+        bpe, kept = loaded(path), chunk_table(path, "digest")
         strings, joined = bpe.strings, bpe.joined
-        made = lambda ids: (len(ids), " ".join(map(str, ids)), joined.join(strings[i] for i in ids))
+        made = lambda ids: ("".join(f"{i} " for i in ids), "".join(strings[i] + joined for i in ids))
 
         def each(doc_id, text):
-            n, ids, plain = 0, [], []
-            for piece in bpe.pieces(text or ""):
-                if isinstance(piece, int):
-                    n += 1
-                    ids.append(str(piece))
-                    plain.append(strings[piece])
-                elif words := bpe.words(bpe.normal(piece)):
-                    counts, own, own_plain = zip(*bpe.looked_up(words, made))
-                    n += sum(counts)
-                    ids.extend(own)
-                    plain.extend(own_plain)
-            decoded = joined.join(plain) if joined else bpe.decode([int(x) for x in " ".join(ids).split()])
-            return doc_id, n, hashlib.sha256(" ".join(ids).encode()).hexdigest(), hashlib.sha256(decoded.encode("utf-8")).hexdigest()
+            own, plain = map("".join, zip(*bpe.each_part(text, made, kept)))
+            decoded = plain[: len(plain) - len(joined)] if joined else bpe.decode([int(x) for x in own.split()])
+            return doc_id, own.count(" "), hashlib.sha256(own[:-1].encode()).hexdigest(), hashlib.sha256(decoded.encode("utf-8")).hexdigest()
 
         return each
 
@@ -187,10 +231,10 @@ def bpe_encode(docs: DataFrame, path: str) -> DataFrame:
     """(doc_id, ids, decoded): the ids of each whole text and what they decode to."""
 
     def make():
-        bpe = BPE(path)
+        bpe, kept = loaded(path), chunk_table(path, "ids")
 
         def each(doc_id, text):
-            ids = [i for piece in bpe.pieces(text or "") for i in ([piece] if isinstance(piece, int) else [i for x in bpe.looked_up(bpe.words(bpe.normal(piece)), tuple) for i in x])]
+            ids = [i for part in bpe.each_part(text, tuple, kept) for i in part]
             return doc_id, ids, bpe.decode(ids)
 
         return each
