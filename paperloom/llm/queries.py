@@ -10,7 +10,7 @@ MODULES = {
     "op1_quality_rules": "quality",
     "op2_simhash": "simhash",
     "op3_bpe": "bpe",
-    "op3_bpe": "bpe",
+    "op8_packing": "packing",
 }
 
 QUERIES = {name: getattr(import_module(f"{__package__}.{module}"), name) for name, module in MODULES.items()}
