@@ -10,7 +10,10 @@ MODULES = {
     "op1_quality_rules": "quality",
     "op2_simhash": "simhash",
     "op3_bpe": "bpe",
+    "op5_line_dedup": "lines",
+    "op7_url_filters": "urls",
     "op8_packing": "packing",
+    "op9_sharding": "sharding",
 }
 
 QUERIES = {name: getattr(import_module(f"{__package__}.{module}"), name) for name, module in MODULES.items()}
