@@ -14,6 +14,7 @@ MODULES = {
     "op7_url_filters": "urls",
     "op8_packing": "packing",
     "op9_sharding": "sharding",
+    "op10_fingerprints": "syncmers",
 }
 
 QUERIES = {name: getattr(import_module(f"{__package__}.{module}"), name) for name, module in MODULES.items()}
