@@ -11,6 +11,7 @@ MODULES = {
     "op2_simhash": "simhash",
     "op3_bpe": "bpe",
     "op5_line_dedup": "lines",
+    "op6_pii": "pii",
     "op7_url_filters": "urls",
     "op8_packing": "packing",
     "op9_sharding": "sharding",
