@@ -10,6 +10,7 @@ MODULES = {
     "op1_quality_rules": "quality",
     "op2_simhash": "simhash",
     "op3_bpe": "bpe",
+    "op4_lm_scores": "lm",
     "op5_line_dedup": "lines",
     "op6_pii": "pii",
     "op7_url_filters": "urls",
