@@ -20,7 +20,7 @@ serves the asked and the asking side; only those heads are moved besides.
 
 Defined results: a null text is empty: no anchors, an empty fingerprint; two
 empty fingerprints have likeness 1, an empty and a full one 0; a text of fewer
-than K pieces has one anchor, all of it; a null id sorts last; rows of one id
+than K pieces has one anchor, all of it; a null id sorts last (so does -2^63, which stands for it); rows of one id
 are ordered by text hash, and repeated rows are one document, returned as often
 as they are there; a single document is its own next; an empty table gives no
 row; further columns are not read.
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .common import table, written
 
-PIECE, K, S, SKETCH = 3, 5, 2, 128
+PIECE, K, S, SKETCH = 5, 5, 2, 128
 NO_ID = -(1 << 63)
 
 
@@ -41,36 +41,40 @@ def with_anchors(df: DataFrame, text: str, name: str, piece: int = PIECE, k: int
     """df with `name`: array of struct(pos, hash), pos in pieces, in order."""
     w = k - s + 1
     t, inner, at = f"{name}_t", f"{name}_s", f"{name}_i"
+    # elements one by one: slice() would copy the whole array at every place
+    run = lambda of, i, n: [F.get(of, i + j) for j in range(n)]
     df = df.withColumn(t, F.transform(F.regexp_extract_all(text, F.lit(rf"[^\x20\x09-\x0D]{{1,{piece}}}"), 0), lambda x: F.xxhash64(x)))
-    df = df.withColumn(inner, F.when(F.size(t) >= k, F.transform(F.sequence(F.lit(1), F.size(t) - (s - 1)), lambda i: F.xxhash64(F.slice(t, i, s)))))
-    chosen = lambda i: F.array_min(F.slice(inner, i, w)).isin(F.get(inner, i - 1), F.get(inner, i + (w - 2)))
-    df = df.withColumn(at, F.when(F.size(t) >= k, F.filter(F.sequence(F.lit(1), F.size(t) - (k - 1)), chosen)))
-    hashed = lambda i: F.struct((i - 1).alias("pos"), F.xxhash64(F.slice(t, i, k)).alias("hash"))
+    df = df.withColumn(inner, F.when(F.size(t) >= k, F.transform(F.sequence(F.lit(0), F.size(t) - s), lambda i: F.xxhash64(*run(t, i, s)))))
+    chosen = lambda i: F.least(*run(inner, i, w)).isin(F.get(inner, i), F.get(inner, i + (w - 1)))
+    df = df.withColumn(at, F.when(F.size(t) >= k, F.filter(F.sequence(F.lit(0), F.size(t) - k), chosen)))
+    hashed = lambda i: F.struct(i.alias("pos"), F.xxhash64(*run(t, i, k)).alias("hash"))
     whole = F.when(F.size(t) > 0, F.array(F.struct(F.lit(0).alias("pos"), F.xxhash64(t).alias("hash")))).otherwise(F.array().cast("array<struct<pos:int,hash:bigint>>"))
     return df.withColumn(name, F.coalesce(F.transform(at, hashed), whole)).drop(t, inner, at)
 
 
 def with_sketch(df: DataFrame, text: str, name: str) -> DataFrame:
-    """df with `name`: the least SKETCH distinct anchor hashes, 32 bits each."""
+    """df with `name`: the least SKETCH distinct anchor hashes, 32 bits each,
+    as signed integers."""
     df = with_anchors(df, text, f"{name}_a")
-    least = F.slice(F.array_sort(F.array_distinct(F.transform(f"{name}_a", lambda x: F.shiftrightunsigned(x["hash"], 32)))), 1, SKETCH)
+    least = F.slice(F.sort_array(F.array_distinct(F.transform(f"{name}_a", lambda x: F.shiftright(x["hash"], 32).cast("int")))), 1, SKETCH)
     return df.withColumn(name, least).drop(f"{name}_a")
 
 
 def fingerprint(sketch: str) -> Column:
-    return F.array_join(F.transform(sketch, lambda x: F.lower(F.lpad(F.hex(x), 8, "0"))), "")
+    return F.array_join(F.transform(sketch, lambda x: F.lower(F.lpad(F.hex(x.cast("long").bitwiseAND(0xFFFFFFFF)), 8, "0"))), "")
 
 
 def likeness(a: str, b: str) -> Column:
-    both = F.slice(F.array_sort(F.array_union(a, b)), 1, SKETCH)
+    both = F.slice(F.sort_array(F.array_union(a, b)), 1, SKETCH)
     share = F.size(F.array_intersect(F.array_intersect(F.col(a), F.col(b)), both)) / F.size(both)
     return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).otherwise(share)
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """(doc_id, key, text_hash, text): key and text_hash tell documents apart."""
+    """(key, text_hash, text): key, NO_ID for none, and text_hash tell
+    documents apart."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("key"), F.xxhash64(text, F.col("doc_id").isNull()).alias("text_hash"), text.alias("text"))
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("key"), F.xxhash64(text, F.col("doc_id").isNull()).alias("text_hash"), text.alias("text"))
 
 
 def next_documents(rows: DataFrame) -> DataFrame:
@@ -99,14 +103,15 @@ def edited_likeness(docs: DataFrame) -> DataFrame:
     rows = keyed(docs)
     order = written(next_documents(rows), "next")
     asked = order.select(F.col("key").alias("by"), F.col("text_hash").alias("by_hash"), F.col("next_key").alias("key"), F.col("next_hash").alias("text_hash"), F.floor(F.col("n_chars") / 3).cast("int").alias("m"))
-    told = with_sketch(rows.join(asked, ["key", "text_hash"]), "text", "next_sketch")
-    told = told.select(F.col("by").alias("key"), F.col("by_hash").alias("text_hash"), "m", F.substring("text", F.lit(1), F.col("m")).alias("head"), "next_sketch")
+    # both joins read the same columns, so that one exchange of texts serves them
+    own = with_sketch(rows, "text", "sketch")
+    told = own.join(asked, ["key", "text_hash"]).select(F.col("by").alias("key"), F.col("by_hash").alias("text_hash"), "m", F.substring("text", F.lit(1), F.col("m")).alias("head"), F.col("sketch").alias("next_sketch"))
     # repeated rows of the next document give the same answer
     told = told.groupBy("key", "text_hash").agg(F.first(F.struct("m", "head", "next_sketch")).alias("next"))
-    out = rows.join(told, ["key", "text_hash"])
+    out = own.join(told, ["key", "text_hash"])
     n = F.length("text")
-    out = out.select("doc_id", "text", n.cast("long").alias("n_chars"), F.concat(F.substring("text", F.lit(1), n - F.col("next.m")), F.col("next.head")).alias("edited"), F.col("next.next_sketch").alias("next_sketch"))
-    return with_sketch(with_sketch(out, "text", "sketch"), "edited", "edited_sketch")
+    out = out.select(F.nullif("key", F.lit(NO_ID)).alias("doc_id"), "text", "sketch", n.cast("long").alias("n_chars"), F.concat(F.substring("text", F.lit(1), n - F.col("next.m")), F.col("next.head")).alias("edited"), F.col("next.next_sketch").alias("next_sketch"))
+    return with_sketch(out, "edited", "edited_sketch")
 
 
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
