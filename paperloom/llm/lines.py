@@ -110,7 +110,9 @@ def line_dedup(docs: DataFrame, least_chars: int = LEAST_CHARS, least_docs: int
     found = found.select("row", F.split(F.coalesce(F.col("row.text"), F.lit("")), "\n", -1).alias("lines"), F.coalesce("drop_pos", F.array().cast("array<int>")).alias("pos"))
     kept = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("pos"))
     text = F.when(F.size("pos") == 0, F.coalesce(F.col("row.text"), F.lit(""))).otherwise(F.array_join(F.transform(kept, lambda p: F.get("lines", p)), "\n"))
-    return found.select(*(F.col("row")[c].alias(c) for c in own), F.size("lines").cast("long").alias("n_lines"), F.size("pos").cast("long").alias("n_dropped"), text.alias("kept_text"))
+    # apart from the input's own columns, whose names may be these
+    found = found.select("row", F.struct(F.size("lines").cast("long").alias("n_lines"), F.size("pos").cast("long").alias("n_dropped"), text.alias("kept_text")).alias("made"))
+    return found.select(*(F.col("row")[c].alias(c) for c in own), *(F.col("made")[c].alias(c) for c in ("n_lines", "n_dropped", "kept_text")))
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
