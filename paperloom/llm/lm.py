@@ -6,12 +6,14 @@ of log S, where S(b after a) = c(ab) / c(a) if the bigram table has ab, else
 ALPHA * c(b) / N; the first word has c(b) / N alone.
 
 Words are 64-bit hashes, bigrams hashes of two, and tables and exploded rows
-are partitioned by them. The hash space is cut into `slices` that are worked
-off one after another: each explodes only its own bigrams, joins them with
-their counts, sums what is known for each document, and leaves one lookup in
-the unigram table for each document and word. So the disk that a run needs at
-once is a slice's, whatever the corpus. Slices follow the hash alone, together
-they hold every bigram once.
+are partitioned by them. Each text is hashed once. The hash space is cut into
+`slices` that are worked off one after another: each explodes only its own
+bigrams and joins them with their counts. A bigram in the table brings its own
+log c(ab) / c(a), joined to the table beforehand; one that isn't is looked up
+by its second word in the unigram table. Both are summed for each document at
+once, and the slice's tables go. So the disk that a run needs at once is the
+hashed words and a slice, whatever the corpus. Slices follow the hash alone;
+together they hold every bigram once.
 
 No table is broadcast and nothing is collected but the corpus' word count. Free
 style, here DataFrame functions. Counts are partially aggregated before they
@@ -32,13 +34,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, forget, shuffles_dropped, table, written
+from .common import forget, shuffles_dropped, table, written
 
-ALPHA, LEAST, SLICES = 0.4, 2, 6
+ALPHA, LEAST, SLICES = 0.4, 2, 12
 
 
 def word_hashes() -> Column:
-    words = F.split(F.btrim(ascii_lower(F.coalesce(F.col("text"), F.lit(""))), F.lit(" \t\n\x0b\x0c\r")), "[\\x20\\x09-\\x0D]+", -1)
+    words = F.split(F.btrim(F.lower(F.coalesce(F.col("text"), F.lit(""))), F.lit(" \t\n\x0b\x0c\r")), "[\\x20\\x09-\\x0D]+", -1)
     return F.transform(F.filter(words, lambda w: w != ""), lambda w: F.xxhash64(w))
 
 
@@ -51,30 +53,29 @@ def stupid_backoff(docs: DataFrame, alpha: float = ALPHA, least: int = LEAST, sl
     """(doc_id, n_words, score), a row for each of docs."""
     spark = docs.sparkSession
     with shuffles_dropped(spark):
-        rows = keyed(docs).withColumn("w", word_hashes())
-        unigrams = written(rows.select(F.explode("w").alias("h")).groupBy("h").agg(F.count("*").alias("c")), "unigrams")
-        total = unigrams.agg(F.sum("c")).first()[0] or 1
-        first = rows.where(F.size("w") > 0).select("doc", F.get("w", F.lit(0)).alias("h"), F.lit(1).cast("double").alias("times"), F.lit(-math.log(total)).alias("known"))
-        lookups = [written(first, "first")]
+        rows = written(keyed(docs).select("doc_id", "doc", word_hashes().alias("w")), "words")
+        unigrams = written(rows.select(F.explode("w").alias("b")).groupBy("b").agg(F.count("*").alias("cb")), "unigrams")
+        total = unigrams.agg(F.sum("cb")).first()[0] or 1
+        back = F.log("cb") - math.log(total)
+        first = rows.where(F.size("w") > 0).select("doc", F.get("w", F.lit(0)).alias("b")).join(unigrams, "b")
+        sums = [written(first.groupBy("doc").agg(F.sum(back).alias("sum")), "sums")]
         for k in range(slices):
-            pairs = F.zip_with(F.slice("w", F.lit(1), F.size("w") - 1), F.slice("w", F.lit(2), F.size("w") - 1), lambda a, b: F.struct(F.xxhash64(a, b).alias("h"), a.alias("a"), b.alias("b")))
+            n = F.size("w") - 1
+            pairs = F.zip_with(F.slice("w", F.lit(1), n), F.slice("w", F.lit(2), n), lambda a, b: F.struct(F.xxhash64(a, b).alias("h"), a.alias("a"), b.alias("b")))
             own = rows.where(F.size("w") > 1).select("doc", F.explode(F.filter(pairs, lambda p: F.pmod(p["h"], F.lit(slices)) == k)).alias("p"))
             own = written(own.select("doc", "p.h", "p.a", "p.b"), "bigrams")
-            counts = written(own.groupBy("h").agg(F.count("*").alias("c")).where(F.col("c") >= least), "counts")
-            met = own.join(counts, "h", "left")
-            has = F.col("c").isNotNull()
-            met = met.select("doc", F.when(has, F.col("a")).otherwise(F.col("b")).alias("h"), F.when(has, -1.0).otherwise(1.0).alias("times"), F.when(has, F.log("c")).otherwise(F.lit(math.log(alpha) - math.log(total))).alias("known"))
-            lookups.append(written(met.groupBy("h", "doc").agg(F.sum("times").alias("times"), F.sum("known").alias("known")), "lookups"))
-            forget(own, counts)
-        sums = []
-        for part in lookups:
-            found = part.join(unigrams, "h").groupBy("doc").agg(F.sum(F.col("known") + F.col("times") * F.log("c")).alias("sum"))
-            sums.append(written(found, "sums"))
-            forget(part)
-        sums = reduce(DataFrame.unionByName, sums).groupBy("doc").agg(F.sum("sum").alias("sum"))
+            # a is the same in all rows of a bigram
+            counts = own.groupBy("h").agg(F.count("*").alias("c"), F.first("a").alias("a")).where(F.col("c") >= least)
+            known = written(counts.join(unigrams.select(F.col("b").alias("a"), F.col("cb").alias("ca")), "a").select("h", (F.log("c") - F.log("ca")).alias("s")), "known")
+            met = written(own.select("doc", "h", "b").join(known, "h", "left").select("doc", "b", "s"), "met")
+            looked_up = met.where("s is null").select("doc", "b").join(unigrams, "b").select("doc", (back + math.log(alpha)).alias("s"))
+            part = met.where("s is not null").select("doc", "s").unionByName(looked_up)
+            sums.append(written(part.groupBy("doc").agg(F.sum("s").alias("sum")), "sums"))
+            forget(own, known, met)
         # repeated rows have summed together
-        copies = rows.where(F.size("w") > 0).groupBy("doc").agg(F.sum(F.size("w")).alias("words"))
-        scores = written(sums.join(copies, "doc").select("doc", (F.col("sum") / F.col("words")).alias("score")), "scores")
+        words = rows.where(F.size("w") > 0).groupBy("doc").agg(F.sum(F.size("w")).alias("words"))
+        summed = reduce(DataFrame.unionByName, sums).groupBy("doc").agg(F.sum("sum").alias("sum"))
+        scores = written(summed.join(words, "doc").select("doc", (F.col("sum") / F.col("words")).alias("score")), "scores")
     return rows.select("doc_id", "doc", F.size("w").cast("long").alias("n_words")).join(scores, "doc", "left").select("doc_id", "n_words", "score")
 
 
@@ -85,8 +86,7 @@ def op4_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE_SQL = rf"""
 WITH words AS (
-  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''),
-         'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w
+  SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w
   FROM documents),
 placed AS (SELECT doc_id, unnest(w) AS b, unnest(list_concat([NULL], w[:-2])) AS a, unnest(range(len(w))) AS pos FROM words),
 uni AS (SELECT b AS w, count(*) AS c FROM placed GROUP BY b),
