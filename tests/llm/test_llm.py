@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from paperloom.llm import bpe, lines, lm, packing, pii, quality, sharding, simhash, syncmers, urls
+from paperloom.llm import bpe, lines, lm, nearcopies, packing, pii, quality, sharding, simhash, syncmers, urls
 from paperloom.llm.queries import ORACLE_SQL, QUERIES
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -199,6 +199,53 @@ def test_components_of_chains(spark):
     assert all(got[k] == 100 for k in range(100, 151)) and got[9] == 7 and got[2**40] == -5 and got[300] == got[250] == 200 and 3 not in got and 4 not in got
 
 
+# --- pipeline near copies
+
+
+def plain_near_copies(rows):
+    def shingles(text):
+        w = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")))
+        return {" ".join(w[k : k + 5]) for k in range(len(w) - 4)} or ({" ".join(w)} if w else set())
+
+    sets = [shingles(t) for _, t in rows]
+    group = list(range(len(rows)))
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets[:i]):
+            if x == y or 5 * len(x & y) >= 4 * len(x | y) > 0:
+                a, b = sorted((group[i], group[j]))
+                group = [a if g == b else g for g in group]
+    ids = defaultdict(list)
+    for g, (i, _) in zip(group, rows):
+        ids[g].append(i)
+    return Counter((i, min((k for k in ids[g] if k is not None), default=None)) for (i, _), g in zip(rows, group))
+
+
+def test_near_copies_against_all_pairs(spark):
+    r = random.Random(5)
+    rows = list(ROWS)
+    for family in range(6):
+        base = [f"w{r.randrange(5000)}" for _ in range(r.choice((12, 90, 300)))]
+        for k in range(20):
+            words = list(base)
+            for _ in range(r.randrange(1 + len(base) // 18)):
+                words[r.randrange(len(words))] = f"changed{r.randrange(9)}"
+            rows.append((1000 * family + 100 + k, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter((x.doc_id, x.component_id) for x in nearcopies.near_copies(docs).collect())
+    want = plain_near_copies(rows)
+    assert got == want and 20 < sum(a != b for a, b in want.elements())
+    assert nearcopies.near_copies(docs.limit(0)).count() == 0
+
+
+def test_pipeline_drops_near_copies_beyond_three_bits(spark):
+    words = [f"w{k}" for k in range(100)]
+    texts = [" ".join(words), " ".join(words[:86])]
+    a, b = (simhash.fingerprint(simhash.hashes(t)) for t in texts)
+    assert (a ^ b).bit_count() > 3
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in enumerate(texts)], DOCS)
+    assert [x.doc_id for x in corpus_pipeline.near_dedup(spark, docs, "").collect()] == [0]
+
+
 # --- 3 BPE
 
 ODD = ["", " ", "a  b", " a", "a\n b", "a \nb", "a\n \nb", "a\n  b", "a\n ", "  ", "x \t y  \n  z ", "don't WE'LL 's", "a　 b", "Hi<|endoftext|>There <|startoftext|>", "ΑΣ ΣΟΦΟΣ ß İ", "é Å ﬁ ½ Ⅷ", "日本語 123 ٣٤", "a\x1cb\x85c", "😀 👨‍👩‍👧", "x" * 3000, "\x00�"]
