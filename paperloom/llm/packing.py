@@ -5,10 +5,13 @@
 2. Packing only depends on how many pieces have each length, so it is solved on
    that histogram, which has at most `size` rows however large the corpus is.
    solve() builds sequences around the largest length left: it enumerates the
-   undominated fillings of what that leaves free, and applies the best one as
-   often as the counts allow. A branch is pruned when the waste it would add
+   undominated fillings of what that leaves free, fullest first (by the sums
+   that the lengths left can reach), and applies each as often as the counts
+   allow, then less often. A branch is pruned when the waste it would add
    takes the total past the incumbent's, which starts as best-fit decreasing;
-   the search ends when a solution meets the waste bound ceil(sum / size).
+   the search ends when a solution meets the bound (by volume, or by pieces
+   over a half), when all ways are tried, or after STEPS steps.
+   A quick search over few fillings gives the whole one its incumbent.
 3. Pieces of a length are numbered (in salted groups, so that a length that
    very many documents share is no single task) and each number finds its
    sequence and offset in the solved layout by a range: constant work a piece.
@@ -28,6 +31,7 @@ from __future__ import annotations
 import base64
 import zlib
 from collections import Counter
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -39,8 +43,8 @@ from .common import map_rows, table, written
 
 SIZE, END_ID = 2048, 0
 SPECIAL = {"<|endoftext|>": 50256}
-#: Steps of the search beyond its first descent; a longer search gives the
-#: incumbent, which is a whole packing all the same.
+#: Steps of each search (quick, then whole) beyond its first descent; a longer
+#: search gives the incumbent, which is a whole packing all the same.
 STEPS = 4_000
 #: Groups in which the pieces of a length are numbered.
 SALTS = 64
@@ -109,10 +113,43 @@ def best_fit(counts: dict[int, int], size: int) -> Layout:
     return out
 
 
-def fillings(lengths: list[int], left: dict[int, int], free: int, slack: int, most: int = 64):
-    """Undominated ways to fill `free` with lengths (largest first), at most
-    `slack` short of it, fullest first. What could still take a length that is
-    left is dominated by the filling that takes it."""
+def fillings(lengths: list[int], left: dict[int, int], free: int, slack: int) -> Iterator[tuple[int, tuple[int, ...], bool]]:
+    """All ways to fill `free` with lengths (largest first), at most `slack`
+    short of it, fullest first: room left, filling, and whether it is
+    undominated: what could still take a length that is left is dominated by
+    the filling that takes it. The first always is."""
+    mask = (1 << (free + 1)) - 1
+    reach = [1] * (len(lengths) + 1)  # bit t of reach[i]: lengths[i:] can sum to t
+    for i in range(len(lengths) - 1, -1, -1):
+        sums, k, rest = reach[i + 1], 1, min(left[lengths[i]], free // lengths[i])
+        while rest:
+            k = min(k, rest)
+            sums |= sums << (k * lengths[i]) & mask
+            rest -= k
+            k *= 2
+        reach[i] = sums
+
+    def exact(i: int, t: int, fill: tuple[int, ...]):
+        if t == 0:
+            yield fill
+            return
+        for j in range(i, len(lengths)):
+            n = lengths[j]
+            for k in range(min(t // n, left[n]), 0, -1):
+                if reach[j + 1] >> (t - k * n) & 1:
+                    yield from exact(j + 1, t - k * n, fill + (n,) * k)
+            if not reach[j + 1] >> t & 1:
+                return
+
+    for room in range(min(slack, free) + 1):
+        if reach[0] >> (free - room) & 1:
+            for fill in exact(0, free - room, ()):
+                yield room, fill, left_out((room, fill), left, lengths)
+
+
+def few_fillings(lengths: list[int], left: dict[int, int], free: int, slack: int, most: int = 64, best: int = 4) -> list[tuple[int, tuple[int, ...], bool]]:
+    """The fullest of some fillings, those of the largest lengths, for a quick
+    first search that goes back far; fillings() has all."""
     found: list[tuple[int, tuple[int, ...]]] = []
     suffix = [0] * (len(lengths) + 1)
     for i in range(len(lengths) - 1, -1, -1):
@@ -145,7 +182,7 @@ def fillings(lengths: list[int], left: dict[int, int], free: int, slack: int, mo
     grow(0, free, ())
     smallest = lengths[-1] if lengths else free + 1
     whole = [x for x in set(found) if x[0] < smallest or left_out(x, left, lengths)]
-    return sorted(whole, key=lambda x: (x[0], tuple(-n for n in x[1])))
+    return [(*x, True) for x in sorted(whole, key=lambda x: (x[0], tuple(-n for n in x[1])))[:best]]
 
 
 def left_out(filling: tuple[int, tuple[int, ...]], left: dict[int, int], lengths: list[int]) -> bool:
@@ -167,35 +204,39 @@ def solve(counts: dict[int, int], size: int = SIZE, steps: int = STEPS) -> Layou
     most = sum(t for _, t in best)
     least = bound(counts, size)
     total = sum(n * c for n, c in counts.items())
-    left, layout = dict(sorted(counts.items(), reverse=True)), []
-    budget = steps
+    left, layout, budget, first, ways_of = {}, [], steps, True, few_fillings
 
     def descend(made: int, waste: int) -> bool:
         """True when the bound is met and the search is over."""
-        nonlocal best, most, budget
+        nonlocal best, most, budget, first
         # iterative in the common case of one way to go; stack of choices otherwise
         stack = [(iter(choices(waste)), made, waste)]
         while stack:
             ways, made, waste = stack[-1]
             step = next(ways, None)
-            budget -= 1
-            if step is None or budget < 0:
-                if budget < 0:
-                    return True
+            budget -= not first
+            if budget < 0:
+                return True
+            if step is None:
+                first = False
                 stack.pop()
                 if stack:
                     undo()
                 continue
             fill, times, room = step
+            if not times:  # a dominated filling is a step, too
+                continue
             apply(fill, times)
             made2, waste2 = made + times, waste + room * times
             if not left:
+                first = False
                 if made2 < most:
                     best, most = list(layout), made2
                     if most == least:
                         return True
                 undo()
             elif -(-(total + waste2) // size) >= most:
+                first = False
                 undo()  # the waste so far already costs the incumbent's count
             else:
                 stack.append((iter(choices(waste2)), made2, waste2))
@@ -205,13 +246,15 @@ def solve(counts: dict[int, int], size: int = SIZE, steps: int = STEPS) -> Layou
         n = next(iter(left))
         left[n] -= 1
         usable = [m for m in sorted(left, reverse=True) if left[m] and m <= size - n]
-        slack = min(size - n, (most - 1) * size - total - waste)
-        ways = fillings(usable, left, size - n, slack) if slack >= 0 else []
+        others = {m: left[m] for m in usable}
         left[n] += 1
-        for room, rest in ways[:4]:
+        slack = min(size - n, (most - 1) * size - total - waste)
+        for room, rest, whole in ways_of(usable, others, size - n, slack) if slack >= 0 else ():
             fill = (n, *rest)
-            use = Counter(fill)
-            yield fill, min(left[m] // k for m, k in use.items()), room
+            top = min(left[m] // k for m, k in Counter(fill).items())
+            least_times = top - 1 if ways_of is few_fillings else 0
+            for times in range(top, least_times, -1) if whole else (0,):
+                yield fill, times, room
 
     def apply(fill, times):
         layout.append((fill, times))
@@ -228,8 +271,11 @@ def solve(counts: dict[int, int], size: int = SIZE, steps: int = STEPS) -> Layou
         left.clear()
         left.update(ordered)
 
-    if counts and most > least:
-        descend(0, 0)
+    for ways_of in (few_fillings, fillings):
+        if counts and most > least:
+            left, layout = dict(sorted(counts.items(), reverse=True)), []
+            budget, first = steps, True
+            descend(0, 0)
     return best
 
 

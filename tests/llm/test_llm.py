@@ -359,6 +359,13 @@ def test_bin_completion_is_best_on_small_cases():
         assert sum(times for _, times in layout) == best_count(sizes, size)
 
 
+def test_fillings_see_the_exact_one_behind_many():
+    counts = {n: 1 for n in range(701, 1000)} | {700: 40, 348: 40}
+    room, fill, whole = next(packing.fillings(sorted(counts, reverse=True), counts, 1048, 1048))
+    assert room == 0 and sum(fill) == 1048 and whole
+    assert (0, (700, 348), True) in list(packing.fillings(sorted(counts, reverse=True), counts, 1048, 0))
+
+
 # --- 9 sharding, 10 fingerprints
 
 
