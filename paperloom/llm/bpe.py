@@ -7,11 +7,13 @@ the right symbol is unlinked and the two new neighbours are pushed. Decoding
 concatenates vocabulary strings.
 
 Words repeat, so each worker keeps two bounded tables: of pre-tokens and their
-ids, and of what stands between two spaces ("chunks") and what is made of its
+ids, and of what stands between white space ("chunks") and what is made of its
 ids. A full table becomes the old one, whose entries in use come back; what the
-old one still holds then is forgotten. A space always starts a new pre-token, so a text's ids are its chunks' ids, but for the byte-level pattern
-where white space meets white space around a space: chunks that begin or end
-with white space are odd, and a text that has one is parted whole.
+old one still holds then is forgotten. Where white space is in no pre-token, a
+text's ids are its chunks' ids. With the byte-level pattern a space starts a new
+pre-token, but for where white space meets white space around it: chunks (parted
+at spaces there) that begin or end with white space are odd, and a text that has
+one is parted whole.
 
 BPE reads the parts of a tokenizer file that the two vocabularies use:
 normalizers NFC, Replace of white space and Lowercase; a Split pre-tokenizer
@@ -40,10 +42,14 @@ from .common import map_rows, table
 
 #: Unicode's White_Space property, the same for every engine.
 SPACE = r"\t-\r \x85\xa0  -     　"
+#: Parts two texts in one string: neither digits nor byte symbols hold it.
+BAR = "\n"
+#: What str.split() takes for white space, too.
+ODD_SPACE = frozenset("\x1c\x1d\x1e\x1f")
 #: The byte-level pre-tokenizer's own pattern.
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Entries of a table before it becomes the old one.
-WORDS_KEPT, CHUNKS_KEPT = 200_000, 150_000
+WORDS_KEPT, CHUNKS_KEPT = 200_000, 300_000
 #: A longer word or chunk is encoded but not kept.
 LONGEST_KEPT = 64
 
@@ -88,7 +94,11 @@ class BPE:
         self.vocab: dict[str, int] = model["vocab"]
         self.suffix: str = model["end_of_word_suffix"] or ""
         merges = (m if isinstance(m, list) else m.split(" ") for m in model["merges"])
-        self.ranks = {(self.vocab[a], self.vocab[b]): (rank, self.vocab[a + b]) for rank, (a, b) in enumerate(merges)}
+        self.ranks: dict[tuple[int, int], int] = {}
+        self.made: list[int] = []  # what the merge of each rank makes
+        for rank, (a, b) in enumerate(merges):
+            self.ranks[self.vocab[a], self.vocab[b]] = rank
+            self.made.append(self.vocab[a + b])
         self.symbols = byte_symbols()
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.strings = {i: s for s, i in (self.vocab | self.added).items()}
@@ -104,29 +114,34 @@ class BPE:
         self.removed = any(s["type"] == "Split" and s["behavior"] == "Removed" for s in steps)
 
     def merge(self, word: str) -> list[int]:
-        """Ids of one pre-token."""
+        """Ids of one pre-token. An entry of the queue is a rank and a position in
+        one integer; it is stale if the pair there has another rank by now."""
         text = [self.symbols[b] for b in word.encode("utf-8", "replace")]
         text[-1] += self.suffix
         sym = [self.vocab[c] for c in text]
         n = len(sym)
+        rank_of, made = self.ranks.get, self.made
+        queue = [r << 32 | i for i, pair in enumerate(zip(sym, sym[1:])) if (r := rank_of(pair)) is not None]
+        if not queue:
+            return sym
         before, after = list(range(-1, n - 1)), [*range(1, n), -1]
-        ranks = self.ranks
-        queue = [(*found, i, sym[i], sym[i + 1]) for i in range(n - 1) if (found := ranks.get((sym[i], sym[i + 1])))]
-        queue = [(rank, i, new, a, b) for rank, new, i, a, b in queue]
         heapq.heapify(queue)
+        pop, push = heapq.heappop, heapq.heappush
         while queue:
-            _, i, new, a, b = heapq.heappop(queue)
+            entry = pop(queue)
+            i, rank = entry & 0xFFFFFFFF, entry >> 32
             j = after[i]
-            if sym[i] != a or j < 0 or sym[j] != b:
+            if j < 0 or rank_of((sym[i], sym[j])) != rank:
                 continue  # stale
-            sym[i], sym[j] = new, -1
+            new = sym[i] = made[rank]
+            sym[j] = -1
             k = after[i] = after[j]
             if k >= 0:
                 before[k] = i
-                if found := ranks.get((new, sym[k])):
-                    heapq.heappush(queue, (found[0], i, found[1], new, sym[k]))
-            if (h := before[i]) >= 0 and (found := ranks.get((sym[h], new))):
-                heapq.heappush(queue, (found[0], h, found[1], sym[h], new))
+                if (r := rank_of((new, sym[k]))) is not None:
+                    push(queue, r << 32 | i)
+            if (h := before[i]) >= 0 and (r := rank_of((sym[h], new))) is not None:
+                push(queue, r << 32 | h)
         return [s for s in sym if s >= 0]
 
     def pieces(self, text: str) -> list[str | int]:
@@ -161,6 +176,14 @@ class BPE:
         """Ids of a text or chunk without special tokens."""
         return [i for w in self.words(self.normal(text)) for i in self.word(w)]
 
+    def chunk_ids(self, chunk: str) -> list[int] | tuple[int, ...]:
+        """Ids of a chunk without white space, where white space is in no
+        pre-token. ASCII letters are one pre-token and their own NFC form."""
+        if chunk.isascii():
+            low = chunk.lower() if self.lower else chunk
+            return self.word(low) if low.isalpha() else [i for w in self.words(low) for i in self.word(w)]
+        return self.plain_ids(chunk)
+
     def encode(self, text: str | None) -> list[int]:
         out: list[int] = []
         for piece in self.pieces(text or ""):
@@ -176,7 +199,11 @@ class BPE:
 
     def looked_up(self, text: str, make, kept: Table) -> list:
         """make(ids) for parts of text, in order; kept: this make's table."""
-        first, *chunks = text.split(" ")
+        if self.removed:
+            # white space belongs to no pre-token; str.split() also parts at ODD_SPACE
+            first, chunks = None, text.split() if ODD_SPACE.isdisjoint(text) else self.spaces.split(text)
+        else:
+            first, *chunks = text.split(" ")
         out = list(map(kept.young.get, chunks))
         if None in out:
             for i, c in enumerate(chunks):
@@ -185,10 +212,10 @@ class BPE:
                     if x is None:
                         if not self.removed and (not c or c[0].isspace() or c[-1].isspace()):
                             return [make(self.plain_ids(text))]
-                        x = make(self.plain_ids(c if self.removed else " " + c))
+                        x = make(self.chunk_ids(c) if self.removed else self.plain_ids(" " + c))
                         kept.put(c, x)
                     out[i] = x
-        return [make(self.plain_ids(first)), *out]
+        return out if first is None else [make(self.plain_ids(first)), *out]
 
     def each_part(self, text: str | None, make, kept: Table) -> list:
         """make(ids) for parts of a whole text, special tokens included."""
@@ -215,10 +242,13 @@ def text_digests(path: str):
     def make():
         bpe, kept = loaded(path), chunk_table(path, "digest")
         strings, joined = bpe.strings, bpe.joined
-        made = lambda ids: ("".join(f"{i} " for i in ids), "".join(strings[i] + joined for i in ids))
+        # ids and what they decode to in one string, so that a chunk is one object to fetch
+        texts = [f"{i} " for i in range(max(strings) + 1)]
+        made = lambda ids: f"{''.join([texts[i] for i in ids])}{BAR}{joined.join([strings[i] for i in ids])}{joined}{BAR}" if ids else BAR + BAR
 
         def each(doc_id, text):
-            own, plain = map("".join, zip(*bpe.each_part(text, made, kept)))
+            both = "".join(bpe.each_part(text, made, kept)).split(BAR)
+            own, plain = "".join(both[:-1:2]), "".join(both[1::2])
             decoded = plain[: len(plain) - len(joined)] if joined else bpe.decode([int(x) for x in own.split()])
             return doc_id, own.count(" "), hashlib.sha256(own[:-1].encode()).hexdigest(), hashlib.sha256(decoded.encode("utf-8")).hexdigest()
 
