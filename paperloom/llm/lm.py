@@ -1,82 +1,308 @@
 """Language-model scores by stupid backoff, computed relationally.
 
-Word bigrams and unigrams of the whole corpus are counted; an n-gram seen fewer
-than `least` times is in no table. A document's score is the mean over its words
-of log S, where S(b after a) = c(ab) / c(a) if the bigram table has ab, else
-ALPHA * c(b) / N; the first word has c(b) / N alone.
-
-Words are 64-bit hashes, bigrams hashes of two, and tables and exploded rows
-are partitioned by them. Each text is hashed once. The hash space is cut into
-`slices` that are worked off one after another: each explodes only its own
-bigrams and joins them with their counts. A bigram in the table brings its own
-log c(ab) / c(a), joined to the table beforehand; one that isn't is looked up
-by its second word in the unigram table. Both are summed for each document at
-once, and the slice's tables go. So the disk that a run needs at once is the
-hashed words and a slice, whatever the corpus. Slices follow the hash alone;
-together they hold every bigram once.
-
-No table is broadcast and nothing is collected but the corpus' word count. Free
-style, here DataFrame functions. Counts are partially aggregated before they
-are shuffled; the joins have plain scans on both sides, which Spark splits
-where an n-gram is in very many documents.
-
-Defined results: a null or empty text, or one of white space, has no words and
-a null score; repeated rows count in the tables as often as they are there, and
-each is returned; a null id stays; an empty table gives no row; further columns
-are not read.
+Word unigrams and bigrams of the whole corpus are counted. A document's score is
+the mean over its words of log S, where S(b after a) = c(ab) / c(a) if the
+bigram table has ab, else ALPHA * c(b) / N; the first word has c(b) / N alone.
+A bigram seen fewer than `least` (two) times is in no table: as the corpus is
+scored by its own counts, a bigram seen once is known from the scored place
+alone, and left in it would make rare wording look certain.
+
+1. One pass counts words by block and gives each document's place; the blocks'
+   counts are summed by hash into the unigram table. Words that are at least a
+   FREQUENT-th of the corpus (so at most FREQUENT, whatever its size) go to all
+   workers with their counts.
+2. The hash space of bigrams is cut into `slices`, worked off one after another,
+   so that the disk needed at once is a slice's. A slice's bigrams are counted
+   within their document, exploded to rows and dealt and sorted by hash once:
+   that one order is the count table's and the exploded rows', so a merge pass
+   gives each row its count. What needs a frequent word's count is scored there.
+3. Rows that need another word's count are joined with the unigram table by the
+   word; that word isn't frequent, so no key is hot. Rows of a bigram with over
+   `large` rows aren't held: they leave the merge pass uncounted and are
+   joined with their own partially aggregated count.
+
+Sums are of whole numbers (10^-10), so that they don't depend on the order. Free
+style: numpy over Arrow batches for words and the merge pass, DataFrame joins
+and sums. Workers hold a slice of a batch and at most `large` rows of a bigram.
+
+Defined results: words are parted at the contracts' white space, A-Z lower-cased;
+a null or empty text, or one of white space, has no words and a null score;
+repeated rows count in the tables as often as they are there, and each is
+returned; a null id stays; an empty table gives no row; further columns are not
+read.
 """
 
 from __future__ import annotations
 
 import math
 from functools import reduce
+from itertools import chain
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import forget, shuffles_dropped, table, written
+from .common import SLICE_ROWS, forget, shuffles_dropped, table, written
+
+ALPHA, LEAST, SLICES = 0.4, 2, 3
+#: Words that may be sent to all workers: those of at least N / FREQUENT places.
+FREQUENT = 1 << 17
+#: Rows of one bigram that the merge pass holds.
+LARGE = 1 << 20
+#: Words that a worker remembers before it starts anew.
+WORDS_KEPT = 400_000
+UNIT = 10**10
+TF_BITS, WORD_BITS = 20, 22
+SEED = 42
+
+
+class Words(dict):
+    """Word -> number, in order of appearance; hashes by number."""
+
+    def __init__(self):
+        super().__init__()
+        self.hashes: list[int] = []
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self.hashes)
+        self.hashes.append(xxhash.xxh64_intdigest(word, SEED))
+        return n
+
+
+def mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each pair of hashes."""
+    with np.errstate(over="ignore"):
+        h = a * np.uint64(0x9E3779B97F4A7C15) + b
+        h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return h ^ (h >> np.uint64(31))
+
+
+def slices_of(batches):
+    """(ids, texts as bytes) of SLICE_ROWS rows at a time."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, SLICE_ROWS):
+            part = batch.slice(start, SLICE_ROWS)
+            yield part.column(0), [(t or "").encode("utf-8", "surrogatepass") for t in part.column(1).to_pylist()]
+
+
+def numbered(texts: list[bytes], words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """Word numbers of all texts, and how many are each text's."""
+    lists = [t.lower().split() for t in texts]  # bytes: A-Z, and exactly the contracts' white space
+    lens = np.fromiter(map(len, lists), np.int64, len(lists))
+    return np.fromiter(map(words.__getitem__, chain.from_iterable(lists)), np.int64, int(lens.sum())), lens
+
+
+def signed(x: np.ndarray) -> pa.Array:
+    return pa.array(np.ascontiguousarray(x).view(np.int64))
+
+
+def text_hashes(texts: list[bytes]) -> np.ndarray:
+    return np.array([xxhash.xxh64_intdigest(t, SEED) for t in texts], np.uint64)
+
+
+FIRST = "w long, n long, doc_id long, text_hash long, n_words long"
+
+
+def first_pass(docs: DataFrame) -> DataFrame:
+    """FIRST: a row (w, n) for each word of a block; and a row for each document,
+    w its first word (null if it has none), n null."""
+
+    def run(batches):
+        words, counts = Words(), np.zeros(0, np.int64)
+
+        def told():
+            n = len(words.hashes)
+            none = pa.nulls(n, pa.int64())
+            return pa.RecordBatch.from_arrays([signed(np.array(words.hashes, np.uint64)), pa.array(counts[:n]), none, none, none], names=FIRST.replace(" long", "").split(", "))
+
+        for ids, texts in slices_of(batches):
+            got, lens = numbered(texts, words)
+            counts = np.concatenate([counts, np.zeros(max(0, 2 * len(words.hashes) - len(counts)), np.int64)]) if len(words.hashes) > len(counts) else counts
+            if len(got):
+                here = np.bincount(got, minlength=len(counts))
+                counts += here
+            at = np.cumsum(lens) - lens
+            hashes = np.array(words.hashes or [0], np.uint64)
+            first = hashes[got[np.minimum(at, len(got) - 1)]] if len(got) else np.zeros(len(lens), np.uint64)
+            w = pa.array(first.view(np.int64), mask=lens == 0)
+            yield pa.RecordBatch.from_arrays([w, pa.nulls(len(lens), pa.int64()), ids, signed(text_hashes(texts)), pa.array(lens)], names=FIRST.replace(" long", "").split(", "))
+            if len(words.hashes) > WORDS_KEPT:
+                yield told()
+                words, counts = Words(), np.zeros(0, np.int64)
+        if words:
+            yield told()
+
+    return docs.mapInArrow(run, FIRST)
+
+
+ROW = ["h", "doc_id", "text_hash", "code", "a", "b"]
+
+
+def bigrams(docs: DataFrame, k: int, slices: int, frequent: np.ndarray) -> DataFrame:
+    """ROW: the bigrams of slice k, counted within their document. code holds the
+    places of both words among `frequent` from 1, 0 for none, and the count; a
+    and b are the hashes of words that aren't frequent, else 0."""
+    most = (1 << TF_BITS) - 1
+
+    def run(batches):
+        words = Words()
+        hashes, place = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        for ids, texts in slices_of(batches):
+            if len(words.hashes) > WORDS_KEPT:
+                words = Words()
+                hashes, place = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+            got, lens = numbered(texts, words)
+            if len(words.hashes) > len(hashes):
+                new = np.array(words.hashes[len(hashes) :], np.uint64)
+                at = np.minimum(np.searchsorted(frequent, new), max(0, len(frequent) - 1))
+                hit = frequent[at] == new if len(frequent) else np.zeros(len(new), bool)
+                hashes, place = np.concatenate([hashes, new]), np.concatenate([place, np.where(hit, at + 1, 0)])
+            of = np.repeat(np.arange(len(lens)), lens)
+            here = np.flatnonzero(of[:-1] == of[1:])
+            h = mixed(hashes[got[here]], hashes[got[here + 1]])
+            mine = h % np.uint64(slices) == np.uint64(k)
+            here, h = here[mine], h[mine]
+            if not len(h):
+                continue
+            order = np.argsort(h, kind="stable")
+            here, h = here[order], h[order]
+            new = np.flatnonzero((np.diff(h, prepend=~h[:1]) != 0) | (np.diff(of[here], prepend=-1) != 0))
+            tf = np.diff(new, append=len(h))
+            if tf.max() > most:  # a count that code can't hold is several rows
+                times = -(-tf // most)
+                new, whole, tf = np.repeat(new, times), np.repeat(times, times), np.repeat(tf, times)
+                last = np.flatnonzero(np.diff(np.append(new, -1)) != 0)
+                rest = tf - most * (whole - 1)
+                tf = np.full(len(new), most)
+                tf[last] = rest[last]
+            here, h = here[new], h[new]
+            a, b = got[here], got[here + 1]
+            code = place[a] << (TF_BITS + WORD_BITS) | place[b] << TF_BITS | tf
+            rare = lambda x: signed(np.where(place[x] == 0, hashes[x], np.uint64(0)))
+            yield pa.RecordBatch.from_arrays([signed(h), ids.take(pa.array(of[here])), signed(text_hashes(texts)[of[here]]), pa.array(code), rare(a), rare(b)], names=ROW)
+
+    return docs.mapInArrow(run, ", ".join(f"{c} long" for c in ROW))
+
+
+SCORED, BY_COUNT, BIG = 0, 1, 2
+MET = "doc_id long, text_hash long, kind byte, key long, c long, tf long, s long"
+
+
+def merge_pass(frequent: np.ndarray, counts: np.ndarray, total: int, alpha: float, least: int, large: int):
+    """MET of rows sorted by h. Kind SCORED has s; BY_COUNT waits for the count
+    of the word key (c: the bigram's, 0 if it isn't in the table); BIG has its
+    bigram in key and the first word in c."""
+    mask = (1 << WORD_BITS) - 1
+    names = [f.split()[0] for f in MET.split(", ")]
+
+    def pack(ids, text_hash, kind, key, c, tf, s):
+        n = len(tf)
+        return pa.RecordBatch.from_arrays([ids, signed(text_hash), pa.array(np.full(n, kind, np.int8) if np.isscalar(kind) else kind.astype(np.int8)), signed(key), signed(c), pa.array(tf), pa.array(s)], names=names)
+
+    def parts(cols):
+        h, ids, text_hash, code, a, b = cols
+        return h, ids, text_hash, code & ((1 << TF_BITS) - 1), code >> (TF_BITS + WORD_BITS), (code >> TF_BITS) & mask, a, b
+
+    def whole(cols):
+        h, ids, text_hash, tf, ia, ib, a, b = parts(cols)
+        at = np.flatnonzero(np.diff(h, prepend=~h[:1]))
+        c = np.repeat(np.add.reduceat(tf, at), np.diff(at, append=len(h)))
+        known = c >= least
+        need = np.where(known, ia, ib)
+        there = need > 0
+        n = counts[np.maximum(need - 1, 0)] if len(counts) else np.ones(len(h), np.int64)
+        s = np.rint(np.log(np.where(known, c / n, alpha * n / total)) * UNIT).astype(np.int64) * tf
+        return pack(ids, text_hash, np.where(there, SCORED, BY_COUNT), np.where(there, 0, np.where(known, a, b)), np.where(there | ~known, 0, c), np.where(there, 0, tf), np.where(there, s, 0))
+
+    def big(cols):
+        h, ids, text_hash, tf, ia, _, a, _ = parts(cols)
+        word = np.where(ia > 0, frequent.view(np.int64)[np.maximum(ia - 1, 0)], a) if len(frequent) else a
+        return pack(ids, text_hash, BIG, h, word, tf, np.zeros(len(h), np.int64))
+
+    def joined(pieces):
+        return [pa.concat_arrays(x) if isinstance(x[0], pa.Array) else np.concatenate(x) for x in zip(*pieces)]
 
-ALPHA, LEAST, SLICES = 0.4, 2, 12
+    def cut(cols, lo, hi):
+        return [c.slice(lo, hi - lo) if isinstance(c, pa.Array) else c[lo:hi] for c in cols]
 
+    def run(batches):
+        kept, held, hot = [], 0, None  # rows of the last bigram so far; a bigram that is too large
+        for batch in batches:
+            cols = [batch.column(i) if i == 1 else batch.column(i).to_numpy(zero_copy_only=False) for i in range(len(ROW))]
+            n = len(cols[0])
+            if not n:
+                continue
+            begin = 0
+            if hot is not None:
+                begin = int(np.searchsorted(cols[0], hot, "right"))
+                if begin:
+                    yield big(cut(cols, 0, begin))
+                if begin == n:
+                    continue
+                hot = None
+            last = int(np.searchsorted(cols[0], cols[0][-1]))
+            if last > begin or (kept and kept[-1][0][-1] != cols[0][-1]):
+                done = [*kept, cut(cols, begin, max(begin, last))]
+                done = joined([p for p in done if len(p[0])])
+                yield whole(done)
+                kept, held = [], 0
+            last = max(begin, last)
+            kept.append(cut(cols, last, n))
+            held += n - last
+            if held > large:
+                hot = cols[0][-1]
+                yield from (big(p) for p in kept)
+                kept, held = [], 0
+        if kept:
+            yield whole(joined(kept))
 
-def word_hashes() -> Column:
-    words = F.split(F.btrim(F.lower(F.coalesce(F.col("text"), F.lit(""))), F.lit(" \t\n\x0b\x0c\r")), "[\\x20\\x09-\\x0D]+", -1)
-    return F.transform(F.filter(words, lambda w: w != ""), lambda w: F.xxhash64(w))
+    return run
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """doc tells rows of one id with different texts apart."""
-    return docs.select("doc_id", F.xxhash64("doc_id", F.coalesce(F.col("text"), F.lit(""))).alias("doc"), "text")
+def fixed(log) -> F.Column:
+    return F.round(log * UNIT).cast("long")
 
 
-def stupid_backoff(docs: DataFrame, alpha: float = ALPHA, least: int = LEAST, slices: int = SLICES) -> DataFrame:
+def stupid_backoff(docs: DataFrame, alpha: float = ALPHA, least: int = LEAST, slices: int = SLICES, frequent: int = FREQUENT, large: int = LARGE) -> DataFrame:
     """(doc_id, n_words, score), a row for each of docs."""
+    if least < 1 or not 0 < frequent < 1 << WORD_BITS or large < 1:
+        raise ValueError(f"least and large are 1 or more, frequent is 1 to {(1 << WORD_BITS) - 1}")
     spark = docs.sparkSession
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     with shuffles_dropped(spark):
-        rows = written(keyed(docs).select("doc_id", "doc", word_hashes().alias("w")), "words")
-        unigrams = written(rows.select(F.explode("w").alias("b")).groupBy("b").agg(F.count("*").alias("cb")), "unigrams")
-        total = unigrams.agg(F.sum("cb")).first()[0] or 1
-        back = F.log("cb") - math.log(total)
-        first = rows.where(F.size("w") > 0).select("doc", F.get("w", F.lit(0)).alias("b")).join(unigrams, "b")
-        sums = [written(first.groupBy("doc").agg(F.sum(back).alias("sum")), "sums")]
+        seen = written(first_pass(docs), "words")
+        places = seen.where("n is null").select("doc_id", "text_hash", "n_words", "w")
+        unigrams = written(seen.where("n is not null").groupBy("w").agg(F.sum("n").alias("cw")), "unigrams")
+        total = unigrams.agg(F.sum("cw")).first()[0] or 1
+        # at most `frequent` rows: their counts add up to no more than total
+        often = sorted((w % (1 << 64), c) for w, c in unigrams.where(F.col("cw") * frequent >= total).collect())
+        hashes, counts = np.array([w for w, _ in often], np.uint64), np.array([c for _, c in often], np.int64)
+        met = []
         for k in range(slices):
-            n = F.size("w") - 1
-            pairs = F.zip_with(F.slice("w", F.lit(1), n), F.slice("w", F.lit(2), n), lambda a, b: F.struct(F.xxhash64(a, b).alias("h"), a.alias("a"), b.alias("b")))
-            own = rows.where(F.size("w") > 1).select("doc", F.explode(F.filter(pairs, lambda p: F.pmod(p["h"], F.lit(slices)) == k)).alias("p"))
-            own = written(own.select("doc", "p.h", "p.a", "p.b"), "bigrams")
-            # a is the same in all rows of a bigram
-            counts = own.groupBy("h").agg(F.count("*").alias("c"), F.first("a").alias("a")).where(F.col("c") >= least)
-            known = written(counts.join(unigrams.select(F.col("b").alias("a"), F.col("cb").alias("ca")), "a").select("h", (F.log("c") - F.log("ca")).alias("s")), "known")
-            met = written(own.select("doc", "h", "b").join(known, "h", "left").select("doc", "b", "s"), "met")
-            looked_up = met.where("s is null").select("doc", "b").join(unigrams, "b").select("doc", (back + math.log(alpha)).alias("s"))
-            part = met.where("s is not null").select("doc", "s").unionByName(looked_up)
-            sums.append(written(part.groupBy("doc").agg(F.sum("s").alias("sum")), "sums"))
-            forget(own, known, met)
-        # repeated rows have summed together
-        words = rows.where(F.size("w") > 0).groupBy("doc").agg(F.sum(F.size("w")).alias("words"))
-        summed = reduce(DataFrame.unionByName, sums).groupBy("doc").agg(F.sum("sum").alias("sum"))
-        scores = written(summed.join(words, "doc").select("doc", (F.col("sum") / F.col("words")).alias("score")), "scores")
-    return rows.select("doc_id", "doc", F.size("w").cast("long").alias("n_words")).join(scores, "doc", "left").select("doc_id", "n_words", "score")
+            rows = bigrams(docs, k, slices, hashes).repartition(parts, "h").sortWithinPartitions("h")
+            rows = rows.mapInArrow(merge_pass(hashes, counts, total, alpha, least, large), MET)
+            met.append(written(rows.groupBy("doc_id", "text_hash", "kind", "key", "c").agg(F.sum("tf").alias("tf"), F.sum("s").alias("s")), "met"))
+        met = reduce(DataFrame.unionByName, met)
+        word = lambda c: unigrams.select(F.col("w").alias(c), "cw")
+        waits = met.where(F.col("kind") == BY_COUNT).select("doc_id", "text_hash", "key", "c", "tf").join(word("key"), "key")
+        waits = waits.select("doc_id", "text_hash", (F.col("tf") * fixed(F.when(F.col("c") > 0, F.log(F.col("c") / F.col("cw"))).otherwise(F.log(F.col("cw") * alpha / total)))).alias("s"))
+        rows = met.where(F.col("kind") == BIG).select("doc_id", "text_hash", "key", "c", "tf")
+        big = rows.groupBy("key").agg(F.sum("tf").alias("n"), F.first("c").alias("a")).join(word("a"), "a")
+        # few bigrams are that large; Spark broadcasts them by their size, or splits the join's hot keys
+        big = rows.join(big.select("key", fixed(F.log(F.col("n") / F.col("cw"))).alias("each")), "key").select("doc_id", "text_hash", (F.col("tf") * F.col("each")).alias("s"))
+        first = places.where("w is not null").join(word("w"), "w").select("doc_id", "text_hash", fixed(F.log(F.col("cw") / total)).alias("s"))
+        summed = [x.select("doc_id", "text_hash", "s", F.lit(0).cast("long").alias("copies"), F.lit(0).cast("long").alias("n_words")) for x in (met.where(F.col("kind") == SCORED), waits, big, first)]
+        summed.append(places.select("doc_id", "text_hash", F.lit(0).cast("long").alias("s"), F.lit(1).cast("long").alias("copies"), "n_words"))
+        sums = reduce(DataFrame.unionByName, summed).groupBy("doc_id", "text_hash").agg(*(F.sum(c).alias(c) for c in ("s", "copies", "n_words")))
+        sums = written(sums, "sums")
+        forget(seen, unigrams, met)
+    # repeated rows have summed together
+    score = F.when(F.col("n_words") > 0, F.col("s") / UNIT / F.col("n_words"))
+    return sums.select("doc_id", (F.col("n_words") / F.col("copies")).cast("long").alias("n_words"), score.alias("score"), F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("doc_id", "n_words", "score")
 
 
 def op4_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,17 +312,18 @@ def op4_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE_SQL = rf"""
 WITH words AS (
-  SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                   '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w
   FROM documents),
 placed AS (SELECT doc_id, unnest(w) AS b, unnest(list_concat([NULL], w[:-2])) AS a, unnest(range(len(w))) AS pos FROM words),
 uni AS (SELECT b AS w, count(*) AS c FROM placed GROUP BY b),
 bi AS (SELECT a, b, count(*) AS c FROM placed WHERE pos > 0 GROUP BY a, b HAVING count(*) >= {LEAST}),
 n AS (SELECT count(*) AS total FROM placed),
 scored AS (
-  SELECT p.doc_id, ln(CASE WHEN pos = 0 THEN ub.c / total WHEN bi.c IS NOT NULL THEN bi.c / ua.c
-                      ELSE {ALPHA} * ub.c / total END) AS s
+  SELECT p.doc_id, round({UNIT} * ln(CASE WHEN pos = 0 THEN ub.c / total WHEN bi.c IS NOT NULL THEN bi.c / ua.c
+                                     ELSE {ALPHA} * ub.c / total END))::BIGINT AS s
   FROM placed p CROSS JOIN n JOIN uni ub ON p.b = ub.w LEFT JOIN uni ua ON p.a = ua.w
        LEFT JOIN bi ON p.a = bi.a AND p.b = bi.b AND p.pos > 0)
-SELECT w.doc_id, len(w.w) AS n_words, round(s.score, 6) AS score
-FROM words w LEFT JOIN (SELECT doc_id, avg(s) AS score FROM scored GROUP BY doc_id) s ON w.doc_id = s.doc_id
+SELECT w.doc_id, len(w.w) AS n_words, round(s.s::DOUBLE / {UNIT} / len(w.w), 6) AS score
+FROM words w LEFT JOIN (SELECT doc_id, sum(s) AS s FROM scored GROUP BY doc_id) s ON w.doc_id = s.doc_id
 """
