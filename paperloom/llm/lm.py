@@ -34,9 +34,7 @@ read.
 
 from __future__ import annotations
 
-import math
 from functools import reduce
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -46,38 +44,67 @@ from pyspark.sql import functions as F
 
 from .common import SLICE_ROWS, forget, shuffles_dropped, table, written
 
-ALPHA, LEAST, SLICES = 0.4, 2, 3
+ALPHA, LEAST, SLICES = 0.4, 2, 4
 #: Words that may be sent to all workers: those of at least N / FREQUENT places.
 FREQUENT = 1 << 17
 #: Rows of one bigram that the merge pass holds.
 LARGE = 1 << 20
-#: Words that a worker remembers before it starts anew.
-WORDS_KEPT = 400_000
+#: Words that a worker counts at a time.
+WORDS_HELD = 1 << 21
 UNIT = 10**10
 TF_BITS, WORD_BITS = 20, 22
 SEED = 42
 
 
-class Words(dict):
-    """Word -> number, in order of appearance; hashes by number."""
-
-    def __init__(self):
-        super().__init__()
-        self.hashes: list[int] = []
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = n = len(self.hashes)
-        self.hashes.append(xxhash.xxh64_intdigest(word, SEED))
-        return n
+def finished(h: np.ndarray) -> np.ndarray:
+    """Spreads the bits of each 64-bit integer."""
+    with np.errstate(over="ignore"):
+        h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return h ^ (h >> np.uint64(31))
 
 
 def mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each pair of hashes."""
     with np.errstate(over="ignore"):
-        h = a * np.uint64(0x9E3779B97F4A7C15) + b
-        h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        return h ^ (h >> np.uint64(31))
+        return finished(a * np.uint64(0x9E3779B97F4A7C15) + b)
+
+
+#: A 64-bit number for each byte, A-Z like a-z; 0 for white space.
+BYTES = finished(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+BYTES[65:91] = BYTES[97:123]
+BYTES[[32, *range(9, 14)]] = 0
+ODD = 0xD1342543DE82EF95
+
+
+def powers(base: int, n: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(n, base, np.uint64))])
+
+
+class WordHashes:
+    """Hashes of the words of many texts at once: a polynomial in an odd number,
+    by differences of one running sum over all bytes, then mixed with the
+    word's length. Nothing is remembered but the powers."""
+
+    def __init__(self):
+        self.up = self.down = np.zeros(0, np.uint64)
+
+    def __call__(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(hashes of all words, how many are each text's)."""
+        data = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
+        n = len(data)
+        if n > len(self.up):
+            self.up, self.down = powers(ODD, 2 * n), powers(pow(ODD, -1, 1 << 64), 2 * n)
+        values = BYTES[data]
+        inside = np.concatenate([[False], values != 0])
+        edges = np.flatnonzero(inside[1:] != inside[:-1])
+        starts, ends = edges[::2], edges[1::2]
+        with np.errstate(over="ignore"):
+            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values * self.up[:n])])
+            h = (sums[ends] - sums[starts]) * self.down[starts] + (ends - starts).astype(np.uint64)
+        text_ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
+        return finished(h), np.diff(np.searchsorted(starts, text_ends), prepend=0)
 
 
 def slices_of(batches):
@@ -88,22 +115,16 @@ def slices_of(batches):
             yield part.column(0), [(t or "").encode("utf-8", "surrogatepass") for t in part.column(1).to_pylist()]
 
 
-def numbered(texts: list[bytes], words: Words) -> tuple[np.ndarray, np.ndarray]:
-    """Word numbers of all texts, and how many are each text's."""
-    lists = [t.lower().split() for t in texts]  # bytes: A-Z, and exactly the contracts' white space
-    lens = np.fromiter(map(len, lists), np.int64, len(lists))
-    return np.fromiter(map(words.__getitem__, chain.from_iterable(lists)), np.int64, int(lens.sum())), lens
-
-
 def signed(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64))
 
 
 def text_hashes(texts: list[bytes]) -> np.ndarray:
-    return np.array([xxhash.xxh64_intdigest(t, SEED) for t in texts], np.uint64)
+    """Tell texts of one id apart."""
+    return np.array([xxhash.xxh32_intdigest(t, SEED) for t in texts], np.int64)
 
 
-FIRST = "w long, n long, doc_id long, text_hash long, n_words long"
+FIRST = ["w", "n", "doc_id", "text_hash", "n_words"]
 
 
 def first_pass(docs: DataFrame) -> DataFrame:
@@ -111,31 +132,55 @@ def first_pass(docs: DataFrame) -> DataFrame:
     w its first word (null if it has none), n null."""
 
     def run(batches):
-        words, counts = Words(), np.zeros(0, np.int64)
+        hashes, kept, held = WordHashes(), [], 0
 
-        def told():
-            n = len(words.hashes)
-            none = pa.nulls(n, pa.int64())
-            return pa.RecordBatch.from_arrays([signed(np.array(words.hashes, np.uint64)), pa.array(counts[:n]), none, none, none], names=FIRST.replace(" long", "").split(", "))
+        def counted():
+            w, n = np.unique(np.concatenate(kept), return_counts=True)
+            none = pa.nulls(len(w), pa.int64())
+            return pa.RecordBatch.from_arrays([signed(w), pa.array(n), none, none, none], names=FIRST)
 
         for ids, texts in slices_of(batches):
-            got, lens = numbered(texts, words)
-            counts = np.concatenate([counts, np.zeros(max(0, 2 * len(words.hashes) - len(counts)), np.int64)]) if len(words.hashes) > len(counts) else counts
-            if len(got):
-                here = np.bincount(got, minlength=len(counts))
-                counts += here
-            at = np.cumsum(lens) - lens
-            hashes = np.array(words.hashes or [0], np.uint64)
-            first = hashes[got[np.minimum(at, len(got) - 1)]] if len(got) else np.zeros(len(lens), np.uint64)
-            w = pa.array(first.view(np.int64), mask=lens == 0)
-            yield pa.RecordBatch.from_arrays([w, pa.nulls(len(lens), pa.int64()), ids, signed(text_hashes(texts)), pa.array(lens)], names=FIRST.replace(" long", "").split(", "))
-            if len(words.hashes) > WORDS_KEPT:
-                yield told()
-                words, counts = Words(), np.zeros(0, np.int64)
-        if words:
-            yield told()
-
-    return docs.mapInArrow(run, FIRST)
+            w, lens = hashes(texts)
+            first = w[np.minimum(np.cumsum(lens) - lens, len(w) - 1)] if len(w) else np.zeros(len(lens), np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(first.view(np.int64), mask=lens == 0), pa.nulls(len(lens), pa.int64()), ids, pa.array(text_hashes(texts)), pa.array(lens)], names=FIRST)
+            kept.append(w)
+            held += len(w)
+            if held >= WORDS_HELD:
+                yield counted()
+                kept, held = [], 0
+        if held:
+            yield counted()
+
+    return docs.mapInArrow(run, ", ".join(f"{c} long" for c in FIRST))
+
+
+class Places:
+    """Places from 1 of hashes in a list, 0 for none: a table by the hash's
+    leading bits, and a search among the few that share them."""
+
+    BITS = 20
+
+    def __init__(self, listed: np.ndarray):
+        self.listed, shift = listed, np.uint64(64 - self.BITS)
+        self.shift = shift
+        self.slots = np.zeros(1 << self.BITS, np.int32)
+        slot, first = np.unique(listed >> shift, return_index=True)
+        self.slots[slot.astype(np.int64)] = first + 1
+        rest = np.ones(len(listed), bool)
+        rest[first] = False
+        self.rest = np.flatnonzero(rest)
+        self.ends = np.concatenate([np.zeros(1, np.uint64), listed])
+
+    def __call__(self, h: np.ndarray) -> np.ndarray:
+        place = self.slots[(h >> self.shift).astype(np.int64)].astype(np.int64)
+        missed = np.flatnonzero((place > 0) & (self.ends[place] != h))
+        place[missed] = 0
+        if len(self.rest) and len(missed):
+            own = self.listed[self.rest]
+            at = np.minimum(np.searchsorted(own, h[missed]), len(own) - 1)
+            hit = own[at] == h[missed]
+            place[missed[hit]] = self.rest[at[hit]] + 1
+        return place
 
 
 ROW = ["h", "doc_id", "text_hash", "code", "a", "b"]
@@ -148,41 +193,33 @@ def bigrams(docs: DataFrame, k: int, slices: int, frequent: np.ndarray) -> DataF
     most = (1 << TF_BITS) - 1
 
     def run(batches):
-        words = Words()
-        hashes, place = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        hashes, places = WordHashes(), Places(frequent)
         for ids, texts in slices_of(batches):
-            if len(words.hashes) > WORDS_KEPT:
-                words = Words()
-                hashes, place = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-            got, lens = numbered(texts, words)
-            if len(words.hashes) > len(hashes):
-                new = np.array(words.hashes[len(hashes) :], np.uint64)
-                at = np.minimum(np.searchsorted(frequent, new), max(0, len(frequent) - 1))
-                hit = frequent[at] == new if len(frequent) else np.zeros(len(new), bool)
-                hashes, place = np.concatenate([hashes, new]), np.concatenate([place, np.where(hit, at + 1, 0)])
+            w, lens = hashes(texts)
             of = np.repeat(np.arange(len(lens)), lens)
             here = np.flatnonzero(of[:-1] == of[1:])
-            h = mixed(hashes[got[here]], hashes[got[here + 1]])
+            h = mixed(w[here], w[here + 1])
             mine = h % np.uint64(slices) == np.uint64(k)
             here, h = here[mine], h[mine]
             if not len(h):
                 continue
             order = np.argsort(h, kind="stable")
-            here, h = here[order], h[order]
-            new = np.flatnonzero((np.diff(h, prepend=~h[:1]) != 0) | (np.diff(of[here], prepend=-1) != 0))
-            tf = np.diff(new, append=len(h))
+            sorted_h, doc = h[order], of[here[order]]
+            new = np.flatnonzero((np.diff(sorted_h, prepend=~sorted_h[:1]) != 0) | (np.diff(doc, prepend=-1) != 0))
+            tf = np.zeros(len(h), np.int64)
+            tf[order[new]] = np.diff(new, append=len(h))
+            once = np.flatnonzero(tf)  # in the documents' order again, whose columns then compress
+            here, h, tf = here[once], h[once], tf[once]
             if tf.max() > most:  # a count that code can't hold is several rows
                 times = -(-tf // most)
-                new, whole, tf = np.repeat(new, times), np.repeat(times, times), np.repeat(tf, times)
-                last = np.flatnonzero(np.diff(np.append(new, -1)) != 0)
-                rest = tf - most * (whole - 1)
-                tf = np.full(len(new), most)
-                tf[last] = rest[last]
-            here, h = here[new], h[new]
-            a, b = got[here], got[here + 1]
-            code = place[a] << (TF_BITS + WORD_BITS) | place[b] << TF_BITS | tf
-            rare = lambda x: signed(np.where(place[x] == 0, hashes[x], np.uint64(0)))
-            yield pa.RecordBatch.from_arrays([signed(h), ids.take(pa.array(of[here])), signed(text_hashes(texts)[of[here]]), pa.array(code), rare(a), rare(b)], names=ROW)
+                part = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+                here, h, tf = np.repeat(here, times), np.repeat(h, times), np.minimum(most, np.repeat(tf, times) - part * most)
+            a, b = w[here], w[here + 1]
+            ia, ib = places(a), places(b)
+            code = ia << (TF_BITS + WORD_BITS) | ib << TF_BITS | tf
+            a[ia > 0], b[ib > 0] = 0, 0
+            doc = of[here]
+            yield pa.RecordBatch.from_arrays([signed(h), ids.take(pa.array(doc)), pa.array(text_hashes(texts)[doc]), pa.array(code), signed(a), signed(b)], names=ROW)
 
     return docs.mapInArrow(run, ", ".join(f"{c} long" for c in ROW))
 
@@ -200,7 +237,7 @@ def merge_pass(frequent: np.ndarray, counts: np.ndarray, total: int, alpha: floa
 
     def pack(ids, text_hash, kind, key, c, tf, s):
         n = len(tf)
-        return pa.RecordBatch.from_arrays([ids, signed(text_hash), pa.array(np.full(n, kind, np.int8) if np.isscalar(kind) else kind.astype(np.int8)), signed(key), signed(c), pa.array(tf), pa.array(s)], names=names)
+        return pa.RecordBatch.from_arrays([ids, pa.array(text_hash), pa.array(np.full(n, kind, np.int8) if np.isscalar(kind) else kind.astype(np.int8)), signed(key), signed(c), pa.array(tf), pa.array(s)], names=names)
 
     def parts(cols):
         h, ids, text_hash, code, a, b = cols
@@ -318,7 +355,7 @@ WITH words AS (
 placed AS (SELECT doc_id, unnest(w) AS b, unnest(list_concat([NULL], w[:-2])) AS a, unnest(range(len(w))) AS pos FROM words),
 uni AS (SELECT b AS w, count(*) AS c FROM placed GROUP BY b),
 bi AS (SELECT a, b, count(*) AS c FROM placed WHERE pos > 0 GROUP BY a, b HAVING count(*) >= {LEAST}),
-n AS (SELECT count(*) AS total FROM placed),
+n AS (SELECT count(b) AS total FROM placed),
 scored AS (
   SELECT p.doc_id, round({UNIT} * ln(CASE WHEN pos = 0 THEN ub.c / total WHEN bi.c IS NOT NULL THEN bi.c / ua.c
                                      ELSE {ALPHA} * ub.c / total END))::BIGINT AS s
