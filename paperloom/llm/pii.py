@@ -3,8 +3,9 @@
 The base patterns (email, ip, card, phone) are found first and always stay. In
 the windows between them a semi-Markov CRF looks for what they miss: written-out
 addresses ("ann at example dot com"), numbers without a plus, spaced octets,
-national numbers and bank accounts. A candidate segment is up to MAX_ATOMS atoms
-long and is scored whole: its digit groups, checksums, cue words to its left and
+national numbers and bank accounts. A candidate segment is up to max_atoms atoms
+long (that bound on an entity is the method's; None lifts it, and segments then
+end where their digits or gaps allow no entity) and is scored whole: its digit groups, checksums, cue words to its left and
 what adjoins it, each with a weight for each kind. Viterbi over segments picks
 boundaries and kinds jointly; an atom outside any entity scores 0, so a segment
 is only kept where the model finds it likelier than none.
@@ -40,6 +41,8 @@ BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "ssn", "iban")
 EXAMPLES, EPOCHS, SEED = 400, 40, 7
 MAX_ATOMS = 20
+#: No kind has more digits.
+MAX_DIGITS = 34
 
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 LOCAL = re.compile(r"[A-Za-z0-9._%+-]+$")
@@ -75,7 +78,7 @@ def emails(text: str) -> list[tuple[int, int]]:
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     out = [("email", a, b) for a, b in emails(text)] if "@" in text else []
     if DIGITS.search(text):
-        out += [("ip", m.start(), m.end()) for m in IP.finditer(text) if all(len(p.lstrip("0")) < 4 and int(p) <= 255 for p in m[0].split("."))]
+        out += [("ip", m.start(), m.end()) for m in IP.finditer(text) if all(len(d := p.lstrip("0")) < 4 and int(d or 0) <= 255 for p in m[0].split("."))]
         for m in CARD.finditer(text):
             if m.end() - m.start() >= 14 and 14 <= len(d := re.sub("[ -]", "", m[0])) <= 19 and luhn(d):
                 out.append(("card", m.start(), m.end()))
@@ -133,7 +136,7 @@ def span_features(text: str, a: int, b: int) -> list[str]:
     return out
 
 
-def candidates(text: str, lo: int, hi: int):
+def candidates(text: str, lo: int, hi: int, max_atoms: int | None = MAX_ATOMS):
     """Atoms of text[lo:hi], and (first, last + 1) atoms of each segment that
     could be an entity."""
     atoms = [m.span() for m in ATOM.finditer(text, lo, hi)]
@@ -142,15 +145,17 @@ def candidates(text: str, lo: int, hi: int):
         if not (text[a].isalnum() or text[a] in "+("):
             continue
         digits, spoken = 0, False
-        for j in range(i, min(i + MAX_ATOMS, len(atoms))):
+        for j in range(i, len(atoms) if max_atoms is None else min(i + max_atoms, len(atoms))):
             b, e = atoms[j]
             if j > i and (gap := text[atoms[j - 1][1] : b]) and (len(gap) > 1 or gap == "\n"):
                 break
             if text[b] in "0123456789":
                 digits += e - b
+                if digits > MAX_DIGITS:
+                    break
             elif text[b] == "@" or text[b:e].lower() == "at":
                 spoken = True
-            if text[e - 1].isalnum() and (7 <= digits <= 34 or (spoken and EMAIL_LIKE.fullmatch(text, a, e))):
+            if text[e - 1].isalnum() and (7 <= digits or (spoken and EMAIL_LIKE.fullmatch(text, a, e))):
                 out.append((i, j + 1))
     return atoms, out
 
@@ -169,14 +174,17 @@ def windows(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[int, int
     if not found:
         return []
     out: list[list[int]] = []
-    for a, b in found:
+    for a, b in found:  # by their start: what the last window reaches isn't walked again
         a, b = max(0, a - WINDOW), min(len(text), b + WINDOW)
-        while a and not text[a - 1].isspace():
+        end = out[-1][1] if out else -1
+        if b <= end:
+            continue
+        while a > end and a and not text[a - 1].isspace():
             a -= 1
         while b < len(text) and not text[b].isspace():
             b += 1
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(b, out[-1][1])
+        if a <= end:
+            out[-1][1] = b
         else:
             out.append([a, b])
     parts, end, w = [], 0, 0
@@ -260,9 +268,9 @@ class Model:
         w = self.weights
         return max((sum(w.get((k, f), 0.0) if f in self.known else self.unseen for f in features) + w.get((k, "bias"), 0.0), k) for k in KINDS)
 
-    def spans(self, text: str, lo: int, hi: int) -> list[tuple[str, int, int]]:
+    def spans(self, text: str, lo: int, hi: int, max_atoms: int | None = MAX_ATOMS) -> list[tuple[str, int, int]]:
         """Viterbi over segments; a tie goes to fewer entities."""
-        atoms, cand = candidates(text, lo, hi)
+        atoms, cand = candidates(text, lo, hi, max_atoms)
         if not cand:
             return []
         ends: dict[int, list] = {}
@@ -318,32 +326,41 @@ def trained(examples: int = EXAMPLES, epochs: int = EPOCHS, seed: int = SEED, ra
             gold[row, at] = 1
     weights = np.zeros((len(KINDS), len(names)), np.float32)
     speed = np.zeros_like(weights)
+    shapes = [(n, cand) for n, cand, _, _ in data]
     for _ in range(epochs):
-        scores = x @ weights.T
-        total = np.logaddexp.reduce(scores, axis=1)
-        within = np.empty(len(x), np.float32)
-        for w, (n, cand, _, _) in enumerate(data):
-            own = total[first[w] : first[w + 1]].tolist()
-            fore, back = [0.0] + [-np.inf] * n, [-np.inf] * n + [0.0]
-            ends, starts = [[] for _ in range(n + 1)], [[] for _ in range(n + 1)]
-            for (i, j), v in zip(cand, own):
-                ends[j].append((i, v))
-                starts[i].append((j, v))
-            for j in range(1, n + 1):
-                fore[j] = log_sum(fore[j - 1], [fore[i] + v for i, v in ends[j]])
-            for i in range(n - 1, -1, -1):
-                back[i] = log_sum(back[i + 1], [back[j] + v for j, v in starts[i]])
-            within[first[w] : first[w + 1]] = [fore[i] + back[j] - fore[n] for i, j in cand]
-        grad = (gold - np.exp(scores + within[:, None])).T @ x
-        speed = 0.8 * speed + rate * (grad / len(data) * 10 - decay * weights)
+        speed = 0.8 * speed + rate * (likelihood(x, gold, shapes, weights)[1] / len(data) * 10 - decay * weights)
         weights += speed
     return Model({(k, f): float(weights[y, c]) for y, k in enumerate(KINDS) for f, c in names.items()})
 
 
-def all_spans(text: str, model: Model) -> tuple[list, list]:
+def likelihood(x: np.ndarray, gold: np.ndarray, shapes: list, weights: np.ndarray) -> tuple[float, np.ndarray]:
+    """Log likelihood of the gold segments of all windows, and its gradient. x and
+    gold have a row for each candidate segment; shapes: (atoms, segments) of each
+    window. Forward and backward sums over all segmentations."""
+    scores = x @ weights.T
+    total = np.logaddexp.reduce(scores, axis=1)
+    within, value, first = np.empty(len(x), scores.dtype), float((gold * scores).sum()), 0
+    for n, cand in shapes:
+        own = total[first : first + len(cand)].tolist()
+        fore, back = [0.0] + [-np.inf] * n, [-np.inf] * n + [0.0]
+        ends, starts = [[] for _ in range(n + 1)], [[] for _ in range(n + 1)]
+        for (i, j), v in zip(cand, own):
+            ends[j].append((i, v))
+            starts[i].append((j, v))
+        for j in range(1, n + 1):
+            fore[j] = log_sum(fore[j - 1], [fore[i] + v for i, v in ends[j]])
+        for i in range(n - 1, -1, -1):
+            back[i] = log_sum(back[i + 1], [back[j] + v for j, v in starts[i]])
+        within[first : first + len(cand)] = [fore[i] + back[j] - fore[n] for i, j in cand]
+        value -= fore[n]
+        first += len(cand)
+    return value, (gold - np.exp(scores + within[:, None])).T @ x
+
+
+def all_spans(text: str, model: Model, max_atoms: int | None = MAX_ATOMS) -> tuple[list, list]:
     """(base spans, all spans), by start, then kind as in KINDS."""
     base = base_spans(text)
-    more = [s for lo, hi in windows(text, base) for s in model.spans(text, lo, hi)]
+    more = [s for lo, hi in windows(text, base) for s in model.spans(text, lo, hi, max_atoms)]
     return base, sorted(base + more, key=lambda s: (s[1], KINDS.index(s[0]), s[2])) if more else base
 
 
@@ -351,13 +368,13 @@ def written_out(spans: list) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
 
 
-def pii_spans(docs: DataFrame, examples: int = EXAMPLES) -> DataFrame:
+def pii_spans(docs: DataFrame, examples: int = EXAMPLES, max_atoms: int | None = MAX_ATOMS) -> DataFrame:
     """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans)."""
     model = trained(examples)
 
     def make():
         def each(doc_id, text):
-            base, spans = all_spans(text or "", model)
+            base, spans = all_spans(text or "", model, max_atoms)
             kinds = [k for k, _, _ in base]
             return doc_id, *(kinds.count(k) for k in BASE), hashlib.sha256(written_out(base).encode()).hexdigest(), written_out(spans)
 
@@ -366,7 +383,7 @@ def pii_spans(docs: DataFrame, examples: int = EXAMPLES) -> DataFrame:
     return map_rows(docs, ["doc_id", "text"], "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string", make)
 
 
-def redacted(docs: DataFrame, examples: int = EXAMPLES) -> DataFrame:
+def redacted(docs: DataFrame, examples: int = EXAMPLES, max_atoms: int | None = MAX_ATOMS) -> DataFrame:
     """docs with each span's text replaced by its kind in brackets, n_chars
     after it; spans that overlap are replaced as one, by the first's kind."""
     model = trained(examples)
@@ -377,7 +394,7 @@ def redacted(docs: DataFrame, examples: int = EXAMPLES) -> DataFrame:
             if text is None:
                 return *others, None, None
             out, end = [], 0
-            for kind, a, b in all_spans(text, model)[1]:
+            for kind, a, b in all_spans(text, model, max_atoms)[1]:
                 if a >= end:
                     out += [text[end:a], f"[{kind.upper()}]"]
                 end = max(end, b)
