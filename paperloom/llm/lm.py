@@ -16,8 +16,8 @@ alone, and left in it would make rare wording look certain.
    within their document, exploded to rows and dealt and sorted by hash once:
    that one order is the count table's and the exploded rows', so a merge pass
    gives each row its count. What needs a frequent word's count is scored there.
-3. Rows that need another word's count are joined with the unigram table by the
-   word; that word isn't frequent, so no key is hot. Rows of a bigram with over
+3. A slice's rows that need another word's count are joined with the unigram
+   table by the word; that word isn't frequent, so no key is hot. Rows of a bigram with over
    `large` rows aren't held: they leave the merge pass uncounted and are
    joined with their own partially aggregated count.
 
@@ -38,6 +38,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,7 +52,10 @@ FREQUENT = 1 << 17
 LARGE = 1 << 20
 #: Words that a worker counts at a time.
 WORDS_HELD = 1 << 21
+#: Scored rows that are summed by document before they leave a worker.
+SUMMED = 1 << 20
 UNIT = 10**10
+NO_ID = -(1 << 63)
 TF_BITS, WORD_BITS = 20, 22
 SEED = 42
 
@@ -265,7 +269,32 @@ def merge_pass(frequent: np.ndarray, counts: np.ndarray, total: int, alpha: floa
     def cut(cols, lo, hi):
         return [c.slice(lo, hi - lo) if isinstance(c, pa.Array) else c[lo:hi] for c in cols]
 
+    def summed(pieces):
+        """SCORED rows with one for each document of theirs."""
+        ids, text_hash, s = (pa.concat_arrays(x) if isinstance(x[0], pa.Array) else np.concatenate(x) for x in zip(*pieces))
+        own = ids.fill_null(NO_ID).to_numpy(zero_copy_only=False)
+        order = np.argsort(mixed(own.view(np.uint64), text_hash.view(np.uint64)))
+        at = np.flatnonzero((np.diff(own[order], prepend=~own[order[:1]]) != 0) | (np.diff(text_hash[order], prepend=-1) != 0))
+        zero = np.zeros(len(at), np.int64)
+        return pack(ids.take(pa.array(order[at])), text_hash[order[at]], SCORED, zero, zero, zero, np.add.reduceat(s[order], at))
+
     def run(batches):
+        scored, n = [], 0
+        for batch in merged(batches):
+            there = pa.compute.equal(batch.column(2), SCORED)
+            waits = batch.filter(pa.compute.invert(there))
+            if waits.num_rows:
+                yield waits
+            done = batch.filter(there)
+            scored.append((done.column(0), done.column(1).to_numpy(), done.column(6).to_numpy()))
+            n += done.num_rows
+            if n >= SUMMED:
+                yield summed(scored)
+                scored, n = [], 0
+        if n:
+            yield summed(scored)
+
+    def merged(batches):
         kept, held, hot = [], 0, None  # rows of the last bigram so far; a bigram that is too large
         for batch in batches:
             cols = [batch.column(i) if i == 1 else batch.column(i).to_numpy(zero_copy_only=False) for i in range(len(ROW))]
@@ -318,28 +347,30 @@ def stupid_backoff(docs: DataFrame, alpha: float = ALPHA, least: int = LEAST, sl
         # at most `frequent` rows: their counts add up to no more than total
         often = sorted((w % (1 << 64), c) for w, c in unigrams.where(F.col("cw") * frequent >= total).collect())
         hashes, counts = np.array([w for w, _ in often], np.uint64), np.array([c for _, c in often], np.int64)
-        met = []
+        word = lambda c: unigrams.select(F.col("w").alias(c), "cw")
+        doc = ["doc_id", "text_hash"]
+        sums = []
         for k in range(slices):
             rows = bigrams(docs, k, slices, hashes).repartition(parts, "h").sortWithinPartitions("h")
-            rows = rows.mapInArrow(merge_pass(hashes, counts, total, alpha, least, large), MET)
-            met.append(written(rows.groupBy("doc_id", "text_hash", "kind", "key", "c").agg(F.sum("tf").alias("tf"), F.sum("s").alias("s")), "met"))
-        met = reduce(DataFrame.unionByName, met)
-        word = lambda c: unigrams.select(F.col("w").alias(c), "cw")
-        waits = met.where(F.col("kind") == BY_COUNT).select("doc_id", "text_hash", "key", "c", "tf").join(word("key"), "key")
-        waits = waits.select("doc_id", "text_hash", (F.col("tf") * fixed(F.when(F.col("c") > 0, F.log(F.col("c") / F.col("cw"))).otherwise(F.log(F.col("cw") * alpha / total)))).alias("s"))
-        rows = met.where(F.col("kind") == BIG).select("doc_id", "text_hash", "key", "c", "tf")
-        big = rows.groupBy("key").agg(F.sum("tf").alias("n"), F.first("c").alias("a")).join(word("a"), "a")
-        # few bigrams are that large; Spark broadcasts them by their size, or splits the join's hot keys
-        big = rows.join(big.select("key", fixed(F.log(F.col("n") / F.col("cw"))).alias("each")), "key").select("doc_id", "text_hash", (F.col("tf") * F.col("each")).alias("s"))
+            met = written(rows.mapInArrow(merge_pass(hashes, counts, total, alpha, least, large), MET), "met")
+            waits = met.where(F.col("kind") == BY_COUNT).join(word("key"), "key")
+            waits = waits.select(*doc, (F.col("tf") * fixed(F.when(F.col("c") > 0, F.log(F.col("c") / F.col("cw"))).otherwise(F.log(F.col("cw") * alpha / total)))).alias("s"))
+            rows = met.where(F.col("kind") == BIG)
+            counted = rows.groupBy("key").agg(F.sum("tf").alias("n"), F.first("c").alias("a")).join(word("a"), "a")
+            # few bigrams are that large; Spark broadcasts them by their size, or splits the join's hot keys
+            big = rows.join(counted.select("key", fixed(F.log(F.col("n") / F.col("cw"))).alias("each")), "key").select(*doc, (F.col("tf") * F.col("each")).alias("s"))
+            done = met.where(F.col("kind") == SCORED).select(*doc, "s").unionByName(waits).unionByName(big)
+            sums.append(written(done.groupBy(*doc).agg(F.sum("s").alias("s")), "sums"))
+            forget(met)
         first = places.where("w is not null").join(word("w"), "w").select("doc_id", "text_hash", fixed(F.log(F.col("cw") / total)).alias("s"))
-        summed = [x.select("doc_id", "text_hash", "s", F.lit(0).cast("long").alias("copies"), F.lit(0).cast("long").alias("n_words")) for x in (met.where(F.col("kind") == SCORED), waits, big, first)]
-        summed.append(places.select("doc_id", "text_hash", F.lit(0).cast("long").alias("s"), F.lit(1).cast("long").alias("copies"), "n_words"))
-        sums = reduce(DataFrame.unionByName, summed).groupBy("doc_id", "text_hash").agg(*(F.sum(c).alias(c) for c in ("s", "copies", "n_words")))
-        sums = written(sums, "sums")
-        forget(seen, unigrams, met)
+        parts_of = [x.select(*doc, "s", F.lit(0).cast("long").alias("copies"), F.lit(0).cast("long").alias("n_words")) for x in (*sums, first)]
+        parts_of.append(places.select(*doc, F.lit(0).cast("long").alias("s"), F.lit(1).cast("long").alias("copies"), "n_words"))
+        whole = reduce(DataFrame.unionByName, parts_of).groupBy(*doc).agg(*(F.sum(c).alias(c) for c in ("s", "copies", "n_words")))
+        whole = written(whole, "scores")
+        forget(seen, unigrams, *sums)
     # repeated rows have summed together
     score = F.when(F.col("n_words") > 0, F.col("s") / UNIT / F.col("n_words"))
-    return sums.select("doc_id", (F.col("n_words") / F.col("copies")).cast("long").alias("n_words"), score.alias("score"), F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("doc_id", "n_words", "score")
+    return whole.select("doc_id", (F.col("n_words") / F.col("copies")).cast("long").alias("n_words"), score.alias("score"), F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("doc_id", "n_words", "score")
 
 
 def op4_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
