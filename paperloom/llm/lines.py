@@ -1,12 +1,17 @@
 """Line dedup over levelled sorted runs of line hashes.
 
-A run is a Parquet table of line keys (two 64-bit hashes), sorted by them, with
-the number of documents that hold the key and the largest document id among
-them. Each batch adds one run at level 0; when a level has `fanout` runs they
-are merged into one of the next level, so that n batches keep O(log n) runs and
-each key is rewritten O(log n) times. A batch is deduplicated by a merge join
-of its keys, sorted the same way, with the runs: anti-join for what is new
-(fresh), and what is spent for what the contract drops.
+A run is a table of line keys (two 64-bit hashes), bucketed and sorted by them,
+with the number of documents that hold the key and the largest document id among
+them. A new batch of lines is summed by key and merge-anti-joined with every
+run: keys that none has are the batch's own run at level 0; of the others only
+the repeats (key, documents, largest id) are put aside. When a level has `fanout`
+runs they are merged into one of the next level; their keys are different, so
+merging is no summing. So n batches keep O(log n) runs and each key is rewritten
+O(log n) times. spent() adds the repeats to the runs' keys: those in `least_docs`
+documents or more, and the document that keeps each.
+
+Runs and a batch's sums are dealt by the same buckets, so the joins with runs
+need no exchange of a run, and no sort of it.
 
 Native: DataFrame functions only. Line texts are never shuffled for their own
 sake, only 128-bit keys and places; texts move once, to meet the places that
@@ -19,17 +24,18 @@ Defined results: a null or empty text is one empty line, kept; a document is
 its doc_id: rows of one id count as one document and each lose the same lines;
 a row with a null id is counted nowhere and stays whole; equal lines within
 the largest document all stay; an empty table gives no row; further columns
-stay, whatever their names.
+stay, but for those that have the name of an added one, which are replaced.
 """
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, table, written
+from .common import ascii_lower, forget, removed, scratch_root, table, written
 
 LEAST_CHARS, LEAST_DOCS, BATCHES, FANOUT = 20, 3, 4, 2
 
@@ -55,64 +61,101 @@ def keyed_lines(docs: DataFrame, least_chars: int = LEAST_CHARS, batches: int =
     return rows.select("doc_id", "text_hash", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit("line"), "key").alias("h2"), F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int").alias("batch"))
 
 
-class LineRuns:
-    """The runs of a store, by level."""
-
-    def __init__(self, fanout: int = FANOUT):
-        self.fanout = fanout
-        self.levels: list[list[DataFrame]] = []
+KEY = ["h1", "h2"]
+#: A bucket is one sorted file: scans of runs stay by bucket, and their order is relied on.
+BUCKETS = {"spark.sql.legacy.bucketedTableScan.outputOrdering": "true", "spark.sql.sources.bucketing.autoBucketedScan.enabled": "false"}
 
-    def runs(self) -> list[DataFrame]:
-        return [run for level in self.levels for run in level]
 
-    def add(self, lines: DataFrame) -> None:
-        """Adds the run of a batch of (doc_id, h1, h2), and compacts. A
-        document's lines must all be in one batch."""
-        docs = lines.groupBy("h1", "h2").agg(F.count_distinct("doc_id").alias("docs"), F.max("doc_id").alias("top"))
-        self.put(0, docs)
+class LineRuns:
+    """The runs of a store, by level, and the repeats of their keys. A document's
+    lines must all be in one batch. close() forgets the tables."""
+
+    def __init__(self, spark: SparkSession, fanout: int = FANOUT):
+        self.spark, self.fanout = spark, fanout
+        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.levels: list[list[str]] = []
+        self.repeats: list[DataFrame] = []
+        self.scratch: list[tuple[str, str]] = []
+        self.before = {key: spark.conf.get(key) for key in BUCKETS}
+        for key, value in BUCKETS.items():
+            spark.conf.set(key, value)
+
+    def close(self) -> None:
+        for key, value in self.before.items():
+            self.spark.conf.set(key, value)
+        for name, path in self.scratch:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+            removed(self.spark, path)
 
-    def put(self, level: int, keys: DataFrame) -> None:
+    def runs(self) -> list[DataFrame]:
+        return [self.spark.table(name) for level in self.levels for name in level]
+
+    def stored(self, keys: DataFrame, kind: str) -> str:
+        """Writes keys, dealt by KEY, as a bucketed table; its name."""
+        name = f"{kind}_{uuid.uuid4().hex}"
+        path = f"{scratch_root(self.spark)}/{name}"
+        keys.write.bucketBy(self.buckets, *KEY).sortBy(*KEY).option("path", path).saveAsTable(name)
+        self.scratch.append((name, path))
+        return name
+
+    def fresh(self, keys: DataFrame) -> DataFrame:
+        """Those of keys that no run has."""
+        return reduce(lambda rest, run: rest.join(run.hint("merge"), KEY, "left_anti"), self.runs(), keys)
+
+    def add(self, lines: DataFrame) -> DataFrame:
+        """Adds the run of a batch of (doc_id, h1, h2), and compacts. Returns the
+        batch's keys that were new."""
+        keys = lines.repartition(self.buckets, *KEY).groupBy(*KEY).agg(F.count_distinct("doc_id").alias("docs"), F.max("doc_id").alias("top"))
+        if self.levels:
+            keys = self.spark.table(self.stored(keys, "batch"))
+        new = self.stored(self.fresh(keys), "run")
+        if self.levels:
+            known = [keys.join(run.select(*KEY).hint("merge"), KEY, "left_semi") for run in self.runs()]
+            self.repeats.append(written(reduce(DataFrame.unionByName, known), "repeats"))
+        self.put(0, new)
+        return self.spark.table(new)
+
+    def put(self, level: int, name: str) -> None:
         if len(self.levels) == level:
             self.levels.append([])
-        self.levels[level].append(written(keys.sortWithinPartitions("h1", "h2"), f"run{level}"))
+        self.levels[level].append(name)
         if len(self.levels[level]) >= self.fanout:
             done, self.levels[level] = self.levels[level], []
-            self.put(level + 1, merged(done))
-
-    def fresh(self, lines: DataFrame) -> DataFrame:
-        """The batch's lines whose key is in no run: what an incremental load
-        keeps of it."""
-        return reduce(lambda rest, run: rest.join(run.select("h1", "h2"), ["h1", "h2"], "left_anti"), self.runs(), lines)
+            both = reduce(DataFrame.unionByName, map(self.spark.table, done))
+            self.put(level + 1, self.stored(both.repartition(self.buckets, *KEY), "run"))
 
     def spent(self, least_docs: int = LEAST_DOCS) -> DataFrame:
         """(h1, h2, top): keys in at least that many documents, over all runs."""
-        runs = self.runs()
-        return merged(runs).where(F.col("docs") >= least_docs).select("h1", "h2", "top") if runs else None
-
-
-def merged(runs: list[DataFrame]) -> DataFrame:
-    both = reduce(DataFrame.unionByName, runs)
-    return both.groupBy("h1", "h2").agg(F.sum("docs").alias("docs"), F.max("top").alias("top"))
+        if not self.repeats:
+            return reduce(DataFrame.unionByName, self.runs()).where(F.col("docs") >= least_docs).select(*KEY, "top")
+        again = reduce(DataFrame.unionByName, self.repeats).repartition(self.buckets, *KEY).groupBy(*KEY).agg(F.sum("docs").alias("more"), F.max("top").alias("later"))
+        again = self.spark.table(self.stored(again, "again"))
+        found = [run.join(again.hint("merge"), KEY, "left").where(F.col("docs") + F.coalesce("more", F.lit(0)) >= least_docs).select(*KEY, F.greatest("top", "later").alias("top")) for run in self.runs()]
+        return reduce(DataFrame.unionByName, found)
 
 
-def line_dedup(docs: DataFrame, least_chars: int = LEAST_CHARS, least_docs: int = LEAST_DOCS, batches: int = BATCHES, fanout: int = FANOUT) -> DataFrame:
-    """docs with the columns n_lines, n_dropped and kept_text added."""
+def line_dedup(docs: DataFrame, least_chars: int = LEAST_CHARS, least_docs: int = LEAST_DOCS, batches: int = BATCHES, fanout: int = FANOUT, names: tuple[str, str, str] = ("n_lines", "n_dropped", "kept_text")) -> DataFrame:
+    """docs with the columns `names` added: lines, lines dropped, the text left."""
     lines = written(keyed_lines(docs, least_chars, batches), "lines", "batch")
-    runs = LineRuns(fanout)
-    for k in range(batches):
-        runs.add(lines.where(F.col("batch") == k))
-    spent = written(runs.spent(least_docs), "spent")
-    drops = lines.join(spent, ["h1", "h2"]).where("doc_id <> top").groupBy(F.col("doc_id").alias("drop_doc"), F.col("text_hash").alias("drop_hash")).agg(F.collect_list("pos").alias("drop_pos"))
+    runs = LineRuns(docs.sparkSession, fanout)
+    try:
+        for k in range(batches):
+            runs.add(lines.where(F.col("batch") == k))
+        spent = written(runs.spent(least_docs), "spent")
+    finally:
+        runs.close()
+    drops = lines.join(spent, KEY).where("doc_id <> top").groupBy(F.col("doc_id").alias("drop_doc"), F.col("text_hash").alias("drop_hash")).agg(F.collect_list("pos").alias("drop_pos"))
     drops = written(drops, "drops")
-    own = docs.columns
-    hashed = docs.select(F.struct(*own).alias("row"), F.col("doc_id").alias("drop_doc"), text_hash().alias("drop_hash"))
+    forget(lines, spent)
+    own = [c for c in docs.columns if c not in names]
+    hashed = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("drop_doc"), text_hash().alias("drop_hash"))
     found = hashed.join(drops, ["drop_doc", "drop_hash"], "left")
     found = found.select("row", F.split(F.coalesce(F.col("row.text"), F.lit("")), "\n", -1).alias("lines"), F.coalesce("drop_pos", F.array().cast("array<int>")).alias("pos"))
     kept = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("pos"))
     text = F.when(F.size("pos") == 0, F.coalesce(F.col("row.text"), F.lit(""))).otherwise(F.array_join(F.transform(kept, lambda p: F.get("lines", p)), "\n"))
     # apart from the input's own columns, whose names may be these
-    found = found.select("row", F.struct(F.size("lines").cast("long").alias("n_lines"), F.size("pos").cast("long").alias("n_dropped"), text.alias("kept_text")).alias("made"))
-    return found.select(*(F.col("row")[c].alias(c) for c in own), *(F.col("made")[c].alias(c) for c in ("n_lines", "n_dropped", "kept_text")))
+    found = found.select("row", F.struct(*(c.alias(n) for c, n in zip((F.size("lines").cast("long"), F.size("pos").cast("long"), text), names))).alias("made"))
+    return found.select(*(F.col("row")[c].alias(c) for c in own), *(F.col("made")[c].alias(c) for c in names))
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
