@@ -7,10 +7,14 @@ the last of them. That depends on nothing outside the k-mer, so two texts choose
 the same anchors wherever they have the same pieces, and an edit moves no anchor
 that it doesn't touch. At least one in K - S + 1 consecutive k-mers is chosen.
 
-The fingerprint of a text is the SKETCH least distinct hashes of all its
-anchors, as eight hex digits each; likeness is the share of the least SKETCH of
-two fingerprints' union that is in both, an estimate of the resemblance of the
-two sets of anchors (exact for texts with up to SKETCH anchors together).
+Anchors are matched by position: a feature is an anchor, the next one and the
+distance between them, so two texts agree at a place only where both anchors are
+in both texts and as far apart in each. The fingerprint of a text is the SKETCH
+least distinct hashes of its features, as eight hex digits each; likeness is the
+share of the least SKETCH of two fingerprints' union that is in both: exact for
+texts with up to SKETCH features together, an estimate of the features'
+resemblance beyond. sketch=None keeps all features, for exact likeness at any
+length.
 
 Native: arrays and higher-order functions over whole texts. For the next
 document, ids are dealt by range and written, so that neighbours are found
@@ -33,7 +37,9 @@ from pyspark.sql import functions as F
 
 from .common import table, written
 
-PIECE, K, S, SKETCH = 5, 5, 2, 128
+PIECE, K, S, SKETCH = 3, 5, 2, 256
+#: Documents in a range, about, where each looks for the next one.
+RANGE = 200_000
 NO_ID = -(1 << 63)
 
 
@@ -52,20 +58,25 @@ def with_anchors(df: DataFrame, text: str, name: str, piece: int = PIECE, k: int
     return df.withColumn(name, F.coalesce(F.transform(at, hashed), whole)).drop(t, inner, at)
 
 
-def with_sketch(df: DataFrame, text: str, name: str) -> DataFrame:
-    """df with `name`: the least SKETCH distinct anchor hashes, 32 bits each,
-    as signed integers."""
-    df = with_anchors(df, text, f"{name}_a")
-    least = F.slice(F.sort_array(F.array_distinct(F.transform(f"{name}_a", lambda x: F.shiftright(x["hash"], 32).cast("int")))), 1, SKETCH)
-    return df.withColumn(name, least).drop(f"{name}_a")
+def with_sketch(df: DataFrame, text: str, name: str, sketch: int | None = SKETCH) -> DataFrame:
+    """df with `name`: the least `sketch` distinct hashes of its features (None:
+    all), 32 bits each, as signed integers. A text's last anchor stands alone."""
+    a = f"{name}_a"
+    df = with_anchors(df, text, a)
+    one, after = (lambda i: F.get(a, i)), (lambda i: F.get(a, i + 1))
+    feature = lambda i: F.shiftright(F.xxhash64(one(i)["hash"], F.coalesce(after(i)["hash"], F.lit(0)), F.coalesce(after(i)["pos"] - one(i)["pos"], F.lit(0))), 32).cast("int")
+    features = F.when(F.size(a) > 0, F.transform(F.sequence(F.lit(0), F.size(a) - 1), feature)).otherwise(F.array().cast("array<int>"))
+    least = F.sort_array(F.array_distinct(features))
+    return df.withColumn(name, least if sketch is None else F.slice(least, 1, sketch)).drop(a)
 
 
 def fingerprint(sketch: str) -> Column:
     return F.array_join(F.transform(sketch, lambda x: F.lower(F.lpad(F.hex(x.cast("long").bitwiseAND(0xFFFFFFFF)), 8, "0"))), "")
 
 
-def likeness(a: str, b: str) -> Column:
-    both = F.slice(F.sort_array(F.array_union(a, b)), 1, SKETCH)
+def likeness(a: str, b: str, sketch: int | None = SKETCH) -> Column:
+    both = F.sort_array(F.array_union(a, b))
+    both = both if sketch is None else F.slice(both, 1, sketch)
     share = F.size(F.array_intersect(F.array_intersect(F.col(a), F.col(b)), both)) / F.size(both)
     return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).otherwise(share)
 
@@ -80,7 +91,8 @@ def keyed(docs: DataFrame) -> DataFrame:
 def next_documents(rows: DataFrame) -> DataFrame:
     """(key, text_hash, n_chars, next_key, next_hash) by descending key."""
     ids = rows.groupBy("key", "text_hash").agg(F.max(F.length("text")).cast("long").alias("n_chars"))
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ids = written(ids, "ids")
+    n = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-ids.count() // RANGE))
     dealt = written(ids.repartitionByRange(n, F.col("key").desc(), F.col("text_hash").desc()).withColumn("part", F.spark_partition_id()), "order")
     me = F.struct("key", "text_hash")
     # one row for each range
@@ -92,26 +104,30 @@ def next_documents(rows: DataFrame) -> DataFrame:
     return found.select("key", "text_hash", "n_chars", F.col("next.key").alias("next_key"), F.col("next.text_hash").alias("next_hash"))
 
 
-def document_fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, sketch) of each document, by its own general interface."""
-    return with_sketch(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "text", "sketch")
+def document_fingerprints(docs: DataFrame, sketch: int | None = SKETCH) -> DataFrame:
+    """docs with anchors (array of struct(pos, hash)) and sketch, in place of
+    columns of these names: the operator by itself."""
+    own = [c for c in docs.columns if c not in ("anchors", "sketch")]
+    out = with_anchors(docs.select(F.struct(*own).alias("row"), F.coalesce("text", F.lit("")).alias("t")), "t", "anchors")
+    out = with_sketch(out, "t", "sketch", sketch)
+    return out.select(*(F.col("row")[c].alias(c) for c in own), "anchors", "sketch")
 
 
-def edited_likeness(docs: DataFrame) -> DataFrame:
+def edited_likeness(docs: DataFrame, sketch: int | None = SKETCH) -> DataFrame:
     """Each document beside itself with its last third replaced by the next
     document's beginning, and beside the next document."""
     rows = keyed(docs)
     order = written(next_documents(rows), "next")
     asked = order.select(F.col("key").alias("by"), F.col("text_hash").alias("by_hash"), F.col("next_key").alias("key"), F.col("next_hash").alias("text_hash"), F.floor(F.col("n_chars") / 3).cast("int").alias("m"))
     # both joins read the same columns, so that one exchange of texts serves them
-    own = with_sketch(rows, "text", "sketch")
+    own = with_sketch(rows, "text", "sketch", sketch)
     told = own.join(asked, ["key", "text_hash"]).select(F.col("by").alias("key"), F.col("by_hash").alias("text_hash"), "m", F.substring("text", F.lit(1), F.col("m")).alias("head"), F.col("sketch").alias("next_sketch"))
     # repeated rows of the next document give the same answer
     told = told.groupBy("key", "text_hash").agg(F.first(F.struct("m", "head", "next_sketch")).alias("next"))
     out = own.join(told, ["key", "text_hash"])
     n = F.length("text")
     out = out.select(F.nullif("key", F.lit(NO_ID)).alias("doc_id"), "text", "sketch", n.cast("long").alias("n_chars"), F.concat(F.substring("text", F.lit(1), n - F.col("next.m")), F.col("next.head")).alias("edited"), F.col("next.next_sketch").alias("next_sketch"))
-    return with_sketch(out, "edited", "edited_sketch")
+    return with_sketch(out, "edited", "edited_sketch", sketch)
 
 
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
