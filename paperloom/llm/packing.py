@@ -12,11 +12,15 @@
    the search ends when a solution meets the bound (by volume, or by pieces
    over a half), when all ways are tried, or after STEPS steps.
    A quick search over few fillings gives the whole one its incumbent.
-3. Pieces of a length are numbered (in salted groups, so that a length that
-   very many documents share is no single task) and each number finds its
-   sequence and offset in the solved layout by a range: constant work a piece.
-
-Only step 2 runs in one place, on a table bounded by size. Free style: the
+3. Pieces of a length are numbered, in as many salted groups as their count
+   asks for, so that a length that very many documents share is no single task.
+   Each number finds its sequence and offset among the ranges that the solved
+   layout has for its length.
+
+Only step 2 runs in one place, on a table of at most `size` rows. The layout that
+goes back has a row for each length of each kind of sequence; the groups' first
+numbers are joined as Spark finds best by their size (a row for about GROUP
+pieces). Free style: the
 tokens come from tiktoken's form of the same vocabulary, whose ids equal the
 tokenizers library's (tests/llm holds both against each other).
 
@@ -44,10 +48,11 @@ from .common import map_rows, table, written
 SIZE, END_ID = 2048, 0
 SPECIAL = {"<|endoftext|>": 50256}
 #: Steps of each search (quick, then whole) beyond its first descent; a longer
-#: search gives the incumbent, which is a whole packing all the same.
+#: search gives the incumbent, which is a whole packing all the same. None: no
+#: bound, so that the search only ends at the best packing.
 STEPS = 4_000
-#: Groups in which the pieces of a length are numbered.
-SALTS = 64
+#: Pieces of a length that are numbered in one group, about.
+GROUP = 50_000
 
 
 @lru_cache
@@ -60,9 +65,20 @@ def encoding(ranks_path: str):
     return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=SPECIAL)
 
 
+@lru_cache
+def slow_encoding():
+    """The tokenizers library's form of the same vocabulary."""
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(vocabulary("byte_bpe_50k.json"))
+
+
 def token_bytes(enc, text: str | None, end_id: int = END_ID) -> bytes:
     """Little-endian unsigned 32-bit ids of the whole text, then end_id."""
-    ids = enc.encode_to_numpy(text or "", allowed_special="all", disallowed_special=())
+    try:
+        ids = enc.encode_to_numpy(text or "", allowed_special="all", disallowed_special=())
+    except ValueError:  # its pattern engine gives up on very long white space
+        ids = np.array(slow_encoding().encode(text, add_special_tokens=False).ids)
     return np.append(ids.astype("<u4"), np.array([end_id], "<u4")).tobytes()
 
 
@@ -197,13 +213,14 @@ def bound(counts: dict[int, int], size: int) -> int:
     return max(-(-sum(n * c for n, c in counts.items()) // size), sum(c for n, c in counts.items() if 2 * n > size))
 
 
-def solve(counts: dict[int, int], size: int = SIZE, steps: int = STEPS) -> Layout:
+def solve(counts: dict[int, int], size: int = SIZE, steps: int | None = STEPS) -> Layout:
     """Bin completion over a histogram of lengths from 1 to size."""
     counts = {n: c for n, c in counts.items() if c}
     best = best_fit(counts, size)
     most = sum(t for _, t in best)
     least = bound(counts, size)
     total = sum(n * c for n, c in counts.items())
+    steps = float("inf") if steps is None else steps
     left, layout, budget, first, ways_of = {}, [], steps, True, few_fillings
 
     def descend(made: int, waste: int) -> bool:
@@ -293,31 +310,29 @@ def slots(layout: Layout) -> list[tuple[int, int, int, int, int]]:
     return out
 
 
-def pack(pieces: DataFrame, size: int = SIZE) -> DataFrame:
+def pack(pieces: DataFrame, size: int = SIZE, steps: int | None = STEPS, group: int = GROUP) -> DataFrame:
     """pieces (length, and any other columns) with sequence_id and offset."""
     spark = pieces.sparkSession
-    cells = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(SALTS)).cast("int"))
-    # at most size x SALTS rows, whatever the corpus
-    sizes = [tuple(r) for r in cells.groupBy("length", "salt").count().collect()]
-    counts, firsts, at = Counter(), [], Counter()
-    for n, salt, c in sorted(sizes):
-        firsts.append((n, salt, at[n]))
-        at[n] += c
-        counts[n] += c
-    layout = slots(solve(counts, size))
-    first = spark.createDataFrame(firsts, "length long, salt int, before long")
-    slot = spark.createDataFrame(layout, "length long, first long, last long, sequence long, offset long")
+    own = pieces.columns
+    # at most `size` rows, whatever the corpus
+    counts = {n: c for n, c in pieces.groupBy("length").count().collect()}
+    slot = spark.createDataFrame(slots(solve(counts, size, steps)), "length long, first long, last long, sequence long, offset long")
     by_length = slot.groupBy("length").agg(F.sort_array(F.collect_list(F.struct("first", "last", "sequence", "offset"))).alias("slots"))
-    own = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")
-    # both tables have at most size x SALTS and size rows
-    numbered = cells.withColumn("row", F.row_number().over(own) - 1).join(F.broadcast(first), ["length", "salt"]).withColumn("row", F.col("row") + F.col("before"))
-    found = numbered.join(F.broadcast(by_length), "length").withColumn("slot", F.element_at(F.filter("slots", lambda s: (s["first"] <= F.col("row")) & (F.col("row") <= s["last"])), 1))
-    return found.select(*pieces.columns, (F.col("slot.sequence") + F.col("row") - F.col("slot.first")).alias("sequence_id"), F.col("slot.offset").alias("offset"))
-
-
-def best_fit_packing(docs: DataFrame, ranks_path: str | None = None, size: int = SIZE) -> DataFrame:
+    groups = spark.createDataFrame([(n, -(-c // group)) for n, c in counts.items()], "length long, salts long")
+    cells = pieces.select(F.struct(*own).alias("row"), "length", F.xxhash64("doc_id", "piece", "ids_crc32").alias("hash")).join(F.broadcast(groups), "length")
+    cells = cells.withColumn("salt", F.pmod("hash", "salts"))
+    before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
+    firsts = cells.groupBy("length", "salt").count().select("length", "salt", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("before"))
+    inside = Window.partitionBy("length", "salt").orderBy("row.doc_id", "row.piece", "row.ids_crc32")
+    numbered = cells.withColumn("inside", F.row_number().over(inside) - 1).join(firsts, ["length", "salt"]).withColumn("number", F.col("inside") + F.col("before"))
+    # a row for each of at most `size` lengths
+    found = numbered.join(F.broadcast(by_length), "length").withColumn("slot", F.element_at(F.filter("slots", lambda s: (s["first"] <= F.col("number")) & (F.col("number") <= s["last"])), 1))
+    return found.select(*(F.col("row")[c].alias(c) for c in own), (F.col("slot.sequence") + F.col("number") - F.col("slot.first")).alias("sequence_id"), F.col("slot.offset").alias("offset"))
+
+
+def best_fit_packing(docs: DataFrame, ranks_path: str | None = None, size: int = SIZE, steps: int | None = STEPS) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset)."""
-    return pack(written(token_pieces(docs, ranks_path or vocabulary("byte_bpe_50k.tiktoken"), size), "pieces"), size)
+    return pack(written(token_pieces(docs, ranks_path or vocabulary("byte_bpe_50k.tiktoken"), size), "pieces"), size, steps)
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
