@@ -6,11 +6,15 @@ pass, no shuffle, memory of one text at a time.
 
 Line rules (a line without a word is kept as it is and counts for nothing):
 
-* punctuation: the line ends in none of TERMINAL and has fewer than
-  `min_unpunctuated` words;
+* punctuation: the line ends in none of TERMINAL, and has fewer than
+  `min_unpunctuated` words or stands in a text where more than
+  `max_unpunctuated` of the longer lines end so (a few are headings or items,
+  many are no prose);
 * navigation: most of its words are separators (SEPARATORS), or it is a run of
-  at least three one-or-two-word items parted by them;
-* boilerplate: it holds one of BOILERPLATE (lower case), and has fewer than
+  at least three one-or-two-word items parted by them, or it ends in no TERMINAL
+  and at least `min_menu` of its three or more words are menu words;
+* boilerplate: it holds one of the phrases (lower case; BOILERPLATE has a list for
+  each language, another table may be given), and has fewer than
   `max_boilerplate_words` words;
 * symbols: more than `max_symbols` symbol characters a word;
 * shouting: at least `min_shout_words` words, over `max_upper` of them in upper
@@ -19,7 +23,8 @@ Line rules (a line without a word is kept as it is and counts for nothing):
 Defined results: a null text gives zero counts, fails the base and has a null
 clean text; an empty text the same with an empty clean text; repeated rows and
 ties each give their own row; null ids stay null; further columns of the input
-are untouched (quality_rules) and may have any name but those added.
+are untouched (quality_rules) and may have any name; one that has the added
+name is replaced.
 """
 
 from __future__ import annotations
@@ -33,9 +38,15 @@ from pyspark.sql import types as T
 
 from .common import map_rows, table
 
-TERMINAL = tuple(".!?…:;,\"'”’»)]}*%$&#|<>。！？।")
+TERMINAL = tuple(".!?…:;,\"'”’»)]}。！？।")
 SEPARATORS = frozenset("| / > » · • - – — :: >> « <".split())
-BOILERPLATE = ("all rights reserved", "terms of use", "terms of service", "privacy policy", "cookie policy", "we use cookies", "accept cookies", "enable javascript", "skip to content", "skip to main", "sign up for", "log in to", "click here", "read more", "share this", "follow us", "back to top", "powered by", "lorem ipsum")
+BOILERPLATE = {
+    "en": ("all rights reserved", "terms of use", "terms of service", "privacy policy", "cookie policy", "we use cookies", "accept cookies", "enable javascript", "skip to content", "skip to main", "sign up for", "log in to", "click here", "read more", "share this", "follow us", "back to top", "powered by", "lorem ipsum"),
+    "de": ("alle rechte vorbehalten", "nutzungsbedingungen", "datenschutzerklärung", "wir verwenden cookies", "cookies akzeptieren", "zum inhalt springen", "hier klicken", "weiterlesen", "folgen sie uns", "nach oben", "newsletter abonnieren"),
+    "fr": ("tous droits réservés", "conditions d'utilisation", "politique de confidentialité", "nous utilisons des cookies", "accepter les cookies", "aller au contenu", "cliquez ici", "lire la suite", "suivez-nous", "haut de page"),
+    "es": ("todos los derechos reservados", "términos de uso", "política de privacidad", "utilizamos cookies", "aceptar cookies", "saltar al contenido", "haga clic aquí", "leer más", "síguenos", "volver arriba"),
+}
+MENU = frozenset("home about contact contacts login logout register products services cart menu search help faq blog news sitemap account checkout subscribe download support careers startseite kontakt anmelden abmelden produkte warenkorb suche hilfe impressum datenschutz accueil connexion produits panier recherche aide boutique inicio contacto acceder productos carrito buscar ayuda tienda".split())
 SYMBOLS = b"#*$%&|<>"
 WHITE = b" \t\n\x0b\x0c\r"
 ITEMS = re.compile(r" [|»·•>/] ")
@@ -69,8 +80,13 @@ def repeat_words(words: list[bytes]) -> int:
     return int(hit.sum())
 
 
-def line_fault(line: str, min_unpunctuated: int = 4, max_boilerplate_words: int = 30, max_symbols: float = 0.5, min_shout_words: int = 5, max_upper: float = 0.7) -> str | None:
-    """The first rule that the line fails; None if it stays."""
+def ended(line: str) -> bool:
+    return line.rstrip().endswith(TERMINAL)
+
+
+def line_fault(line: str, open_text: bool = False, min_unpunctuated: int = 4, max_boilerplate_words: int = 30, max_symbols: float = 0.5, min_shout_words: int = 5, max_upper: float = 0.7, min_menu: float = 0.6, boilerplate: dict[str, tuple[str, ...]] = BOILERPLATE) -> str | None:
+    """The first rule that the line fails; None if it stays. open_text: too many
+    lines of its text end in no TERMINAL."""
     words = line.split()
     n = len(words)
     if not n:
@@ -81,17 +97,20 @@ def line_fault(line: str, min_unpunctuated: int = 4, max_boilerplate_words: int
         return "navigation"
     if n < max_boilerplate_words:
         low = line.lower()
-        if any(x in low for x in BOILERPLATE):
+        if any(x in low for phrases in boilerplate.values() for x in phrases):
             return "boilerplate"
     if n >= min_shout_words:
         if sum(map(str.isupper, words)) > max_upper * n:
             return "shouting"
-    if n < min_unpunctuated and not line.rstrip().endswith(TERMINAL):
-        return "punctuation"
+    if not ended(line):
+        if n > 2 and sum(w.lower() in MENU for w in words) >= min_menu * n:
+            return "navigation"
+        if n < min_unpunctuated or open_text:
+            return "punctuation"
     return None
 
 
-def judge(text: str | None, min_words: int = 50, max_repeat: int = 50, max_lost: float = 0.5, **rules) -> tuple:
+def judge(text: str | None, min_words: int = 50, max_repeat: int = 50, max_lost: float = 0.5, max_unpunctuated: float = 0.5, **rules) -> tuple:
     """(clean text, then COUNTS)."""
     if text is None:
         return None, 0, 0, 0, 0, 0, True, False, 0, 0, 0.0, "base"
@@ -103,12 +122,14 @@ def judge(text: str | None, min_words: int = 50, max_repeat: int = 50, max_lost:
     lines = text.split("\n")
     seen: set[str] = set()
     dup, bad, kept, lost = 0, 0, [], 0
+    prose = [ended(x) for x in lines if len(x.split()) >= rules.get("min_unpunctuated", 4)]
+    open_text = prose.count(False) > max_unpunctuated * len(prose)
     for line in lines:
         if line.strip(" \t\x0b\x0c\r"):
             if line in seen:
                 dup += 1
             seen.add(line)
-        if line_fault(line, **rules):
+        if line_fault(line, open_text, **rules):
             bad += 1
             lost += len(line)
         else:
@@ -120,10 +141,11 @@ def judge(text: str | None, min_words: int = 50, max_repeat: int = 50, max_lost:
     return "\n".join(kept), n, chars, symbols, dup, repeat, base, reason is None, len(lines), bad, share, reason
 
 
-def quality_rules(docs: DataFrame, **rules) -> DataFrame:
-    """docs with the clean text in text, n_chars after it, and the verdict in
-    `kept`; rows keep their other columns."""
-    keep = [c for c in docs.columns if c not in ("text", "n_chars")]
+def quality_rules(docs: DataFrame, verdict: str = "kept", **rules) -> DataFrame:
+    """docs with the clean text in text, n_chars after it, and the verdict in a
+    column of that name (in place of one that the input has); rows keep their
+    other columns."""
+    keep = [c for c in docs.columns if c not in ("text", "n_chars", verdict)]
 
     def make():
         def each(text, *rest):
@@ -132,8 +154,8 @@ def quality_rules(docs: DataFrame, **rules) -> DataFrame:
 
         return each
 
-    fields = [docs.schema[c] for c in keep] + [T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType()), T.StructField("kept", T.BooleanType())]
-    return map_rows(docs, ["text", *keep], T.StructType(fields), make).select(*docs.columns, "kept")
+    fields = [docs.schema[c] for c in keep] + [T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType()), T.StructField(verdict, T.BooleanType())]
+    return map_rows(docs, ["text", *keep], T.StructType(fields), make).select(*(c for c in docs.columns if c != verdict), verdict)
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
