@@ -12,7 +12,8 @@ shuffle, so no key, however frequent, gathers rows anywhere.
 
 Defined results: a null key is placed by the digest of an empty string; equal
 keys go to one shard; repeated rows keep their rows; an empty table gives no
-row; further columns stay, whatever their names.
+row; further columns stay, but for
+those named slot or shard, which are replaced.
 """
 
 from __future__ import annotations
@@ -53,12 +54,12 @@ def slot_of(key: Column, slots: int = SLOTS) -> Column:
 
 
 def sharded(df: DataFrame, key: str = "doc_id", shards: tuple[str, ...] = SHARDS, slots: int = SLOTS) -> DataFrame:
-    """df with slot and shard added."""
+    """df with slot and shard added, in place of columns of these names."""
     spark = df.sparkSession
     names = F.from_json(F.lit(json.dumps(list(shards))), "array<string>")
     lookup = spark.range(1).select(F.posexplode(F.from_json(F.lit(json.dumps(fill(tuple(shards), slots))), "array<int>")).alias("slot", "n")).select(F.col("slot").cast("long").alias("slot"), F.get(names, F.col("n")).alias("shard"))
-    own = df.columns
-    rows = df.select(F.struct(*own).alias("row"), slot_of(F.col(key), slots).alias("slot"))
+    own = [c for c in df.columns if c not in ("slot", "shard")]
+    rows = df.select(F.struct(*df.columns).alias("row"), slot_of(F.col(key), slots).alias("slot"))
     # `slots` rows, by parameter
     return rows.join(F.broadcast(lookup), "slot").select(*(F.col("row")[c].alias(c) for c in own), "slot", "shard")
 

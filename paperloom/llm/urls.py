@@ -5,7 +5,7 @@ tokens that any URL it matches must hold whole: runs of [a-z0-9]. It is filed
 under the one of them that the fewest URLs hold, counted over the whole table.
 The tokens of each distinct URL fetch the rules filed under them by an
 equi-join, and only those run their expression. The longest rule of the
-contract's kind decides; else a pattern of SPAM blocks; else the URL is allowed.
+contract's kind decides; else a pattern of SPAM or PATHS blocks; else the URL is allowed.
 
 Native. Rules that no token can file would have to be tried on every URL, so
 they are refused. The index is broadcast up to BROADCAST_RULES rules and joined
@@ -14,7 +14,8 @@ in a join of two plain scans, which Spark splits if one URL has very many pages.
 
 Defined results: a null URL, or one without "://", has an empty host and path,
 no rule and is allowed; a tie in length goes to the least rule string; repeated
-rows each keep their row; an empty table gives no row; further columns stay.
+rows each keep their row; an empty table gives no row; further columns stay,
+but for those of the added names, which are replaced.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ from .common import ascii_lower, table, written
 RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
 #: Words that name spam when they stand whole in a host.
 SPAM = ("spam", "pills", "casino", "viagra", "porn", "xxx", "warez", "torrent", "malware", "phishing")
+#: Paths that are no content: (token that must stand whole, pattern over host and path).
+PATHS = [("wp", r"^[^/]*/wp-(?:login|admin)\b"), ("cgi", r"^[^/]*/cgi-bin/"), ("calendar", r"/calendar/[0-9]{4}/[0-9]{1,2}(?:/|$)"), ("exe", r"\.exe$")]
 BROADCAST_RULES = 50_000
 
 INDEX_SCHEMA = "rule string, verdict string, pattern string, size int, tokens array<string>"
@@ -48,6 +51,12 @@ def spam_rule(word: str) -> tuple:
     return None, "block", rf"^[^/]*(?<![a-z0-9]){word}(?![a-z0-9])[^/]*", 0, [word]
 
 
+def path_rule(token: str, pattern: str) -> tuple:
+    """A pattern over host and path that needs a token; no rule of the
+    contract's kind."""
+    return None, "block", pattern, 0, [token]
+
+
 def host_of(url: Column) -> Column:
     return ascii_lower(F.coalesce(F.regexp_extract(url, r"(?s)^.*?://([^/?#]*)", 1), F.lit("")))
 
@@ -56,12 +65,12 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def url_filters(pages: DataFrame, rules: list[tuple] | DataFrame | None = None, spam=SPAM) -> DataFrame:
+def url_filters(pages: DataFrame, rules: list[tuple] | DataFrame | None = None, spam=SPAM, paths=PATHS) -> DataFrame:
     """pages with host, path, rule and verdict added; rules: (verdict, host,
     path), or a table of INDEX_SCHEMA for very many."""
     spark = pages.sparkSession
     if not isinstance(rules, DataFrame):
-        listed = [host_rule(*r) for r in (RULES if rules is None else rules)] + [spam_rule(w) for w in spam]
+        listed = [host_rule(*r) for r in (RULES if rules is None else rules)] + [spam_rule(w) for w in spam] + [path_rule(*p) for p in paths]
         if bad := [r[0] for r in listed if not r[4]]:
             raise ValueError(f"rules without a literal token: {bad}")
         rules, few = spark.createDataFrame(listed, INDEX_SCHEMA), len(listed) <= BROADCAST_RULES
@@ -77,8 +86,8 @@ def url_filters(pages: DataFrame, rules: list[tuple] | DataFrame | None = None,
     found = tokens.join(small(written(filed, "index")), "token").where(F.expr("regexp_like(place, pattern)"))
     best = found.groupBy("url").agg(F.min(F.struct((-F.col("size")).alias("rank"), "rule", "verdict")).alias("best"))
     best = written(best.select(F.col("url").alias("best_url"), "best"), "verdicts")
-    own = pages.columns
-    joined = pages.select(F.struct(*own).alias("row"), F.col("url").alias("best_url")).join(best, "best_url", "left")
+    own = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
+    joined = pages.select(F.struct(*pages.columns).alias("row"), F.col("url").alias("best_url")).join(best, "best_url", "left")
     url = F.col("row.url")
     return joined.select(*(F.col("row")[c].alias(c) for c in own), host_of(url).alias("host"), path_of(url).alias("path"), F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit("allow")).alias("verdict"))
 
@@ -102,7 +111,7 @@ judged AS (
           ORDER BY length(h || p) DESC, h || p LIMIT 1) AS best
   FROM parts)
 SELECT page_id, host, path, best.rule AS rule,
-       coalesce(best.verdict, CASE WHEN regexp_matches(host, '(^|[^a-z0-9])(""" + "|".join(SPAM) + r""")($|[^a-z0-9])')
+       coalesce(best.verdict, CASE WHEN regexp_matches(host, '(^|[^a-z0-9])(""" + "|".join(SPAM) + r""")($|[^a-z0-9])') OR """ + " OR ".join(f"regexp_matches(host || path, '{p}')" for _, p in PATHS) + r"""
                               THEN 'block' ELSE 'allow' END) AS verdict
 FROM judged
 """
