@@ -665,13 +665,15 @@ def chain(values):
 def test_line_runs_incrementally(spark):
     runs = lines.LineRuns(spark, fanout=2)
     batches = [[(1, "a" * 20), (1, "b" * 20)], [(2, "a" * 20), (2, "c" * 20)], [(3, "c" * 20), (3, "d" * 20)], [(9, "a" * 20), (8, "c" * 20)]]
-    fresh = [runs.add(lines.keyed_lines(spark.createDataFrame(rows, "doc_id long, text string"))).count() for rows in batches]
-    assert fresh == [2, 1, 1, 0] and [len(x) for x in runs.levels] == [0, 0, 1]
-    assert sorted(r.top for r in runs.spent().collect()) == [8, 9]  # a in 1, 2, 9; c in 2, 3, 8
+    added = lambda rows: runs.add(lines.keyed_lines(spark.createDataFrame(rows, "doc_id long, text string"))).count()
+    fresh = [added(rows) for rows in batches[:3]]
     # a batch meets a run where it lies: the run is neither dealt nor sorted again
-    keys = runs.spark.table(runs.stored(runs.runs()[0].repartition(runs.buckets, *lines.KEY), "batch"))
-    plan = runs.fresh(keys)._jdf.queryExecution().executedPlan().toString()
+    keys = runs.spark.table(runs.stored(spark.range(9).select(F.col("id").alias("h1"), F.col("id").alias("h2")).repartition(runs.buckets, *lines.KEY), "batch"))
+    plan = keys.join(runs.runs()[0].hint("merge"), lines.KEY, "left_anti")._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Exchange" not in plan and "Sort [" not in plan
+    fresh.append(added(batches[3]))
+    assert fresh == [2, 1, 1, 0] and [len(x) for x in runs.levels] == [0, 0, 1]
+    assert sorted(r.top for r in runs.spent().collect()) == [8, 9]  # a in 1, 2, 9; c in 2, 3, 8
     runs.close()
 
 
