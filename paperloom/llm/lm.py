@@ -46,8 +46,9 @@ from pyspark.sql import functions as F
 from .common import SLICE_ROWS, forget, shuffles_dropped, table, written
 
 ALPHA, LEAST, SLICES = 0.4, 2, 4
-#: Words that may be sent to all workers: those of at least N / FREQUENT places.
-FREQUENT = 1 << 17
+#: Words that may be sent to all workers: those of at least N / FREQUENT places,
+#: so at most FREQUENT of them, 16 MB with their counts, whatever the corpus.
+FREQUENT = 1 << 20
 #: Rows of one bigram that the merge pass holds.
 LARGE = 1 << 20
 #: Words that a worker counts at a time.
@@ -56,7 +57,7 @@ WORDS_HELD = 1 << 21
 SUMMED = 1 << 20
 UNIT = 10**10
 NO_ID = -(1 << 63)
-TF_BITS, WORD_BITS = 20, 22
+TF_BITS, WORD_BITS = 20, 21
 SEED = 42
 
 
@@ -345,8 +346,10 @@ def stupid_backoff(docs: DataFrame, alpha: float = ALPHA, least: int = LEAST, sl
         unigrams = written(seen.where("n is not null").groupBy("w").agg(F.sum("n").alias("cw")), "unigrams")
         total = unigrams.agg(F.sum("cw")).first()[0] or 1
         # at most `frequent` rows: their counts add up to no more than total
-        often = sorted((w % (1 << 64), c) for w, c in unigrams.where(F.col("cw") * frequent >= total).collect())
-        hashes, counts = np.array([w for w, _ in often], np.uint64), np.array([c for _, c in often], np.int64)
+        often = unigrams.where(F.col("cw") * frequent >= total).toArrow()
+        hashes, counts = often["w"].to_numpy().view(np.uint64), often["cw"].to_numpy()
+        order = np.argsort(hashes)
+        hashes, counts = hashes[order], counts[order]
         word = lambda c: unigrams.select(F.col("w").alias(c), "cw")
         doc = ["doc_id", "text_hash"]
         sums = []
