@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import forget, written
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -34,13 +34,15 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         moved = half.join(to_b, "b").where("pa <> pb").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b"))
         # a pointer that isn't a root yet stays tied to where it points
         chase = points.select(F.col("p").alias("v")).distinct().join(points, "v").where("p < v").select(F.col("p").alias("a"), F.col("v").alias("b"))
-        left = written(moved.unionByName(chase).distinct(), "edges")
+        before, left = left, written(moved.unionByName(chase).distinct(), "edges")
+        forget(before, near, half)
         if labels is None:
             labels = points.select(F.col("v").alias("vertex"), F.col("p").alias("root"))
         else:
             on = points.select(F.col("v").alias("root"), F.col("p").alias("next"))
             labels = labels.join(on, "root", "left").select("vertex", F.coalesce("next", "root").alias("root"))
-        labels = written(labels, "labels")
+        before, labels = labels, written(labels, "labels")
+        forget(before)
     if labels is None:
         return left.select(F.col("a").alias("vertex"), F.col("b").alias("root"))
     return labels

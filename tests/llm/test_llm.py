@@ -254,8 +254,9 @@ def plain_near_copies(rows):
     return Counter((i, min((k for k in ids[g] if k is not None), default=None)) for (i, _), g in zip(rows, group))
 
 
-@pytest.mark.parametrize("tile", [nearcopies.TILE, 5])
-def test_near_copies_against_all_pairs(spark, tile):
+@pytest.mark.parametrize("tile, members", [(nearcopies.TILE, nearcopies.MEMBERS), (5, 3)])
+def test_near_copies_against_all_pairs(spark, tile, members):
+    """With groups that fit a task, and with groups that don't."""
     r = random.Random(5)
     rows = list(ROWS)
     for family in range(6):
@@ -266,7 +267,7 @@ def test_near_copies_against_all_pairs(spark, tile):
                 words[r.randrange(len(words))] = f"changed{r.randrange(9)}"
             rows.append((1000 * family + 100 + k, " ".join(words)))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = Counter((x.doc_id, x.component_id) for x in nearcopies.near_copies(docs, tile).collect())
+    got = Counter((x.doc_id, x.component_id) for x in nearcopies.near_copies(docs, tile, members).collect())
     want = plain_near_copies(rows)
     assert got == want and 20 < sum(a != b for a, b in want.elements())
     assert nearcopies.near_copies(docs.limit(0)).count() == 0
