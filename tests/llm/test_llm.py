@@ -273,6 +273,17 @@ def test_near_copies_against_all_pairs(spark, tile, members):
     assert nearcopies.near_copies(docs.limit(0)).count() == 0
 
 
+def test_wide_maps_never_part_what_is_alike():
+    r = np.random.default_rng(3)
+    for n in (1, 200, 257, 300, 1000, 40000):
+        base = np.unique(r.integers(0, 1 << 64, n, dtype=np.uint64))
+        other = base[: max(1, n - n // 6)]  # at least 4/5 of base
+        strange = np.unique(r.integers(0, 1 << 64, n, dtype=np.uint64))
+        test = nearcopies.by_wide_maps([len(x) for x in (base, other, strange)], [nearcopies.wide_map(x) for x in (base, other, strange)])
+        assert test(0, 1) and test(1, 0)
+        assert n in (200, 40000) or not test(0, 2)  # too full a map tells nothing, without harm
+
+
 def test_pipeline_drops_near_copies_beyond_three_bits(spark):
     words = [f"w{k}" for k in range(100)]
     texts = [" ".join(words), " ".join(words[:86])]
