@@ -8,7 +8,7 @@ QNO_HEADER = r"(?i)^\s*Q\s*\.?\s*N\s*O\s*\.?\b"
 PAGE_FOOTER = r"(?i)^\s*Page\s+\d+\s*(?:/|\bof\b)\s*\d+\b"
 SECTION = r"^\s*(?i:Section|Part|Unit)\s*[-–—:]?\s*([A-Z]{1,2}|[IVXLC]{1,5}|\d{1,3})(?:\s*[—–\-:|]\s*(.+?))?\s*$"
 ATTEMPT_START = r"(?i)^\s*(?:Attempt|Answer)\b"
-ATTEMPT_SHAPE = r"(?i)\ball\s+\d+\s+questions?\b|\b\d+\s*out\s*of\s*\d+\b|\bcarries?\s+\d+\s*marks?\b|\bany\s+\d+\s+questions?\b|^\s*Answer\s+the\s+following\b"
+ATTEMPT_SHAPE = r"(?i)\ball\s+\d+\s+questions?\b|\b\d+\s*out\s*of\s*\d+\b|\bcarries?\s+\d+\s*marks?\b|\bany\s+\d+\s+questions?\b"
 INSTRUCTIONS_HEADING = r"(?i)^\s*(?:(?:general\s+)?instructions?|notes?)\s*:\s*$|^\s*(?:general\s+)?instructions?\s*$"
 DECLARED_ALL = r"(?i)^\s*(?:Attempt|Answer)\b.*?\ball\b\s+(\d+)\s*questions?"
 DECLARED_PICK = r"(?i)^\s*(?:Attempt|Answer)\b.*?\b(\d+)\s*out\s*of\s+\d+"
@@ -21,7 +21,7 @@ OPTION_MARK = r"\(([A-H])\)\s*"
 SUBPART = r"^\s*\((?:[A-Za-z]{1,4}|[ivx]{1,4})\)\s+\S"
 OR_SEPARATOR = r"(?i)^\s*OR\s*$"
 TRAILING_MARKS = r"^(.*[.?!…।])\s+(\d{1,3})$"
-SENTENCE_END = r"[.?!…।:]\s*$"
+SENTENCE_END = r"[.?!…।]\s*$"
 FIGURE_REF = r"(?i)\b(?:fig(?:ure)?\.?|diagram|graph|plot|sketch)\s*(?:\d+|(?:below|above|here|shown|given|accompanying|adjacent|opposite)\b)|\b(?:see|shown in|as shown in|refer to)\s+(?:the\s+|given\s+)?(?:fig(?:ure)?\.?|diagram|graph|plot)\b"
 FIGURE_BELOW = r"(?i)\bbelow\s+(?:is|are)\s+the\s+(?:fig(?:ure)?|diagram|graph)\b"
 NUMERICAL_HINTS = r"(?i)\b(calculate|compute|find|evaluate|determine|obtain|derive|prove|show that|verify|how many|how much|number of|value of|distance|area|perimeter|volume|height|width|length|cost|fare|rate|probability|equation|sum of|product of|simplify|factorise|expand)\b"

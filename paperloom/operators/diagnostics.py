@@ -63,14 +63,16 @@ def numbering(questions: DataFrame) -> DataFrame:
     """Order, start and gaps of the numbers, by their first occurrence."""
     numbers = questions.where(F.col("number").rlike("^[0-9]{1,9}$")).groupBy("paper_id", "number").agg(F.min("question_index").alias("at")).withColumn("n", F.col("number").cast("int"))
     falls = numbers.withColumn("before", F.lag("n").over(Window.partitionBy("paper_id").orderBy("at"))).groupBy("paper_id").agg(F.coalesce(F.bool_or(F.col("before") > F.col("n")), F.lit(False)).alias("falls"), F.min("n").alias("low"), F.max("n").alias("high"), F.count("*").alias("spelled"), F.collect_set("n").alias("have"))
-    missing = F.array_sort(F.array_except(F.sequence("low", "high"), F.col("have")))
-    rows = falls.withColumn("missing", missing)
+    gaps = numbers.withColumn("before", F.lag("n").over(Window.partitionBy("paper_id").orderBy("n"))).where("n - before > 1")
+    shown = F.sequence(F.col("before") + 1, F.least(F.col("n") - 1, F.col("before") + GAPS_SHOWN))  # however wide the gap
+    missing = gaps.groupBy("paper_id").agg(F.array_sort(F.flatten(F.collect_list(shown))).alias("missing"))
+    rows = falls
     return reduce(
         DataFrame.unionByName,
         [
             rows.where("falls").select(*finding("impossible_ordering", "error", "numbers do not ascend")),
             rows.where((F.col("low") != 1) & (F.size("have") == F.col("spelled"))).select(*finding("numbering_starts_above_one", "warning", F.concat(F.lit("starts at "), F.col("low").cast("string")))),
-            rows.where(F.size("missing") > 0).select(*finding("numbering_gap", "warning", F.concat(F.lit("missing "), F.array_join(F.transform(F.slice("missing", 1, GAPS_SHOWN), lambda x: x.cast("string")), ", ")))),
+            missing.select(*finding("numbering_gap", "warning", F.concat(F.lit("missing "), F.array_join(F.transform(F.slice("missing", 1, GAPS_SHOWN), lambda x: x.cast("string")), ", ")))),
         ],
     )
 

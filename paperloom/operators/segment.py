@@ -99,7 +99,7 @@ def read(lines: list[tuple[int, str]], relaxed: bool) -> Reading:
                 before = block.lines[-1]
                 fits = bool(RX["CHAPTER_TAG"].match(before) or RX["BARE_NUMBER"].match(before) or SPLIT_OPTIONS.search(before) or ENDED.search(before))
             if fits:
-                block = Block(start[1], page, section, title, marks, [start[3]])
+                block = Block(str(n), page, section, title, marks, [start[3]])
                 out.blocks.append(block)
                 expected, last = n + 1, n
                 seen.add(n)

@@ -44,6 +44,15 @@ def test_relaxed_reading_of_gaps():
     assert out["strategy"] == "relaxed" and numbers(out) == ["7", "8", "12"] and out["rejected"] == []
 
 
+def test_no_line_is_lost_to_an_instruction_that_declares_nothing():
+    out = parsed("1 Read the passage below.", "Answer the following in brief.", "Why did he go?", "2 And then?")
+    assert out["questions"][0]["text"] == "Read the passage below. Answer the following in brief. Why did he go?"
+
+
+def test_numbers_are_whole_numbers():
+    assert numbers(parsed("01 What is it?", "002 Why is it?")) == ["1", "2"]
+
+
 def test_preamble_sections_and_declared_count():
     out = parsed("General Instructions:", "1. Write neatly.", "2. Use ink.", "Section A: Grammar", "Attempt all 2 questions. Each carries 3 marks.", "1 Correct this.", "2 Correct that.", "Part of the text", "Section B", "3 Say why.")
     assert numbers(out) == ["1", "2", "3"] and out["declared_count"] == 2 and out["sections"] == ["A", "B"]
@@ -84,6 +93,8 @@ def test_classes_and_furniture(spark):
     assert [r.text for r in rows.where(line_class(F.col("text")) != F.col("want")).collect()] == []
     lines = [("p", pg, k, t) for pg in (1, 2) for k, t in enumerate(["Test series 9", f"{pg} What is it now?", "This is said twice.", "Some text", f"Page {pg}/2"], 1)]
     kept = pages.without_furniture(spark.createDataFrame(lines, "paper_id string, page int, line_no int, text string"))
+    heads = spark.createDataFrame([("p", pg, k, t) for pg in (1, 2) for k, t in enumerate(["Test series:", f"Body {pg}."], 1)], "paper_id string, page int, line_no int, text string")
+    assert sorted(r.text for r in pages.without_furniture(heads).collect()) == ["Body 1.", "Body 2."]
     assert sorted({r.text for r in kept.collect()}) == ["1 What is it now?", "2 What is it now?", "This is said twice."]
 
 
@@ -137,6 +148,7 @@ def test_paper_rules(spark):
     assert codes(spark, {}) == []
     assert {"duplicate_number", "duplicate_text"} <= set(codes(spark, {"text": "Same"}, {"number": "1", "text": "same!"}))
     assert {"impossible_ordering", "numbering_gap"} <= set(codes(spark, {"number": "4"}, {"number": "1"}))
+    assert "numbering_gap" in codes(spark, {"number": "1"}, {"number": "999999999"})
     assert "partial_sections" in codes(spark, {}, {"section": None})
     assert "section_reappears" in codes(spark, {}, {"section": "B"}, {})
     empty = diagnostics.no_questions(spark.createDataFrame([PAPER], PAPERS), spark.createDataFrame([], COLUMNS))
