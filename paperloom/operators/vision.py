@@ -11,18 +11,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
-from ..functions.text import joined, strip_fences, text_key
+from ..functions.text import joined, strip_fences, text_key, trimmed
 
 RAW = "metadata struct<subject:string,class:string,board:string>, questions array<struct<question_number:string,question_text:string,marks:string,question_type:string,options:array<string>,source_page:int,confidence:double,section:string,has_figure:boolean,choice_group:string>>"
 
 
+def replied() -> Column:
+    return F.from_json(strip_fences(F.col("reply")), RAW, {"mode": "PERMISSIVE"})
+
+
 def parse_items(replies: DataFrame) -> DataFrame:
     """replies (paper_id, page, reply) to items, one row each, or one row with
-    an error where the reply is no object with a list of questions. The page is
-    the real one, whatever the model claims."""
-    body = F.from_json(strip_fences(F.col("reply")), RAW, {"mode": "PERMISSIVE"})
-    rows = replies.select("paper_id", "page", body.alias("r"))
-    good = rows.where("r.questions is not null").select("paper_id", "page", F.posexplode("r.questions").alias("pos", "q"))
+    an error where the reply is no object with a list of questions, or where one
+    of them has no number: that rejects the whole reply. The page is the real
+    one, whatever the model claims."""
+    numbered = F.forall("r.questions", lambda q: F.coalesce(q["question_number"], F.lit("")) != "")
+    wrong = F.when(F.col("r.questions").isNull(), "the reply is no object with a list of questions").when(~numbered, "an item has no question_number")
+    rows = replies.select("paper_id", "page", replied().alias("r")).withColumn("error", wrong)
+    good = rows.where("error is null").select("paper_id", "page", F.posexplode("r.questions").alias("pos", "q"))
     number = F.nullif(F.col("q.question_number"), F.lit(""))
     text = F.coalesce("q.question_text", F.lit(""))
     section = F.nullif(F.replace(F.upper(F.trim(F.col("q.section"))), F.lit("SECTION "), F.lit("")), F.lit(""))
@@ -31,12 +37,17 @@ def parse_items(replies: DataFrame) -> DataFrame:
         F.when(F.col("q.question_type").isin(*P.VISION_TYPES), F.col("q.question_type")).otherwise("unknown").alias("kind"),
         F.coalesce("q.options", F.array().cast("array<string>")).alias("options"), F.coalesce("q.confidence", F.lit(0.0)).alias("confidence"), section.alias("section"),
         F.coalesce("q.has_figure", F.lit(False)).alias("has_figure"), F.coalesce("q.choice_group", F.when(text.rlike(r"\bOR\b"), number)).alias("choice_group"),
-        F.when(number.isNull(), "an item has no question_number").alias("error"),
+        F.lit(None).cast("string").alias("error"),
     )
-    bad = rows.where("r.questions is null").select("paper_id", "page", F.lit("the reply is no object with a list of questions").alias("error"))
+    bad = rows.where("error is not null").select("paper_id", "page", "error")
     return items.unionByName(bad, allowMissingColumns=True)
 
 
+def reply_metadata(replies: DataFrame) -> DataFrame:
+    """(paper_id, page, subject, class, board) that each reply states."""
+    return replies.select("paper_id", "page", replied().alias("r")).select("paper_id", "page", "r.metadata.subject", "r.metadata.class", "r.metadata.board")
+
+
 def canonical_marks(marks: Column) -> Column:
     """Whole numbers only; anything else is unknown."""
     n = marks.try_cast("double")
@@ -45,7 +56,8 @@ def canonical_marks(marks: Column) -> Column:
 
 def canonical(items: DataFrame) -> DataFrame:
     kinds = F.create_map(*(F.lit(x) for pair in P.VISION_TYPES.items() for x in pair))
-    return items.where("error is null").select("paper_id", "page", "idx", "number", "section", "text", canonical_marks(F.col("marks")).alias("marks"), F.coalesce(F.get(F.array(kinds), F.lit(0))[F.col("kind")], F.lit("short")).alias("type"), F.when(F.size("options") > 0, F.col("options")).alias("options"), "has_figure", "choice_group", "confidence")
+    sound = items.where("error is null") if "error" in items.columns else items
+    return sound.select("paper_id", "page", "idx", "number", "section", "text", canonical_marks(F.col("marks")).alias("marks"), F.coalesce(F.get(F.array(kinds), F.lit(0))[F.col("kind")], F.lit("short")).alias("type"), F.when(F.size("options") > 0, F.col("options")).alias("options"), "has_figure", "choice_group", "confidence")
 
 
 def option_label(option: Column) -> Column:
@@ -75,20 +87,26 @@ def first_known(name: str) -> Column:
 def merge_tiles(items: DataFrame) -> DataFrame:
     """Items of the overlapping tiles of a page, one for each number: options
     united, texts joined unless one holds the other, first known marks and
-    section, least confidence."""
-    once = items.groupBy("paper_id", "page", "number", F.substring("text", 1, 200).alias("head"), "options").agg(F.min_by(F.struct("idx", "text", "marks", "confidence", "section", "has_figure", "kind"), "idx").alias("i"))
-    groups = once.select("paper_id", "page", "number", "options", "i.*").groupBy("paper_id", "page", "number").agg(in_order("text", "marks", "confidence", "section", "has_figure", "options", "kind").alias("all"))
+    section, least confidence, a figure if any has one; all else is the first
+    item's. Numbers and texts are compared without white space around them."""
+    number, head = trimmed(F.col("number")), F.substring(trimmed(F.col("text")), 1, 200)
+    every = [c for c in items.columns if c not in ("paper_id", "page")]
+    once = items.groupBy("paper_id", "page", number.alias("key"), head.alias("head"), F.col("options").alias("key_options")).agg(F.min_by(F.struct(*every), "idx").alias("i"))
+    groups = once.select("paper_id", "page", "key", "i.*").groupBy("paper_id", "page", "key").agg(in_order(*(c for c in every if c != "idx")).alias("all"))
     text = F.aggregate(field("text"), F.lit(None).cast("string"), lambda a, b: F.when(a.isNull(), b).when(F.contains(a, b), a).when(F.contains(b, a), b).otherwise(F.trim(F.concat(a, F.lit(" "), b))))
-    return groups.select("paper_id", "page", F.col("all")[0]["idx"].alias("idx"), "number", text.alias("text"), first_known("marks").alias("marks"), F.col("all")[0]["kind"].alias("kind"), option_union(field("options")).alias("options"), F.array_min(field("confidence")).alias("confidence"), first_known("section").alias("section"), F.exists("all", lambda x: x["has_figure"]).alias("has_figure"))
+    folded = {"text": text, "marks": first_known("marks"), "options": option_union(field("options")), "confidence": F.array_min(field("confidence")), "section": first_known("section"), "has_figure": F.exists("all", lambda x: x["has_figure"])}
+    return groups.select("paper_id", "page", *(folded.get(c, F.col("all")[0][c]).alias(c) for c in every))
 
 
 def dedupe_by_text(items: DataFrame) -> DataFrame:
-    """One item for each wording of a page: the first; options united, first
-    known marks, least confidence. Texts without any [a-z0-9] have no key and
-    all stay."""
+    """One item for each wording of a page: the first, whole; options united,
+    first known marks, least confidence. Texts without any [a-z0-9] have no key
+    and all stay."""
+    every = [c for c in items.columns if c not in ("paper_id", "page")]
     keyed = items.withColumn("key", text_key(F.col("text"))).withColumn("own", F.when(F.col("key") == "", F.col("idx")))
-    groups = keyed.groupBy("paper_id", "page", "key", "own").agg(in_order("number", "text", "marks", "confidence", "options").alias("all"))
-    return groups.select("paper_id", "page", F.col("all")[0]["idx"].alias("idx"), F.col("all")[0]["number"].alias("number"), F.col("all")[0]["text"].alias("text"), first_known("marks").alias("marks"), F.array_min(field("confidence")).alias("confidence"), option_union(field("options")).alias("options"))
+    groups = keyed.groupBy("paper_id", "page", "key", "own").agg(in_order(*(c for c in every if c != "idx")).alias("all"))
+    folded = {"marks": first_known("marks"), "confidence": F.array_min(field("confidence")), "options": option_union(field("options"))}
+    return groups.select("paper_id", "page", *(folded.get(c, F.col("all")[0][c]).alias(c) for c in every))
 
 
 def dedupe_across_pages(items: DataFrame) -> DataFrame:

@@ -3,10 +3,12 @@
 Everything that is decided is a column; a provider is called from mapInPandas,
 for the rows that still need it. The cache is joined before planning, so a hit
 costs no call. The loop runs at most max_attempts times, each over unfinished
-rows only; finished rows leave it."""
+rows only; finished rows leave it. What a review objects to is told to the next
+attempt."""
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
 import pandas as pd
@@ -14,11 +16,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
+from ..functions.arithmetic import calculate
+from ..functions.context import question_context
 from ..functions.identity import work_item_id
 from ..functions.scoring import STORE_LEAST, blank, confidence, payload_errors, strictly
 from ..sources.provider import Provider
+from .store import cache_lookup
 
-TIERS = {"easy": "cheap", "hard": "reasoning"}
+COMPLEXITIES, MAX_REQUESTS = ("easy", "moderate", "hard"), 4
 MAX_ATTEMPTS, LEAST_CORRECTNESS, NO_VERDICT = 2, 0.8, 0.45
 
 
@@ -49,9 +54,60 @@ def model_tier(complexity: Column, wanted: Column) -> Column:
     return F.when(complexity.isin("easy", "moderate", "hard"), F.when(wanted.isin("cheap", "standard", "reasoning"), wanted).otherwise(own))
 
 
-def calculator_requests(requests: Column, most: int = 4) -> Column:
-    """Of the first `most` tool requests, the calculator's."""
-    return F.filter(F.slice(requests, 1, most), lambda r: r["name"] == "calculator")
+def calculated(requests: list | None) -> list[dict]:
+    """Results of the calculator's requests among the first MAX_REQUESTS; what
+    can't be calculated has its error."""
+    out = []
+    for r in requests[:MAX_REQUESTS] if isinstance(requests, list) else []:
+        if not isinstance(r, dict) or r.get("name") != "calculator":
+            continue
+        said = {"name": "calculator", "purpose": str(r.get("purpose", "")), "expression": str(r.get("expression", "")), "result": None, "error": None}
+        try:
+            out.append(said | {"result": float(calculate(said["expression"]))})
+        except Exception as e:
+            out.append(said | {"error": str(e)})
+    return out
+
+
+PLANNED = "work_item_id string, said_complexity string, said_tier string, said_vision boolean, tool_results array<struct<name:string,purpose:string,expression:string,result:double,error:string>>, plan_error string"
+PLAN_FIELDS = ["work_item_id", "said_complexity", "said_tier", "said_vision", "tool_results", "plan_error"]
+
+
+def planned(items: DataFrame, provider: Provider, concurrency: int) -> DataFrame:
+    """items with complexity, model_tier, needs_vision, tool_results and
+    plan_error by the planner; where it fails or names no complexity, its error
+    and the fallback's plan."""
+
+    def one(row: dict) -> dict:
+        out = dict.fromkeys(PLAN_FIELDS) | {"work_item_id": row["work_item_id"]}
+        try:
+            plan = provider.plan(row)
+            if plan.get("complexity") not in COMPLEXITIES:
+                raise ValueError("the plan names no complexity")
+            return out | {"said_complexity": plan["complexity"], "said_tier": plan.get("model_tier"), "said_vision": plan.get("needs_vision") is True, "tool_results": calculated(plan.get("tool_requests"))}
+        except Exception as e:  # a planner's failure is its row's fallback
+            return out | {"plan_error": str(e)}
+
+    def run(batches):
+        for rows in batches:
+            yield pd.DataFrame([one(r) for r in rows.to_dict("records")], columns=PLAN_FIELDS)
+
+    asked = items.select("work_item_id", "number", "text", "marks", question_context(items).alias("context"))
+    plans = asked.repartition(concurrency, "work_item_id").mapInPandas(run, PLANNED)
+    own = F.col("plan_error").isNull()
+    rows = fallback_plan(items).join(plans, "work_item_id")
+    return rows.withColumns({
+        "model_tier": F.when(own, model_tier(F.col("said_complexity"), F.col("said_tier"))).otherwise(F.col("model_tier")),
+        "complexity": F.when(own, F.col("said_complexity")).otherwise(F.col("complexity")),
+        "needs_vision": F.when(own, F.col("said_vision")).otherwise(F.col("needs_vision")),
+    }).drop("said_complexity", "said_tier", "said_vision")
+
+
+def dispatched(items: DataFrame, papers: DataFrame) -> DataFrame:
+    """Items to be solved, with what their paper states (subject, class_name,
+    board): those of failed papers go straight to their paper's status."""
+    facts = [c for c in ("subject", "class_name", "board") if c in papers.columns and c not in items.columns]
+    return items.join(papers.where("status is null or status <> 'failed'").select("paper_id", *facts), "paper_id")
 
 
 def verdict(items: DataFrame) -> DataFrame:
@@ -80,19 +136,27 @@ def finalized(items: DataFrame) -> DataFrame:
     })
 
 
-CALLED = "work_item_id string, answer string, steps array<string>, mark_split array<struct<marks:int,`for`:string>>, common_mistakes array<struct<wrong:string,why:string>>, generation_error string, passed boolean, correctness double, answer_review_passed boolean, independent_check_passed boolean, review_error string"
-FIELDS = [f.split()[0] for f in CALLED.replace("array<struct<marks:int,`for`:string>>", "x").replace("array<struct<wrong:string,why:string>>", "x").split(", ")]
+CALLED = "work_item_id string, answer string, steps array<string>, mark_split array<struct<marks:int,`for`:string>>, common_mistakes array<struct<wrong:string,why:string>>, generation_error string, passed boolean, correctness double, answer_review_passed boolean, independent_check_passed boolean, review_error string, issues array<string>"
+FIELDS = ["work_item_id", "answer", "steps", "mark_split", "common_mistakes", "generation_error", "passed", "correctness", "answer_review_passed", "independent_check_passed", "review_error", "issues"]
+NO_FIGURE = "the figure isn't available"
 
 
 def called(items: DataFrame, provider: Provider, concurrency: int) -> DataFrame:
     """One generation and one review of each row. A row that fails has its
     error; it never fails its neighbours. concurrency bounds the calls made at
-    once."""
+    once. A figure that is needed is interpreted first; without its image there
+    is no call."""
 
     def one(row: dict) -> dict:
         out = dict.fromkeys(FIELDS) | {"work_item_id": row["work_item_id"]}
         if row["needs_vision"]:
-            return out | {"generation_error": "the figure isn't available"}
+            if not row["figure_image"]:
+                return out | {"generation_error": NO_FIGURE}
+            try:
+                said = provider.interpret_figure(bytes(row["figure_image"]))
+                row = row | {"context": json.dumps(json.loads(row["context"]) | {"figure_interpretation": said}, ensure_ascii=False)}
+            except Exception as e:
+                return out | {"generation_error": f"the figure can't be interpreted: {e}"}
         try:
             out |= provider.solve(row)
         except Exception as e:  # a worker's failure is its row's result
@@ -104,25 +168,46 @@ def called(items: DataFrame, provider: Provider, concurrency: int) -> DataFrame:
 
     def run(batches):
         for rows in batches:
+            rows["feedback"] = [list(x) for x in rows["feedback"]]
             yield pd.DataFrame([one(r) for r in rows.to_dict("records")], columns=FIELDS)
 
-    columns = ["work_item_id", "number", "text", "marks", "attempts", "needs_vision"]
-    return items.select(*columns).repartition(concurrency, "work_item_id").mapInPandas(run, CALLED)
+    columns = ["work_item_id", "number", "text", "marks", "attempts", "needs_vision", "model_tier", "feedback", "figure_image"]
+    return items.select(*columns, question_context(items).alias("context")).repartition(concurrency, "work_item_id").mapInPandas(run, CALLED)
+
+
+def from_cache(hits: DataFrame) -> DataFrame:
+    """Results of items that the cache holds: completed without a call, and not
+    stored again."""
+    return hits.withColumns({
+        "answer": F.col("cached_answer"), "confidence": F.col("cached_confidence"), "verified_by": F.col("cached_by"), "status": F.lit("passed"), "has_solution": F.lit(True),
+        "needs_teacher_check": F.lit(False), "result_status": F.lit("completed"), "store": F.lit(False),
+    })
 
 
-def solve(items: DataFrame, provider: Provider, cut, concurrency: int = 8, max_attempts: int = MAX_ATTEMPTS) -> DataFrame:
+def solve(items: DataFrame, provider: Provider, cut, concurrency: int = 8, max_attempts: int = MAX_ATTEMPTS, solved: DataFrame | None = None) -> DataFrame:
     """Results of all items. cut writes a DataFrame and reads it back, so that
-    no call is repeated when a result is used again or an executor is lost."""
-    todo = cut(fallback_plan(items))
+    no call is repeated when a result is used again or an executor is lost.
+    solved: rows that items with a question_signature may reuse. figure_image:
+    items may have one."""
+    hits = None
+    if solved is not None:
+        looked = cut(cache_lookup(items.drop("cache_status"), solved))
+        hits = from_cache(looked.where("cache_status = 'hit'"))
+        items = looked.where("cache_status = 'miss'").select(*items.columns)
+    if "figure_image" not in items.columns:
+        items = items.withColumn("figure_image", F.lit(None).cast("binary"))
+    todo = cut(planned(items, provider, concurrency).withColumn("feedback", F.array().cast("array<string>")))
     done = []
     for attempt in range(1, max_attempts + 1):
         rows = todo.withColumn("attempts", F.lit(attempt)).join(called(todo, provider, concurrency), "work_item_id")
         errors = payload_errors(F.col("answer"), F.col("steps"), F.col("mark_split"), F.col("common_mistakes"), F.col("marks"))
-        rows = rows.withColumn("has_solution", F.col("generation_error").isNull() & (F.size(errors) == 0)).withColumn("generation_error", F.coalesce("generation_error", F.when(F.size(errors) > 0, F.array_join(errors, "; ")))).withColumn("has_image", F.lit(False))
-        rows = cut(route(verdict(rows)))
+        rows = rows.withColumn("has_solution", F.col("generation_error").isNull() & (F.size(errors) == 0)).withColumn("generation_error", F.coalesce("generation_error", F.when(F.size(errors) > 0, F.array_join(errors, "; ")))).withColumn("has_image", F.col("figure_image").isNotNull())
+        told = F.when(F.col("review_error").isNotNull(), F.array(F.concat(F.lit("the review failed: "), F.col("review_error")))).when(F.col("has_solution"), F.coalesce("issues", F.array().cast("array<string>"))).otherwise(F.col("feedback"))
+        rows = cut(route(verdict(rows)).withColumn("feedback", told))
         done.append(rows.where("next = 'finalize'"))
         todo = rows.where("next = 'generate'").select(*todo.columns)
-    return finalized(reduce(DataFrame.unionByName, done))
+    out = finalized(reduce(DataFrame.unionByName, done)).drop("figure_image")
+    return out if hits is None else out.unionByName(hits.drop("figure_image"), allowMissingColumns=True)
 
 
 def reconciled(items: DataFrame, results: DataFrame) -> tuple[DataFrame, DataFrame]:

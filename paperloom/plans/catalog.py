@@ -13,8 +13,9 @@ from ..functions import patterns as P
 from ..functions.arithmetic import safe_calculate
 from ..functions.scoring import confidence, payload_errors
 from ..functions.text import carried_marks, declared_count, figure_flag, line_class, normalize_text, option_groups, promotable, question_type, section_label, text_key, trailing_marks
+from ..functions.context import question_context
 from ..functions.identity import question_signature
-from ..operators import diagnostics, pages, segment, store, vision, workflow
+from ..operators import diagnostics, ingest, pages, segment, store, vision, workflow
 from ..sources.provider import OfflineProvider
 from ..sources.readers import lines_of_texts
 from ..streaming.checkpoints import current, upsert_stream
@@ -116,6 +117,19 @@ def segment_papers(spark, sf_dir):
     return parsed.select("paper_id", "strategy", F.explode("questions").alias("q")).select("paper_id", "q.number", "q.section", "q.marks", "strategy")
 
 
+@query(f"""WITH {S.SQL_QUESTIONS}, {S.SQL_LINES}, firsts AS (
+  SELECT paper_id, number, arg_min(section, question_index) AS section, min(question_index) AS place FROM questions GROUP BY paper_id, number),
+marks AS (SELECT l_orderkey::VARCHAR AS paper_id, l_linenumber::VARCHAR AS number, arg_min(l_quantity::INT, ({S.SQL_ORDER})) AS marks FROM lineitem GROUP BY 1, 2),
+named AS (SELECT paper_id, section, min(place) AS place FROM firsts GROUP BY 1, 2),
+heads AS (SELECT paper_id, string_agg(section, ',' ORDER BY place) AS sections FROM named GROUP BY 1),
+said AS (SELECT paper_id, sum(regexp_extract(text, 'all ([0-9]+) questions', 1)::INT) AS declared FROM lines WHERE text LIKE 'Attempt%' GROUP BY 1)
+SELECT paper_id, 'ready' AS status, count(*)::INT AS total_questions, sum(marks) AS total_marks, any_value(sections) AS sections, any_value(declared)::INT AS declared, 1 AS total_pages
+FROM firsts JOIN marks USING (paper_id, number) JOIN heads USING (paper_id) JOIN said USING (paper_id) GROUP BY paper_id""")
+def paper_assembly(spark, sf_dir):
+    papers = ingest.text_papers(S.order_lines(spark, sf_dir), cut).papers
+    return papers.select("paper_id", "status", "total_questions", "total_marks", F.array_join("sections", ",").alias("sections"), F.col("declared_question_count").alias("declared"), "total_pages")
+
+
 @query(f"""SELECT doc_id, CASE WHEN regexp_matches(text, {quoted(P.CASE_STUDY)}) THEN 'long' WHEN n_chars % 9 >= 5 THEN 'long' WHEN regexp_matches(text, {quoted(P.NUMERICAL_HINTS)}) THEN 'numerical' ELSE 'short' END AS type,
   regexp_matches(text, {quoted(P.FIGURE_REF)}) OR regexp_matches(text, {quoted(P.FIGURE_BELOW)}) AS has_figure,
   CASE WHEN regexp_extract(text || ' 7', {quoted("(?s)" + P.TRAILING_MARKS)}, 2) <> '' THEN 7 END AS trailing
@@ -249,6 +263,13 @@ def work_items(spark, sf_dir):
     return workflow.work_items(conversation_questions(spark, sf_dir)).select("work_item_id", "question_index", "max_attempts")
 
 
+@query("""SELECT conv_id::VARCHAR AS paper_id, turn::INT AS question_index, json_object('question_number', turn::VARCHAR, 'question_text', coalesce(text, ''), 'marks', CASE WHEN turn % 3 <> 0 THEN turn::INT END,
+  'options', NULL, 'has_figure', turn % 7 = 6, 'section', NULL, 'section_title', NULL, 'chapter', NULL, 'figure_interpretation', NULL, 'tool_results', NULL, 'subject', NULL, 'class_name', NULL, 'board', NULL)::VARCHAR AS context FROM conversations""")
+def question_contexts(spark, sf_dir):
+    questions = conversation_questions(spark, sf_dir)
+    return questions.select("paper_id", "question_index", question_context(questions).alias("context"))
+
+
 @query("SELECT conv_id::VARCHAR AS paper_id, count(*) AS total_questions, count(*) FILTER (trim(text) = '' OR text IS NULL) AS errors, CASE WHEN count(*) FILTER (trim(text) = '' OR text IS NULL) > 0 THEN 'failed' ELSE 'solving' END AS status FROM conversations GROUP BY 1")
 def prepared_papers(spark, sf_dir):
     return workflow.prepared(workflow.work_items(conversation_questions(spark, sf_dir)))
@@ -400,7 +421,9 @@ def first_questions(spark, sf_dir):
     return store.first_questions(conversation_questions(spark, sf_dir), 3).select("paper_id", "question_index")
 
 
-@query()
+@query("""SELECT conv_id || ':q:' || lpad(turn::VARCHAR, 4, '0') AS work_item_id, CASE WHEN blank THEN 'failed' ELSE 'passed' END AS status, CASE WHEN blank THEN 0 WHEN turn % 3 <> 0 THEN 0.99 ELSE 0.9 END::DOUBLE AS confidence,
+  CASE WHEN blank OR turn % 5 = 0 THEN 2 ELSE 1 END AS attempts, CASE WHEN blank THEN 'failed' ELSE 'completed' END AS result_status, NOT blank AS store
+FROM (SELECT *, trim(coalesce(text, '')) = '' AS blank FROM conversations)""")
 def solve_loop(spark, sf_dir):
     done = workflow.solve(workflow.work_items(conversation_questions(spark, sf_dir)), OfflineProvider(), cut)
     return done.select("work_item_id", "status", "confidence", "attempts", "result_status", "store")

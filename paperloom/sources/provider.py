@@ -25,6 +25,7 @@ class Provider(Protocol):
     def solve(self, item: dict) -> dict: ...
     def review(self, item: dict, solution: dict) -> dict: ...
     def read_image(self, image: bytes, page: int) -> str: ...
+    def interpret_figure(self, image: bytes) -> str: ...
 
 
 class OfflineProvider:
@@ -52,6 +53,9 @@ class OfflineProvider:
     def read_image(self, image: bytes, page: int) -> str:
         return '{"metadata": {}, "questions": []}'
 
+    def interpret_figure(self, image: bytes) -> str:
+        raise CapabilityUnavailable("no model here reads figures")
+
 
 REGISTRY: dict[str, Callable[..., Provider]] = {"offline": OfflineProvider}
 

@@ -1,12 +1,16 @@
 """Layout, merge, store and workflow rules on small fixtures of our own."""
 
+import hashlib
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
 from paperloom.functions.arithmetic import calculate
+from paperloom.functions.context import KEYS, question_context
 from paperloom.functions.identity import question_signature
 from paperloom.functions.text import line_class, normalize_text, strip_fences
-from paperloom.operators import diagnostics, pages, segment, store, vision, workflow
+from paperloom.operators import diagnostics, ingest, pages, segment, store, vision, workflow
 from paperloom.sources import provider, readers
 from paperloom.sources.settings import Settings
 from paperloom.streaming.checkpoints import current, upsert_stream
@@ -161,7 +165,7 @@ def test_paper_rules(spark):
 
 
 def test_replies_to_items(spark):
-    replies = [("p", 4, '```json\n{"questions": [{"question_number": 7, "question_text": "This OR that", "marks": "2.0", "question_type": "odd", "section": "Section b", "source_page": 99}, {"question_text": "no number"}]}\n```'), ("p", 5, "sorry"), ("p", 6, '{"questions": 3}')]
+    replies = [("p", 4, '```json\n{"questions": [{"question_number": 7, "question_text": "This OR that", "marks": "2.0", "question_type": "odd", "section": "Section b", "source_page": 99}]}\n```'), ("p", 5, "sorry"), ("p", 6, '{"questions": 3}'), ("p", 7, '{"questions": [{"question_number": 8}, {"question_text": "no number"}]}')]
     items = vision.parse_items(spark.createDataFrame(replies, "paper_id string, page int, reply string"))
     assert items.where("error is not null").count() == 3
     (q,) = vision.canonical(items).collect()
@@ -172,6 +176,15 @@ def test_replies_to_items(spark):
 ITEM = "paper_id string, page int, idx long, number string, text string, marks string, kind string, options array<string>, confidence double, section string, has_figure boolean"
 
 
+def test_vision_steps_chain(spark):
+    rows = [("p", 1, 1, " 1", "This OR that", "2", "mcq", ["(A) x"], 0.9, "A", True, "1"), ("p", 1, 2, "1 ", " This OR that", None, "mcq", ["(B) y"], 0.4, None, False, None), ("p", 1, 3, "i", "this or THAT", None, "short", [], 0.8, None, False, None)]
+    items = spark.createDataFrame(rows, ITEM + ", choice_group string")
+    merged = vision.merge_tiles(items)
+    assert sorted(merged.columns) == sorted(items.columns)
+    (q,) = vision.canonical(vision.dedupe_across_pages(vision.dedupe_by_text(merged))).collect()
+    assert (q.section, q.choice_group, q.has_figure, q.type, q.marks, q.options, q.confidence) == ("A", "1", True, "mcq", 2, ["(A) x", "(B) y"], 0.4)
+
+
 def test_tiles_merge(spark):
     rows = [("p", 1, 1, "1", "Find x", None, "mcq", ["(A) 1", "(B) 2"], 0.9, None, False), ("p", 1, 2, "1", "Find x in this", "3", "mcq", ["(b) two", "(C) 3", "free"], 0.4, "A", True), ("p", 1, 3, "1", "and y", None, "mcq", [], 0.8, "B", False), ("p", 1, 4, "2", "Other", None, "mcq", [], 0.8, None, False), ("p", 1, 5, "2", "Other", None, "mcq", [], 0.8, None, False)]
     one, two = sorted(vision.merge_tiles(spark.createDataFrame(rows, ITEM)).collect(), key=lambda r: r.number)
@@ -222,6 +235,9 @@ def test_upserts_are_idempotent(spark):
 
 
 class Broken(provider.OfflineProvider):
+    def plan(self, item):
+        raise RuntimeError("no planner")
+
     def solve(self, item):
         if item["number"] == "0":
             raise RuntimeError("worker down")
@@ -251,6 +267,111 @@ def test_solve_loop(spark, tmp_path):
     assert done["5"].attempts == 2
 
 
+class Careful(provider.OfflineProvider):
+    """Passes what was told of an issue, reads figures, plans by the text."""
+
+    def plan(self, item):
+        if item["number"] == "0":
+            raise RuntimeError("no planner")
+        if item["number"] == "1":
+            return {"complexity": "odd"}
+        request = {"name": "calculator", "expression": "2 * 21"}
+        return {"complexity": "easy", "model_tier": "own", "needs_vision": item["number"] in "34", "tool_requests": [{"name": "search"}, request, {"name": "calculator", "expression": "1 / 0"}, request, request]}
+
+    def solve(self, item):
+        context = json.loads(item["context"])
+        said = "; ".join(str(r["result"]) for r in context["tool_results"] or [])
+        return super().solve(item) | {"answer": f"{item['model_tier']} {said} {context['figure_interpretation'] or ''} {','.join(item['feedback'])}".strip()}
+
+    def review(self, item, solution):
+        good = item["number"] != "2" or item["feedback"] == ["the unit is missing"]
+        return super().review(item | {"attempts": 1}, solution) | {"passed": good, "issues": [] if good else ["the unit is missing"]}
+
+    def interpret_figure(self, image):
+        return f"{len(image)} bytes"
+
+
+def test_plan_cache_figures_and_feedback(spark, tmp_path):
+    rows = [("p", k, str(k), f"Question {k}", 2, False, b"abc" if k == 3 else None, "s" if k == 5 else f"none{k}") for k in range(6)]
+    items = workflow.work_items(spark.createDataFrame(rows, "paper_id string, question_index int, number string, text string, marks int, has_figure boolean, figure_image binary, question_signature string"))
+    known = solved(spark, ("p", "p:q:0000", 1, "s", "1", False, "passed", "m", "v", 0.95, "old", "v", 1))
+
+    def cut(df, n=[0]):
+        n[0] += 1
+        df.write.parquet(f"{tmp_path}/{n[0]}")
+        return spark.read.parquet(f"{tmp_path}/{n[0]}")
+
+    done = {r.number: r for r in workflow.solve(items, Careful(), cut, 2, solved=known).collect()}
+    assert len(done) == 6
+    assert (done["0"].plan_error, done["0"].model_tier, done["0"].answer) == ("no planner", "standard", "standard")
+    assert (done["1"].plan_error, done["1"].complexity) == ("the plan names no complexity", "moderate")
+    assert (done["2"].attempts, done["2"].answer, done["2"].result_status) == (2, "cheap 42.0; None; 42.0  the unit is missing", "completed")
+    assert (done["3"].answer, done["3"].result_status) == ("cheap 42.0; None; 42.0 3 bytes", "completed")
+    assert (done["4"].generation_error, done["4"].result_status) == (workflow.NO_FIGURE, "needs_review")
+    assert (done["5"].answer, done["5"].result_status, done["5"].attempts, done["5"].store, done["5"].verified_by) == ("old", "completed", 0, False, "cache:signature:v")
+
+
+def test_dispatch_and_context(spark):
+    items = spark.createDataFrame([("p", "1"), ("q", "1"), ("none", "1")], "paper_id string, number string")
+    papers = spark.createDataFrame([("p", "solving", "Maths"), ("q", "failed", "Art")], "paper_id string, status string, subject string")
+    out = workflow.dispatched(items, papers)
+    (row,) = out.select("paper_id", question_context(out).alias("c")).collect()
+    assert row.paper_id == "p" and list(json.loads(row.c)) == list(KEYS)
+    assert json.loads(row.c) == dict.fromkeys(KEYS) | {"question_number": "1", "question_text": "", "has_figure": False, "subject": "Maths"}
+
+
+# --- ingest
+
+
+def cutter(spark, folder):
+    def cut(df, n=[0]):
+        n[0] += 1
+        df.write.parquet(f"{folder}/cut{n[0]}")
+        return spark.read.schema(df.schema).parquet(f"{folder}/cut{n[0]}")
+
+    return cut
+
+
+def test_files_to_papers(spark, tmp_path):
+    pages_of = {b"%PDF-good": [["Subject: Maths  |  Class: 10", "Total Marks: 5", "Section A", "1 What is a prime number, in words? 2", "Page 1/2"], ["2 Prove that two is one. 3", "9 apples are here", "Page 2/2"]], b"%PDF-twice": [["1 What is a prime number in words?", "1 What is a prime number in words, then?"]], b"%PDF-short": [["x"]]}
+    (tmp_path / "in").mkdir()
+    for k, content in enumerate([*pages_of, b"%PDF-broken", b"GIF89a"]):
+        (tmp_path / "in" / f"{k}.pdf").write_bytes(content)
+    done = ingest.file_papers(spark, str(tmp_path / "in"), lambda content: pages_of[content], cutter(spark, tmp_path), board="CBSE")
+    ids = {k: "pap_" + hashlib.sha256(k).hexdigest()[:8] for k in [*pages_of, b"%PDF-broken", b"GIF89a"]}
+    papers = {r.paper_id: r for r in done.papers.collect()}
+    good = papers[ids[b"%PDF-good"]]
+    assert len(papers) == 2 and (good.subject, good.class_name, good.board, good.total_questions, good.total_marks, good.sections, good.total_pages, good.declared_total_marks) == ("Maths", "10", "CBSE", 2, 5, ["A"], 2, 5)
+    found = {(r.paper_id, r.code) for r in done.diagnostics.collect()}
+    assert {c for p, c in found if p == good.paper_id} == {"rejected_question_candidate"}
+    assert {(ids[k], "unreadable") for k in (b"%PDF-short", b"%PDF-broken", b"GIF89a")} == {f for f in found if f[1] == "unreadable"}
+    assert [q["number"] for q in ingest.question_dicts(done, good.paper_id)] == ["1", "2"]
+    with pytest.raises(diagnostics.InvalidPapers):
+        done.raise_if_invalid()
+
+
+class Reader(provider.OfflineProvider):
+    def read_image(self, image, page):
+        if image == b"bad":
+            raise RuntimeError("no model")
+        return image.decode()
+
+
+def test_images_to_papers(spark, tmp_path):
+    def reply(*questions, **metadata):
+        return json.dumps({"metadata": metadata, "questions": [{"question_number": n, "question_text": t, "marks": m, "question_type": "short", "section": "Section A", "confidence": c} for n, t, m, c in questions]}).encode()
+
+    images = [("p", 1, reply(("1", "What is a noun?", 2, 0.9), ("i", "what is a NOUN", None, 0.9))), ("p", 2, reply(("1", "What is a noun?", 2, 0.9), ("2", "What is a verb?", 3, 0.3), subject="English")), ("q", 1, b"bad"), ("r", 1, b"no json"), ("s", 0, reply())]
+    done = ingest.image_papers(spark.createDataFrame(images, "paper_id string, page int, content binary"), Reader(), cutter(spark, tmp_path))
+    papers = {r.paper_id: r for r in done.papers.collect()}
+    p = papers["p"]
+    assert (p.subject, p.total_questions, p.total_marks, p.sections, p.total_pages) == ("English", 2, 5, ["A"], 2)
+    assert [(q["question_index"], q["number"], q["page"]) for q in ingest.question_dicts(done, "p")] == [(0, "1", 1), (1, "2", 2)]
+    found = {(r.paper_id, r.code) for r in done.diagnostics.collect()}
+    assert {c for k, c in found if k == "p"} == {"low_confidence"}
+    assert {("q", "unreadable"), ("r", "unreadable"), ("r", "no_questions"), ("s", "unreadable")} <= found
+
+
 def test_paper_status(spark):
     papers = spark.createDataFrame([("none",), ("lost",), ("part",), ("fine",)], "paper_id string")
     results = spark.createDataFrame([("lost", "failed"), ("part", "failed"), ("part", "completed"), ("fine", "needs_review")], "paper_id string, status string")
