@@ -284,6 +284,23 @@ def test_wide_maps_never_part_what_is_alike():
         assert n in (200, 40000) or not test(0, 2)  # too full a map tells nothing, without harm
 
 
+def test_whole_sets_are_dealt_once(spark):
+    docs = spark.createDataFrame([(k, f"{k} " + "some words that are said again and again " * 4) for k in range(40)] * 2, "doc_id long, text string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        with nearcopies.buckets_kept(spark):
+            rows = nearcopies.stored_rows(nearcopies.shingle_sets(docs))
+            assert rows.count() == 80
+            sets = nearcopies.once(nearcopies.sets_of(rows), rows.select("sid"))
+            plan = sets._jdf.queryExecution().executedPlan().toString()
+            # only the wanted ids are dealt, and no whole set is sorted again
+            assert plan.count("Exchange hashpartitioning") == 1 and not re.search(r"Sort \[.*\n.*\n.*\n.*hashes", plan), plan
+            assert sets.count() == sets.select("sid").distinct().count() == 40
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_pipeline_drops_near_copies_beyond_three_bits(spark):
     words = [f"w{k}" for k in range(100)]
     texts = [" ".join(words), " ".join(words[:86])]
