@@ -27,16 +27,16 @@ def payload_errors(answer: Column, steps: Column, mark_split: Column, mistakes:
     named = lambda name, col, bad, text: F.transform(F.filter(F.transform(col, lambda x, i: F.struct(bad(x).alias("bad"), i.alias("i"))), lambda x: x["bad"]), lambda x: F.concat(F.lit(f"{name}["), x["i"].cast("string"), F.lit(f"] {text}")))
     total = split_total(mark_split)
     single = [
-        F.when(blank(answer), "answer must be a non-empty string."),
-        F.when(steps.isNull() | F.exists(steps, blank), "steps must be a list of non-empty strings."),
-        F.when(mark_split.isNull(), "mark_split must be a list."),
-        F.when(marks.isNotNull() & (F.size(mark_split) > 0) & (total > marks), F.concat(F.lit("mark_split totals "), total.cast("string"), F.lit(", exceeding question marks ("), marks.cast("string"), F.lit(")."))),
-        F.when(mistakes.isNull(), "common_mistakes must be a list."),
+        F.when(blank(answer), "no answer"),
+        F.when(steps.isNull() | F.exists(steps, blank), "steps missing or blank"),
+        F.when(mark_split.isNull(), "no mark_split"),
+        F.when(marks.isNotNull() & (F.size(mark_split) > 0) & (total > marks), F.concat(F.lit("mark_split adds up to "), total.cast("string"), F.lit(" of "), marks.cast("string"))),
+        F.when(mistakes.isNull(), "no common_mistakes"),
     ]
     none = F.array().cast("array<string>")
     items = [
-        F.coalesce(named("mark_split", mark_split, lambda x: F.coalesce(x["marks"] < 0, F.lit(True)) | x["for"].isNull(), "must contain a non-negative integer marks and string 'for'."), none),
-        F.coalesce(named("common_mistakes", mistakes, lambda x: x["wrong"].isNull() | x["why"].isNull(), "must contain string fields 'wrong' and 'why'."), none),
+        F.coalesce(named("mark_split", mark_split, lambda x: F.coalesce(x["marks"] < 0, F.lit(True)) | x["for"].isNull(), "has no marks of 0 or more, or no for"), none),
+        F.coalesce(named("common_mistakes", mistakes, lambda x: x["wrong"].isNull() | x["why"].isNull(), "lacks wrong or why"), none),
     ]
     return F.concat(F.filter(F.array(*single), lambda x: x.isNotNull()), *items)
 

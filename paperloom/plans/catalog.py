@@ -42,7 +42,11 @@ def quoted(pattern: str) -> str:
 
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder where all executors can read and write."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="paperloom-")
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        root = tempfile.mkdtemp(prefix="paperloom-")
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -297,11 +301,11 @@ DERIVED = f"d AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey
 
 
 @query(f"""WITH {DERIVED} SELECT l_orderkey, place, array_to_string(list_filter([
-  CASE WHEN n = 2 THEN 'answer must be a non-empty string.' END, CASE WHEN n = 4 THEN 'steps must be a list of non-empty strings.' END,
-  CASE WHEN q - 5 + n > marks THEN 'mark_split totals ' || (q - 5 + n) || ', exceeding question marks (' || marks || ').' END,
-  CASE WHEN n = 5 THEN 'common_mistakes must be a list.' END,
-  CASE WHEN q < 5 THEN 'mark_split[0] must contain a non-negative integer marks and string ''for''.' END,
-  CASE WHEN n = 3 THEN 'mark_split[1] must contain a non-negative integer marks and string ''for''.' END], lambda x: x IS NOT NULL), '|') AS errors FROM d""")
+  CASE WHEN n = 2 THEN 'no answer' END, CASE WHEN n = 4 THEN 'steps missing or blank' END,
+  CASE WHEN q - 5 + n > marks THEN 'mark_split adds up to ' || (q - 5 + n) || ' of ' || marks END,
+  CASE WHEN n = 5 THEN 'no common_mistakes' END,
+  CASE WHEN q < 5 THEN 'mark_split[0] has no marks of 0 or more, or no for' END,
+  CASE WHEN n = 3 THEN 'mark_split[1] has no marks of 0 or more, or no for' END], lambda x: x IS NOT NULL), '|') AS errors FROM d""")
 def payload_check(spark, sf_dir):
     d = derived_solutions(spark, sf_dir)
     return d.select("l_orderkey", "place", F.array_join(payload_errors(*(F.col(c) for c in ("answer", "steps", "mark_split", "mistakes", "marks"))), "|").alias("errors"))
