@@ -17,6 +17,7 @@ MODULES = {
     "op8_packing": "packing",
     "op9_sharding": "sharding",
     "op10_fingerprints": "syncmers",
+    "op13_periods": "periods",
 }
 
 QUERIES = {name: getattr(import_module(f"{__package__}.{module}"), name) for name, module in MODULES.items()}
