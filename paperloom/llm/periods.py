@@ -163,7 +163,8 @@ def periodic_runs(docs: DataFrame, least_words: int = LEAST_WORDS, exponent: int
     own = [c for c in docs.columns if c not in names]
     runs, collapsed = names
     row = free_name(docs, "row")
-    rows = docs.select(F.struct(*docs.columns).alias(row))
+    # exploded, as the test of the length would else take the text's own expressions along, over and over
+    rows = docs.select(F.explode(F.array(F.struct(*docs.columns))).alias(row))
     shape = T.StructType([rows.schema[row], *T.StructType.fromDDL(f"`{runs}` {RUNS}, `{collapsed}` string").fields])
     text = F.col(row)["text"]
     long = F.coalesce(F.length(text) > whole_chars, F.lit(False))
