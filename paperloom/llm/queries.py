@@ -17,6 +17,7 @@ MODULES = {
     "op8_packing": "packing",
     "op9_sharding": "sharding",
     "op10_fingerprints": "syncmers",
+    "op11_variants": "variants",
     "op12_secrets": "secretscan",
     "op13_periods": "periods",
 }
