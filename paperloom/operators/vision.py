@@ -11,41 +11,83 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
+from ..functions import shapes as H
 from ..functions.text import joined, strip_fences, text_key, trimmed
+from . import diagnostics
 
-RAW = "metadata struct<subject:string,class:string,board:string>, questions array<struct<question_number:string,question_text:string,marks:string,question_type:string,options:array<string>,source_page:int,confidence:double,section:string,has_figure:boolean,choice_group:string>>"
+SCHEMA_INVALID = "schema_invalid"
+
+#: What a reply's item should hold. Fields not in STRICT are read whatever they
+#: hold: numbers as texts, anything but nothing as true.
+EXPECTED = {
+    "question_number": (H.STRING, H.NUMBER), "question_text": (H.STRING, H.NULL), "marks": (H.NUMBER, H.STRING, H.NULL), "question_type": (H.STRING, H.NULL), "options": (H.ARRAY, H.NULL), "options[]": (H.STRING,),
+    "confidence": (H.NUMBER, H.NULL), "section": (H.STRING, H.NUMBER, H.NULL), "has_figure": (H.BOOLEAN, H.NULL), "choice_group": (H.STRING, H.NUMBER, H.NULL),
+}
+STRICT = ("question_text", "question_type", "options")
+#: Leaves that the tiles of a page may have, and items that a leaf may have.
+LEAVES, MOST_ITEMS = 4, 100_000
 
 
 def replied() -> Column:
-    return F.from_json(strip_fences(F.col("reply")), RAW, {"mode": "PERMISSIVE"})
+    return F.try_parse_json(strip_fences(F.col("reply")))
+
+
+def place(tile: Column) -> Column:
+    """The order of a page's tiles (their way of halves): the first leaf below."""
+    return F.conv(F.rpad(tile, LEAVES.bit_length() - 1, "0"), 2, 10).cast("long")
 
 
 def parse_items(replies: DataFrame) -> DataFrame:
-    """replies (paper_id, page, reply) to items, one row each, or one row with
-    an error where the reply is no object with a list of questions, or where one
-    of them has no number: that rejects the whole reply. The page is the real
-    one, whatever the model claims."""
-    numbered = F.forall("r.questions", lambda q: F.coalesce(q["question_number"], F.lit("")) != "")
-    wrong = F.when(F.col("r.questions").isNull(), "the reply is no object with a list of questions").when(~numbered, "an item has no question_number")
-    rows = replies.select("paper_id", "page", replied().alias("r")).withColumn("error", wrong)
-    good = rows.where("error is null").select("paper_id", "page", F.posexplode("r.questions").alias("pos", "q"))
-    number = F.nullif(F.col("q.question_number"), F.lit(""))
-    text = F.coalesce("q.question_text", F.lit(""))
-    section = F.nullif(F.replace(F.upper(F.trim(F.col("q.section"))), F.lit("SECTION "), F.lit("")), F.lit(""))
-    items = good.select(
-        "paper_id", "page", (F.col("page") * 100000 + F.col("pos")).cast("long").alias("idx"), number.alias("number"), text.alias("text"), F.col("q.marks").alias("marks"),
-        F.when(F.col("q.question_type").isin(*P.VISION_TYPES), F.col("q.question_type")).otherwise("unknown").alias("kind"),
-        F.coalesce("q.options", F.array().cast("array<string>")).alias("options"), F.coalesce("q.confidence", F.lit(0.0)).alias("confidence"), section.alias("section"),
-        F.coalesce("q.has_figure", F.lit(False)).alias("has_figure"), F.coalesce("q.choice_group", F.when(text.rlike(r"\bOR\b"), number)).alias("choice_group"),
-        F.lit(None).cast("string").alias("error"),
+    """replies (paper_id, page, reply, and tile where a page was read in parts) to
+    items, one row each, or one row with an error where the reply is no object
+    with a list of questions, or where one of them is no object or has no number:
+    that rejects the whole reply. The page is the real one, whatever the model
+    claims. misfits tells fields of another type than expected, with their path."""
+    keys = ["paper_id", "page", *(c for c in ("tile",) if c in replies.columns)]
+    rows = replies.select(*keys, replied().alias("r"))
+    rows = rows.select(*keys, F.try_variant_get(H.member(F.col("r"), "questions"), "$", "array<variant>").alias("questions"))
+    number = H.as_text(H.member(F.col("q"), "question_number"))
+    wrong = (
+        F.when(F.col("questions").isNull(), "the reply is no object with a list of questions")
+        .when(F.exists("questions", lambda q: F.coalesce(H.kind_of(q) != H.OBJECT, F.lit(True))), "an item is no object")
+        .when(F.exists("questions", lambda q: F.coalesce(H.as_text(H.member(q, "question_number")), F.lit("")) == ""), "an item has no question_number")
+    )
+    rows = rows.withColumn("error", wrong)
+    good = rows.where("error is null").select(*keys, F.posexplode("questions").alias("pos", "q"))
+    # each field is taken out once, and read in the next step
+    held = good.select(*keys, "pos", number.alias("number"), *(H.member(F.col("q"), n).alias(n) for n in EXPECTED if n not in ("question_number", "options[]")), H.misfits(F.col("q"), EXPECTED, F.concat(F.lit("questions["), F.col("pos").cast("string"), F.lit("]"))).alias("misfits"))
+    text = F.coalesce(H.as_text(F.col("question_text")), F.lit(""))
+    kind = H.as_text(F.col("question_type"))
+    listed = F.try_variant_get("options", "$", "array<variant>")
+    section = F.nullif(F.replace(F.upper(F.trim(H.as_text(F.col("section")))), F.lit("SECTION "), F.lit("")), F.lit(""))
+    leaf = F.col("page").cast("long") * LEAVES + (place(F.col("tile")) if "tile" in keys else 0)
+    items = held.select(
+        *keys, (leaf * MOST_ITEMS + F.col("pos")).alias("idx"), "number", text.alias("text"), H.as_text(F.col("marks")).alias("marks"),
+        F.when(kind.isin(*P.VISION_TYPES), kind).otherwise("unknown").alias("kind"),
+        F.coalesce(F.transform(listed, H.as_text), F.array().cast("array<string>")).alias("options"),
+        F.coalesce(F.when(H.kind_of(F.col("confidence")) == H.NUMBER, F.try_variant_get("confidence", "$", "double")), F.lit(0.0)).alias("confidence"), section.alias("section"),
+        H.truthy(F.col("has_figure")).alias("has_figure"), F.coalesce(H.as_text(F.col("choice_group")), F.when(text.rlike(r"\bOR\b"), F.col("number"))).alias("choice_group"),
+        "misfits", F.lit(None).cast("string").alias("error"),
     )
-    bad = rows.where("error is not null").select("paper_id", "page", "error")
+    bad = rows.where("error is not null").select(*keys, "error")
     return items.unionByName(bad, allowMissingColumns=True)
 
 
+def schema_findings(items: DataFrame) -> DataFrame:
+    """Diagnostics of items' misfits: errors of fields that must have their type,
+    warnings of those that are read whatever they hold."""
+    told = items.select("paper_id", "page", "number", F.explode("misfits").alias("m"))
+    strict = F.regexp_extract("m.path", r"^questions\[[0-9]+\]\.([a-z_]+)", 1).isin(*STRICT)
+    said = F.concat("m.path", F.lit(": expected "), "m.expected", F.lit(", found "), "m.found")
+    finding = diagnostics.finding(SCHEMA_INVALID, "error", said, F.col("page"), F.col("number"))
+    return told.select(*(F.when(strict, "error").otherwise("warning").alias("severity") if k == 2 else c for k, c in enumerate(finding)))
+
+
 def reply_metadata(replies: DataFrame) -> DataFrame:
-    """(paper_id, page, subject, class, board) that each reply states."""
-    return replies.select("paper_id", "page", replied().alias("r")).select("paper_id", "page", "r.metadata.subject", "r.metadata.class", "r.metadata.board")
+    """(paper_id, page, subject, class, board) that each reply states, and its tile."""
+    keys = ["paper_id", "page", *(c for c in ("tile",) if c in replies.columns)]
+    rows = replies.select(*keys, H.member(replied(), "metadata").alias("m"))
+    return rows.select(*keys, *(H.as_text(H.member(F.col("m"), n)).alias(n) for n in ("subject", "class", "board")))
 
 
 def canonical_marks(marks: Column) -> Column:
@@ -84,18 +126,18 @@ def first_known(name: str) -> Column:
     return F.get(F.filter(field(name), lambda x: x.isNotNull()), F.lit(0))
 
 
-def merge_tiles(items: DataFrame) -> DataFrame:
-    """Items of the overlapping tiles of a page, one for each number: options
+def merge_tiles(items: DataFrame, keys: tuple[str, ...] = ("paper_id", "page")) -> DataFrame:
+    """Items of the overlapping tiles of a page (or of what keys name), one for each number: options
     united, texts joined unless one holds the other, first known marks and
     section, least confidence, a figure if any has one; all else is the first
     item's. Numbers and texts are compared without white space around them."""
     number, head = trimmed(F.col("number")), F.substring(trimmed(F.col("text")), 1, 200)
-    every = [c for c in items.columns if c not in ("paper_id", "page")]
-    once = items.groupBy("paper_id", "page", number.alias("key"), head.alias("head"), F.col("options").alias("key_options")).agg(F.min_by(F.struct(*every), "idx").alias("i"))
-    groups = once.select("paper_id", "page", "key", "i.*").groupBy("paper_id", "page", "key").agg(in_order(*(c for c in every if c != "idx")).alias("all"))
+    every = [c for c in items.columns if c not in keys]
+    once = items.groupBy(*keys, number.alias("key"), head.alias("head"), F.col("options").alias("key_options")).agg(F.min_by(F.struct(*every), "idx").alias("i"))
+    groups = once.select(*keys, "key", "i.*").groupBy(*keys, "key").agg(in_order(*(c for c in every if c != "idx")).alias("all"))
     text = F.aggregate(field("text"), F.lit(None).cast("string"), lambda a, b: F.when(a.isNull(), b).when(F.contains(a, b), a).when(F.contains(b, a), b).otherwise(F.trim(F.concat(a, F.lit(" "), b))))
     folded = {"text": text, "marks": first_known("marks"), "options": option_union(field("options")), "confidence": F.array_min(field("confidence")), "section": first_known("section"), "has_figure": F.exists("all", lambda x: x["has_figure"])}
-    return groups.select("paper_id", "page", *(folded.get(c, F.col("all")[0][c]).alias(c) for c in every))
+    return groups.select(*keys, *(folded.get(c, F.col("all")[0][c]).alias(c) for c in every))
 
 
 def dedupe_by_text(items: DataFrame) -> DataFrame:
@@ -117,8 +159,10 @@ def dedupe_across_pages(items: DataFrame) -> DataFrame:
 
 
 def merge_metadata(pages: DataFrame, keys: tuple[str, ...] = ("subject", "class", "board")) -> DataFrame:
-    """The first value of each key that isn't empty, in page order."""
-    return pages.groupBy("paper_id").agg(*(F.min_by(k, F.when(F.coalesce(F.col(k), F.lit("")) != "", F.col("page"))).alias(k) for k in keys))
+    """The first value of each key that isn't empty, in the order of pages and
+    their tiles."""
+    at = F.struct("page", place(F.col("tile")).alias("tile")) if "tile" in pages.columns else F.col("page")
+    return pages.groupBy("paper_id").agg(*(F.min_by(k, F.when(F.coalesce(F.col(k), F.lit("")) != "", at)).alias(k) for k in keys))
 
 
 def confidences(items: DataFrame) -> DataFrame:

@@ -20,11 +20,14 @@ from ..functions.arithmetic import calculate
 from ..functions.context import question_context
 from ..functions.identity import work_item_id
 from ..functions.scoring import STORE_LEAST, blank, confidence, payload_errors, strictly
-from ..sources.provider import Provider
+from ..sources.calls import structured
+from ..sources.provider import Provider, with_retries
 from .store import cache_lookup
 
 COMPLEXITIES, MAX_REQUESTS = ("easy", "moderate", "hard"), 4
 MAX_ATTEMPTS, LEAST_CORRECTNESS, NO_VERDICT = 2, 0.8, 0.45
+#: Calls of a request that fails for a passing reason, and seconds between them.
+RETRIES, PAUSE = 3, 1.0
 
 
 def work_items(questions: DataFrame, max_attempts: int = MAX_ATTEMPTS) -> DataFrame:
@@ -73,7 +76,7 @@ PLANNED = "work_item_id string, said_complexity string, said_tier string, said_v
 PLAN_FIELDS = ["work_item_id", "said_complexity", "said_tier", "said_vision", "tool_results", "plan_error"]
 
 
-def planned(items: DataFrame, provider: Provider, concurrency: int) -> DataFrame:
+def planned(items: DataFrame, provider: Provider, concurrency: int, retries: int = RETRIES, pause: float = PAUSE) -> DataFrame:
     """items with complexity, model_tier, needs_vision, tool_results and
     plan_error by the planner; where it fails or names no complexity, its error
     and the fallback's plan."""
@@ -81,7 +84,7 @@ def planned(items: DataFrame, provider: Provider, concurrency: int) -> DataFrame
     def one(row: dict) -> dict:
         out = dict.fromkeys(PLAN_FIELDS) | {"work_item_id": row["work_item_id"]}
         try:
-            plan = provider.plan(row)
+            plan = structured(lambda: provider.plan(row), retries, pause)
             if plan.get("complexity") not in COMPLEXITIES:
                 raise ValueError("the plan names no complexity")
             return out | {"said_complexity": plan["complexity"], "said_tier": plan.get("model_tier"), "said_vision": plan.get("needs_vision") is True, "tool_results": calculated(plan.get("tool_requests"))}
@@ -141,7 +144,7 @@ FIELDS = ["work_item_id", "answer", "steps", "mark_split", "common_mistakes", "g
 NO_FIGURE = "the figure isn't available"
 
 
-def called(items: DataFrame, provider: Provider, concurrency: int) -> DataFrame:
+def called(items: DataFrame, provider: Provider, concurrency: int, retries: int = RETRIES, pause: float = PAUSE) -> DataFrame:
     """One generation and one review of each row. A row that fails has its
     error; it never fails its neighbours. concurrency bounds the calls made at
     once. A figure that is needed is interpreted first; without its image there
@@ -153,16 +156,16 @@ def called(items: DataFrame, provider: Provider, concurrency: int) -> DataFrame:
             if not row["figure_image"]:
                 return out | {"generation_error": NO_FIGURE}
             try:
-                said = provider.interpret_figure(bytes(row["figure_image"]))
+                said = with_retries(lambda: provider.interpret_figure(bytes(row["figure_image"])), retries, pause)
                 row = row | {"context": json.dumps(json.loads(row["context"]) | {"figure_interpretation": said}, ensure_ascii=False)}
             except Exception as e:
                 return out | {"generation_error": f"the figure can't be interpreted: {e}"}
         try:
-            out |= provider.solve(row)
+            out |= structured(lambda: provider.solve(row), retries, pause)
         except Exception as e:  # a worker's failure is its row's result
             return out | {"generation_error": str(e)}
         try:
-            return out | provider.review(row, out)
+            return out | structured(lambda: provider.review(row, out), retries, pause)
         except Exception as e:
             return out | {"review_error": str(e)}
 
@@ -184,22 +187,25 @@ def from_cache(hits: DataFrame) -> DataFrame:
     })
 
 
-def solve(items: DataFrame, provider: Provider, cut, concurrency: int = 8, max_attempts: int = MAX_ATTEMPTS, solved: DataFrame | None = None) -> DataFrame:
+def solve(items: DataFrame, provider: Provider, cut, concurrency: int = 8, max_attempts: int = MAX_ATTEMPTS, solved: DataFrame | None = None, papers: DataFrame | None = None, retries: int = RETRIES, pause: float = PAUSE) -> DataFrame:
     """Results of all items. cut writes a DataFrame and reads it back, so that
     no call is repeated when a result is used again or an executor is lost.
     solved: rows that items with a question_signature may reuse. figure_image:
-    items may have one."""
+    items may have one. papers (paper_id, status, ...): items of failed ones are
+    not solved, the others get what their paper states."""
     hits = None
+    if papers is not None:
+        items = cut(dispatched(items, papers))
     if solved is not None:
         looked = cut(cache_lookup(items.drop("cache_status"), solved))
         hits = from_cache(looked.where("cache_status = 'hit'"))
         items = looked.where("cache_status = 'miss'").select(*items.columns)
     if "figure_image" not in items.columns:
         items = items.withColumn("figure_image", F.lit(None).cast("binary"))
-    todo = cut(planned(items, provider, concurrency).withColumn("feedback", F.array().cast("array<string>")))
+    todo = cut(planned(items, provider, concurrency, retries, pause).withColumn("feedback", F.array().cast("array<string>")))
     done = []
     for attempt in range(1, max_attempts + 1):
-        rows = todo.withColumn("attempts", F.lit(attempt)).join(called(todo, provider, concurrency), "work_item_id")
+        rows = todo.withColumn("attempts", F.lit(attempt)).join(called(todo, provider, concurrency, retries, pause), "work_item_id")
         errors = payload_errors(F.col("answer"), F.col("steps"), F.col("mark_split"), F.col("common_mistakes"), F.col("marks"))
         rows = rows.withColumn("has_solution", F.col("generation_error").isNull() & (F.size(errors) == 0)).withColumn("generation_error", F.coalesce("generation_error", F.when(F.size(errors) > 0, F.array_join(errors, "; ")))).withColumn("has_image", F.col("figure_image").isNotNull())
         told = F.when(F.col("review_error").isNotNull(), F.array(F.concat(F.lit("the review failed: "), F.col("review_error")))).when(F.col("has_solution"), F.coalesce("issues", F.array().cast("array<string>"))).otherwise(F.col("feedback"))

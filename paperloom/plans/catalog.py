@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -19,42 +15,9 @@ from ..operators import diagnostics, ingest, pages, segment, store, vision, work
 from ..sources.provider import OfflineProvider
 from ..sources.readers import lines_of_texts
 from ..streaming.checkpoints import current, upsert_stream
+from . import reading  # noqa: F401  registers its queries
 from . import shapes as S
-
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    def register(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return register
-
-
-def quoted(pattern: str) -> str:
-    return "'" + pattern.replace("'", "''") + "'"
-
-
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder where all executors can read and write."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        if not spark.sparkContext.master.split("[")[0] == "local":
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        root = tempfile.mkdtemp(prefix="paperloom-")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def cut(df: DataFrame) -> DataFrame:
-    path = shared_folder(df.sparkSession, "cut")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
+from .registry import ORACLE_SQL, QUERIES, cut, query, quoted, shared_folder
 
 KEY = "substr(regexp_replace(lower(coalesce(text, '')), '[^a-z0-9]+', '', 'g'), 1, 160)"
 

@@ -1,17 +1,22 @@
-"""Model providers behind one interface, with an offline stub.
+"""Model providers behind one interface, with offline ones.
 
 There is no network here: real providers are registered by who has one. The
-stub answers deterministically from the question's text.
+stub answers deterministically from the question's text; no provider here reads
+figures. Replies may be texts or objects, or calls.Reply with the reason that
+the model ended.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import time
 from collections.abc import Callable
 from typing import Any, Protocol
 
-RETRIED = re.compile(r"429|timeout|timed out|temporar|50[234]", re.I)
+#: What failures say that pass, that don't before the quota's next period, and how long to wait.
+RETRIED = re.compile(r"429|rate_limit|timeout|timed out|temporar|50[234]", re.I)
+DAILY = re.compile(r"tokens per day|\bTPD\b|requests per day|\bRPD\b|monthly", re.I)
 WAIT_HINT = re.compile(r"try again in ([0-9.]+)\s*s", re.I)
 LONGEST_WAIT = 60.0
 
@@ -24,7 +29,7 @@ class Provider(Protocol):
     def plan(self, item: dict) -> dict: ...
     def solve(self, item: dict) -> dict: ...
     def review(self, item: dict, solution: dict) -> dict: ...
-    def read_image(self, image: bytes, page: int) -> str: ...
+    def read_image(self, image: bytes, page: int) -> Any: ...
     def interpret_figure(self, image: bytes) -> str: ...
 
 
@@ -57,7 +62,33 @@ class OfflineProvider:
         raise CapabilityUnavailable("no model here reads figures")
 
 
-REGISTRY: dict[str, Callable[..., Provider]] = {"offline": OfflineProvider}
+class NoProvider:
+    """None of the capabilities."""
+
+    def __getattr__(self, name: str) -> Callable[..., Any]:
+        if name.startswith("__"):
+            raise AttributeError(name)
+        raise CapabilityUnavailable(f"no model was given that could {name.replace('_', ' ')}")
+
+
+class LineReader(OfflineProvider):
+    """Reads pages that are texts in UTF-8: each line is a question, its number
+    stands before the first tab. Its replies end after `most_lines` lines, as a
+    model's do after so many tokens."""
+
+    def __init__(self, most_lines: int = 40, **options: Any):
+        super().__init__(**options)
+        self.most_lines = most_lines
+
+    def read_image(self, image: bytes, page: int):
+        from .calls import CUT_OFF, Reply
+
+        lines = image.decode().split("\n")
+        items = [dict(zip(("question_number", "question_text"), (*x.split("\t", 1), ""))) for x in lines[: self.most_lines]]
+        return Reply(json.dumps({"metadata": {}, "questions": items}, ensure_ascii=False), CUT_OFF if len(lines) > self.most_lines else "stop")
+
+
+REGISTRY: dict[str, Callable[..., Provider]] = {"offline": OfflineProvider, "lines": LineReader}
 
 
 def register(name: str, make: Callable[..., Provider]) -> None:
@@ -82,7 +113,7 @@ def with_retries(call: Callable[[], Any], attempts: int = 3, pause: float = 1.0,
         try:
             return call()
         except Exception as e:
-            if k >= attempts or not RETRIED.search(str(e)) or "per day" in str(e).lower():
+            if k >= attempts or not RETRIED.search(f"{type(e).__name__}: {e}") or DAILY.search(str(e)):
                 raise
             hint = WAIT_HINT.search(str(e))
-            sleep(min(LONGEST_WAIT, float(hint[1]) if hint else pause * k))
+            sleep(min(LONGEST_WAIT, float(hint[1]) + 0.5 if hint else pause * k))

@@ -12,7 +12,9 @@ from ..functions.identity import file_fingerprint, paper_id
 from ..functions.text import normalise
 
 LEAST_TEXT, LARGEST_UPLOAD, LARGEST_IMAGE = 40, 25 << 20, 20 << 20
+IMAGES, IMAGE_SUFFIX = ("png", "jpeg", "webp"), r"(?i)\.(png|jpe?g|webp)$"
 IMAGE_NAMES = "*.{png,jpg,jpeg,webp,PNG,JPG,JPEG,WEBP}"
+Extract = Callable[[bytes], Iterable[Iterable[str]]]
 STATIC_PAPER = "paper_metadata struct<paper_id:string,fingerprint:string,subject:string,class:string,exam:string,total_marks:int,time_allowed:string,board:string>, questions array<struct<number:string,section:string,text:string,marks:int,type:string,options:array<string>,has_figure:boolean,page:int,choice_group:string,chapter:string>>"
 BOOK = "paper_id string, fingerprint string, status string, metadata map<string,string>, total_questions int, solutions array<struct<question_number:string,answer:string,steps:array<string>,mark_split:array<struct<marks:int,`for`:string>>,common_mistakes:array<struct<wrong:string,why:string>>,confidence:double,verified_by:string,needs_teacher_check:boolean>>"
 
@@ -29,22 +31,31 @@ def kind_of(content: Column) -> Column:
     return F.when(head.startswith("25504446"), "pdf").when(head.startswith("89504E470D0A1A0A"), "png").when(head.startswith("FFD8FF"), "jpeg").when(head.startswith("52494646") & head.endswith("57454250"), "webp").otherwise("other")
 
 
-def binaries(spark: SparkSession, path: str, names: str = "*") -> DataFrame:
-    """(path, length, content, fingerprint, paper_id, kind, error), a row for
-    each file: a bad file has its error, it doesn't fail the others."""
-    df = spark.read.format("binaryFile").option("pathGlobFilter", names).load(path)
+def described(files: DataFrame) -> DataFrame:
+    """(path, length, content, fingerprint, paper_id, kind, error) of files (path,
+    length, content): a bad file has its error, it doesn't fail the others."""
     kind = kind_of(F.col("content"))
-    image = kind.isin("png", "jpeg", "webp")
-    error = F.when(F.col("length") == 0, "the file is empty").when(F.col("length") > F.when(image, LARGEST_IMAGE).otherwise(LARGEST_UPLOAD), "the file is too large").when(kind == "other", "neither PDF nor image")
+    error = F.when(F.col("length") == 0, "the file is empty").when(F.col("length") > F.when(kind.isin(*IMAGES), LARGEST_IMAGE).otherwise(LARGEST_UPLOAD), "the file is too large").when(kind == "other", "neither PDF nor image")
     print_ = file_fingerprint(F.col("content"))
-    return df.select("path", "length", "content", print_.alias("fingerprint"), paper_id(print_).alias("paper_id"), kind.alias("kind"), error.alias("error"))
+    return files.select("path", "length", "content", print_.alias("fingerprint"), paper_id(print_).alias("paper_id"), kind.alias("kind"), error.alias("error"))
+
+
+def binaries(spark: SparkSession, path: str, names: str = "*") -> DataFrame:
+    """The files of a folder or pattern, a row each."""
+    return described(spark.read.format("binaryFile").option("pathGlobFilter", names).load(path))
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """A path as Spark's readers tell it."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toString()
 
 
 def images(spark: SparkSession, path: str) -> DataFrame:
     return binaries(spark, path, IMAGE_NAMES)
 
 
-def paper_pages(files: DataFrame, extract: Callable[[bytes], Iterable[Iterable[str]]]) -> DataFrame:
+def paper_pages(files: DataFrame, extract: Extract) -> DataFrame:
     """(paper_id, page, line_no, text, error) by an extractor of text layers
     (none is installed here, so it is handed in). Too little text is an error."""
 
