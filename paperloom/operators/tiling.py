@@ -92,10 +92,13 @@ def folded(items: DataFrame, levels: int = LEVELS) -> DataFrame:
     """Items of pages, without tile, of items (paper_id, page, tile, idx, ...)
     in their reading order: the tiles of a parent merged, parents with their
     neighbours, up to the page. Pages read whole stay as they are."""
-    rest = items
+    keys, rest = ("paper_id", "page", "tile"), items
     for level in range(levels, 0, -1):
         deep = F.length("tile") == level
-        merged = vision.merge_tiles(rest.where(deep).withColumn("tile", F.substring("tile", 1, level - 1)), ("paper_id", "page", "tile"))
+        upper = F.substring("tile", level, 1) == "0"
+        # the upper tile is merged in itself before the lower one's items come to it
+        pairs = vision.merge_tiles(rest.where(deep & upper), keys).unionByName(rest.where(deep & ~upper))
+        merged = vision.merge_tiles(pairs.withColumn("tile", F.substring("tile", 1, level - 1)), keys)
         rest = rest.where(~deep).unionByName(merged)
     return rest.drop("tile")
 

@@ -113,18 +113,22 @@ def blocks(lines):
     return out
 
 
-def merge(got, new):
-    """Items of a tile into those before it, by number."""
-    got = [dict(x) for x in got]
-    for x in new:
-        old = next((y for y in got if y["question_number"] == x["question_number"]), None)
+def merge(upper, lower):
+    """Items of two tiles by number; an item that was there before goes."""
+    out, seen = [], set()
+    for x in [*upper, *lower]:
+        key = x["question_number"], x["question_text"]
+        if key in seen:
+            continue
+        seen.add(key)
+        old = next((y for y in out if y["question_number"] == x["question_number"]), None)
         if old is None:
-            got.append(dict(x))
+            out.append(dict(x))
             continue
         a, b = old["question_text"], x["question_text"]
         old["question_text"] = a if b in a else b if a in b else f"{a} {b}"
         old["confidence"] = min(old["confidence"], x["confidence"])
-    return got
+    return out
 
 
 def recursion(lines, most=6, least=5, depth=0):
