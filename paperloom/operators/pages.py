@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
-from ..functions.text import extract, is_furniture, line_class, normalise, trimmed
+from ..functions.text import extract, is_furniture, normalise, trimmed
 
 
 def without_furniture(lines: DataFrame, share: float = 0.6) -> DataFrame:
@@ -27,10 +27,6 @@ def without_furniture(lines: DataFrame, share: float = 0.6) -> DataFrame:
     return rows.where((F.col("pages") < 2) | ~(is_furniture(text) | running)).select("paper_id", "page", "line_no", "text")
 
 
-def classified(lines: DataFrame) -> DataFrame:
-    return lines.withColumn("class", line_class(F.col("text")))
-
-
 HEADER = {"subject": P.SUBJECT, "class": P.CLASS, "time_allowed": P.TIME_ALLOWED, "total_marks": P.TOTAL_MARKS}
 
 
@@ -45,6 +41,11 @@ def header_facts(lines: DataFrame) -> DataFrame:
     return out.withColumn("total_marks", F.nullif(F.col("total_marks").cast("int"), F.lit(0)))
 
 
+def header_view(lines: DataFrame) -> DataFrame:
+    """(paper_id, subject, class, board): who a paper is for."""
+    return header_facts(lines).select("paper_id", "subject", "class", "board")
+
+
 def all_known(total, present):
     """The sum where every row has a value, else null: null isn't 0."""
     return F.when((F.count(F.lit(1)) == F.count(present)) & (F.count(F.lit(1)) > 0), F.sum(total))

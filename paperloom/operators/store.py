@@ -17,15 +17,12 @@ def eligible() -> Column:
     return (~F.coalesce("needs_teacher_check", F.lit(True))) & (F.coalesce("verification_status", F.lit("")) == "passed") & F.col("model_used").isNotNull() & F.col("prompt_version").isNotNull() & F.col("confidence").isNotNull()
 
 
-def best_by_signature(solved: DataFrame) -> DataFrame:
-    """The reusable row of each signature: highest confidence, then latest id."""
-    return solved.where(eligible()).groupBy("question_signature").agg(F.max(F.struct("confidence", "id")).alias("top")).select("question_signature", "top.id")
-
-
 def cache_lookup(items: DataFrame, solved: DataFrame) -> DataFrame:
     """items (question_signature, ...) with cache_status and the cached row's
     id, answer, confidence and verified_by."""
-    best = solved.join(best_by_signature(solved).select("id"), "id", "left_semi").select("question_signature", F.col("id").alias("cached_id"), F.col("answer").alias("cached_answer"), F.col("confidence").alias("cached_confidence"), "model_used", "prompt_version", F.concat(F.lit("cache:signature:"), F.coalesce("verified_by", F.lit("db"))).alias("cached_by"))
+    row = F.struct("confidence", "id", F.struct("answer", "model_used", "prompt_version", "verified_by").alias("row"))
+    best = solved.where(eligible()).groupBy("question_signature").agg(F.max(row).alias("top"))
+    best = best.select("question_signature", F.col("top.id").alias("cached_id"), F.col("top.row.answer").alias("cached_answer"), F.col("top.confidence").alias("cached_confidence"), "top.row.model_used", "top.row.prompt_version", F.concat(F.lit("cache:signature:"), F.coalesce("top.row.verified_by", F.lit("db"))).alias("cached_by"))
     hit = (F.col("cached_confidence") >= CACHE_LEAST) & (F.coalesce("cached_answer", F.lit("")) != "") & (F.col("model_used") != "") & (F.col("prompt_version") != "")
     hit = F.coalesce(hit, F.lit(False))
     kept = [F.when(hit, F.col(c)).alias(c) for c in ("cached_id", "cached_answer", "cached_confidence", "cached_by")]
@@ -57,6 +54,15 @@ def remaining(items: DataFrame, solved: DataFrame) -> DataFrame:
     return items.join(solved.select("paper_id", "work_item_id"), ["paper_id", "work_item_id"], "left_anti")
 
 
+def resume_rows(solved: DataFrame, papers: DataFrame) -> DataFrame:
+    """What is solved already of papers (paper_id): rows to go on with, told to be
+    from a checkpoint; what they lack is empty."""
+    rows = solved.join(papers.select("paper_id"), "paper_id", "left_semi")
+    empty = {c: F.coalesce(c, F.array().cast(rows.schema[c].dataType)).alias(c) for c in ("steps", "mark_split", "common_mistakes") if c in rows.columns}
+    by = F.concat(F.lit("checkpoint:"), F.coalesce("verified_by", F.lit("db"))).alias("verified_by")
+    return rows.select("paper_id", "id", "question_number", "answer", *empty.values(), F.coalesce("confidence", F.lit(0.0)).alias("confidence"), by, "needs_teacher_check")
+
+
 def first_questions(questions: DataFrame, n: int) -> DataFrame:
     """The first n of each paper in document order."""
     return questions.where(F.col("question_index") < n)

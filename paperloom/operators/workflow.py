@@ -12,7 +12,7 @@ import json
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
@@ -216,22 +216,40 @@ def solve(items: DataFrame, provider: Provider, cut, concurrency: int = 8, max_a
     return out if hits is None else out.unionByName(hits.drop("figure_image"), allowMissingColumns=True)
 
 
+ITEM, RESULT = "item", "result"
+
+
+def matched(items: DataFrame, results: DataFrame) -> DataFrame:
+    """(row, paper_id, work_item_id, question_index, number, status, error): a row
+    of kind ITEM for each expected item, with its result's status, and one of kind
+    RESULT for each result, with what is wrong with it. Both are dealt by work item
+    together and looked at there; a result without an id meets none, and is told
+    apart before."""
+    columns = ["paper_id", "work_item_id", "question_index"]
+    expected = items.select(F.lit(ITEM).alias("row"), *columns, "number", F.lit(None).cast("string").alias("said"), F.lit(None).cast("long").alias("arrival"))
+    got = results.select(F.lit(RESULT).alias("row"), *columns, F.lit(None).cast(items.schema["number"].dataType).alias("number"), F.col("status").alias("said"), F.col("arrival").cast("long").alias("arrival"))
+    by_item = Window.partitionBy("work_item_id")
+    index = F.max(F.when(F.col("row") == ITEM, F.col("question_index"))).over(by_item)
+    rows = expected.unionByName(got.where("work_item_id is not null")).withColumn("index", index)
+    valid = (F.col("row") == RESULT) & F.coalesce(F.col("question_index") == F.col("index"), F.lit(False))
+    first = F.min(F.when(valid, F.struct("arrival", "said"))).over(by_item)
+    rows = rows.withColumns({"valid": valid, "first": first})
+    late = F.col("arrival") > F.col("first.arrival")
+    wrong = F.when(F.col("index").isNull(), "unexpected_work_item_id").when(late, "duplicate_result").when(~F.col("valid"), "wrong_question_index")
+    status = F.when(F.col("row") == ITEM, F.coalesce("first.said", F.lit("failed")))
+    error = F.when(F.col("row") == RESULT, wrong).otherwise(F.when(F.col("first").isNull(), "no_result"))
+    out = rows.select("row", *columns, "number", status.alias("status"), error.alias("error"))
+    lost = got.where("work_item_id is null").select("row", *columns, "number", F.lit(None).cast("string").alias("status"), F.lit("no_work_item_id").alias("error"))
+    return out.unionByName(lost)
+
+
 def reconciled(items: DataFrame, results: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(results in order, one for each expected item; errors). results carry
     `arrival`, their order. Of several results of an item the first with the
     right index counts; a result without id, of an unknown item or with a wrong
     index is an error, and an item without result fails."""
-    expected = items.select("paper_id", "work_item_id", "question_index", "number")
-    got = results.select(F.col("paper_id").alias("r_paper"), F.col("work_item_id").alias("r_item"), F.col("question_index").alias("r_index"), F.col("status").alias("r_status"), "arrival")
-    both = expected.join(got, F.col("work_item_id") == F.col("r_item"), "full_outer")
-    valid = F.col("work_item_id").isNotNull() & (F.col("r_index") == F.col("question_index"))
-    firsts = both.where(valid).groupBy("work_item_id").agg(F.min("arrival").alias("first"))
-    rows = both.join(firsts, "work_item_id", "left")
-    error = F.when(F.col("r_item").isNull() & F.col("arrival").isNotNull(), "no_work_item_id").when(F.col("work_item_id").isNull(), "unexpected_work_item_id").when(F.col("arrival") > F.col("first"), "duplicate_result").when(F.col("arrival").isNotNull() & ~valid, "wrong_question_index")
-    found = rows.select(F.coalesce("paper_id", "r_paper").alias("paper_id"), F.coalesce("work_item_id", "r_item").alias("work_item_id"), error.alias("error")).where("error is not null")
-    out = rows.where("work_item_id is not null and (arrival = first or first is null)").groupBy("paper_id", "work_item_id", "question_index", "number").agg(F.max(F.when(F.col("arrival") == F.col("first"), F.col("r_status"))).alias("r_status"))
-    lost = out.where("r_status is null").select("paper_id", "work_item_id", F.lit("no_result").alias("error"))
-    return out.select("paper_id", "work_item_id", "question_index", "number", F.coalesce("r_status", F.lit("failed")).alias("status")), found.unionByName(lost)
+    rows = matched(items, results)
+    return rows.where(F.col("row") == ITEM).select("paper_id", "work_item_id", "question_index", "number", "status"), rows.where("error is not null").select("paper_id", "work_item_id", "error")
 
 
 def paper_status(papers: DataFrame, results: DataFrame, errors: DataFrame) -> DataFrame:

@@ -14,10 +14,9 @@ from ..functions.identity import question_signature
 from ..operators import diagnostics, ingest, pages, segment, store, vision, workflow
 from ..sources.provider import OfflineProvider
 from ..sources.readers import lines_of_texts
-from ..streaming.checkpoints import current, upsert_stream
-from . import reading  # noqa: F401  registers its queries
+from . import keeping, reading  # noqa: F401  register their queries
 from . import shapes as S
-from .registry import ORACLE_SQL, QUERIES, cut, query, quoted, shared_folder
+from .registry import ORACLE_SQL, QUERIES, cut, query, quoted  # noqa: F401
 
 KEY = "substr(regexp_replace(lower(coalesce(text, '')), '[^a-z0-9]+', '', 'g'), 1, 160)"
 
@@ -294,23 +293,6 @@ def verify_and_finalize(spark, sf_dir):
     return workflow.finalized(workflow.route(workflow.verdict(rows))).select("event_id", "status", "confidence", "next", "result_status", "needs_teacher_check", "store")
 
 
-def order_results(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Items of orders, and results of which some are lost, doubled, of a wrong
-    index, of unknown items or without an id."""
-    items = workflow.work_items(S.order_questions(spark, sf_dir)).select("paper_id", "work_item_id", "question_index", "number")
-    part = F.crc32(F.col("work_item_id").cast("binary")) % 10
-    sent = items.where(part != 0).select("paper_id", F.when(part == 1, F.concat("work_item_id", F.lit("?"))).when(part != 2, F.col("work_item_id")).alias("work_item_id"), F.when(part == 3, F.col("question_index") + 1).otherwise(F.col("question_index")).alias("question_index"), F.when(part == 4, "failed").otherwise("completed").alias("status"), F.lit(1).alias("arrival"))
-    twice = items.where(part == 5).select("paper_id", "work_item_id", "question_index", F.lit("failed").alias("status"), F.lit(2).alias("arrival"))
-    return items, sent.unionByName(twice)
-
-
-@query()
-def reconcile(spark, sf_dir):
-    results, errors = workflow.reconciled(*order_results(spark, sf_dir))
-    counts = errors.groupBy("paper_id").agg(F.count("*").alias("errors"), F.array_join(F.array_sort(F.collect_set("error")), ",").alias("kinds"))
-    return results.groupBy("paper_id").agg(F.count("*").alias("items"), F.count_if(F.col("status") == "failed").alias("failed")).join(counts, "paper_id", "left")
-
-
 @query("""WITH f AS (SELECT l_orderkey AS paper_id, count(*) AS total, count(*) FILTER (l_returnflag = 'R') AS failed, count(*) FILTER (l_returnflag = 'A' AND l_linenumber = 7) AS errors FROM lineitem GROUP BY 1)
 SELECT o_orderkey AS paper_id, coalesce(total, 0) AS total, coalesce(failed, 0) AS failed, coalesce(errors, 0) AS errors,
   CASE WHEN coalesce(failed, 0) = coalesce(total, 0) THEN 'failed' WHEN failed > 0 OR errors > 0 THEN 'partial' ELSE 'ready' END AS status FROM orders LEFT JOIN f ON o_orderkey = paper_id""")
@@ -394,12 +376,3 @@ FROM (SELECT *, trim(coalesce(text, '')) = '' AS blank FROM conversations)""")
 def solve_loop(spark, sf_dir):
     done = workflow.solve(workflow.work_items(conversation_questions(spark, sf_dir)), OfflineProvider(), cut)
     return done.select("work_item_id", "status", "confidence", "attempts", "result_status", "store")
-
-
-@query("SELECT user_id, event_type, max(event_id) AS event_id, arg_max(value, (ts, event_id)) AS value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1 GROUP BY 1, 2")
-def stream_checkpoint(spark, sf_dir):
-    path = shared_folder(spark, "stream")
-    table = S.table(spark, sf_dir, "events")
-    stream = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).parquet(f"{sf_dir}/events.parquet*")
-    upsert_stream(stream, f"{path}/table", f"{path}/checkpoint", ["user_id", "event_type"], ["ts", "event_id"]).awaitTermination()
-    return current(spark, f"{path}/table").select("user_id", "event_type", "event_id", "value")
