@@ -14,12 +14,13 @@ def without_furniture(lines: DataFrame, share: float = 0.6) -> DataFrame:
     of two pages or more, without what is printed on most of the pages: a line
     on `share` of them (two at least), short, near the top or bottom, and no
     bare number, question start or finished sentence."""
-    kept = lines.withColumn("text", normalise(F.col("text"))).where("text <> ''")
+    kept = lines.withColumn("text", normalise(F.col("text"))).where("text <> ''").repartition("paper_id")
+    # dealt once: all windows are inside a paper. Longer lines are no running heads, whatever they repeat
     paper, page = Window.partitionBy("paper_id"), Window.partitionBy("paper_id", "page")
-    repeats = kept.groupBy("paper_id", "text").agg(F.count_distinct("page").alias("on_pages"))
-    pages = kept.groupBy("paper_id").agg(F.count_distinct("page").alias("pages"))
-    rows = kept.join(repeats, ["paper_id", "text"]).join(pages, "paper_id")
-    rows = rows.withColumn("from_top", F.row_number().over(page.orderBy("line_no"))).withColumn("in_page", F.count("*").over(page))
+    short = F.when(F.length("text") <= P.RUNNING_HEAD, F.col("text"))
+    distinct = lambda w: F.size(F.collect_set("page").over(w))
+    rows = kept.withColumn("from_top", F.row_number().over(page.orderBy("line_no"))).withColumn("in_page", F.count("*").over(page)).withColumn("pages", distinct(paper))
+    rows = rows.withColumn("short", short).withColumn("on_pages", distinct(Window.partitionBy("paper_id", "short")))
     least = F.greatest(F.lit(2), F.ceil(F.col("pages") * share))
     text = F.col("text")
     band = (F.col("from_top") <= P.BAND) | (F.col("from_top") > F.col("in_page") - P.BAND)

@@ -140,15 +140,30 @@ def merge_tiles(items: DataFrame, keys: tuple[str, ...] = ("paper_id", "page"))
     return groups.select(*keys, *(folded.get(c, F.col("all")[0][c]).alias(c) for c in every))
 
 
+LABELS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
+def united_options(options: Column, idx: Column) -> Column:
+    """The option union of a group, as one aggregate: the first option of each
+    label, and all without one, in order. Labels are combined before any shuffle;
+    only options without a label are listed, which the result holds anyway."""
+    placed = F.transform(F.coalesce(options, F.array().cast("array<string>")), lambda o, k: F.struct(idx.alias("idx"), k.alias("k"), o.alias("o")))
+    first = [F.min(F.get(F.filter(placed, lambda x: option_label(x["o"]) == label), F.lit(0))) for label in LABELS]
+    free = F.flatten(F.collect_list(F.filter(placed, lambda x: option_label(x["o"]) == "")))
+    return F.transform(F.array_sort(F.concat(F.filter(F.array(*first), lambda x: x.isNotNull()), free)), lambda x: x["o"])
+
+
 def dedupe_by_text(items: DataFrame) -> DataFrame:
     """One item for each wording of a page: the first, whole; options united,
     first known marks, least confidence. Texts without any [a-z0-9] have no key
-    and all stay."""
+    and all stay. A wording that very many items share is combined as it is read,
+    not gathered."""
     every = [c for c in items.columns if c not in ("paper_id", "page")]
     keyed = items.withColumn("key", text_key(F.col("text"))).withColumn("own", F.when(F.col("key") == "", F.col("idx")))
-    groups = keyed.groupBy("paper_id", "page", "key", "own").agg(in_order(*(c for c in every if c != "idx")).alias("all"))
-    folded = {"marks": first_known("marks"), "confidence": F.array_min(field("confidence")), "options": option_union(field("options"))}
-    return groups.select("paper_id", "page", *(folded.get(c, F.col("all")[0][c]).alias(c) for c in every))
+    first = F.min_by(F.struct(*every), "idx").alias("i")
+    folded = {"marks": F.min_by("marks", F.when(F.col("marks").isNotNull(), F.col("idx"))).alias("f_marks"), "confidence": F.min("confidence").alias("f_confidence"), "options": united_options(F.col("options"), F.col("idx")).alias("f_options")}
+    groups = keyed.groupBy("paper_id", "page", "key", "own").agg(first, *folded.values())
+    return groups.select("paper_id", "page", *(F.col(f"f_{c}").alias(c) if c in folded else F.col("i")[c].alias(c) for c in every))
 
 
 def dedupe_across_pages(items: DataFrame) -> DataFrame:

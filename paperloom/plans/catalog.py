@@ -137,7 +137,7 @@ found(paper_id, code, severity, question) AS (
 
 
 def order_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return diagnostics.report(S.order_papers(spark, sf_dir), S.order_questions(spark, sf_dir))
+    return diagnostics.report(S.order_papers(spark, sf_dir), cut(S.order_questions(spark, sf_dir)))  # numbered once, read by each rule
 
 
 @query(f"WITH {REPORT_SQL} SELECT paper_id, code, severity, question FROM found")

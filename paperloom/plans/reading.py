@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import shapes as H
-from ..operators import ingest, tiling, vision
+from ..functions.text import line_class
+from ..operators import ingest, pages, tiling, vision
 from ..sources import readers
 from ..sources.calls import Reply
 from ..sources.provider import LineReader, OfflineProvider
@@ -161,3 +162,40 @@ class PngReader(LineReader):
 
     def read_image(self, image: bytes, page: int):
         return super().read_image(image[8:], page)
+
+
+#: A line of each class, and the class that it must have; no pattern is shared with the code.
+CLASSED = [
+    ("Page 3 of 9", "furniture"), ("Q.NO. Questions", "furniture"), ("[Ch 4: Sets]", "chapter"), ("Section B: Grammar", "section"), ("Attempt any 3 questions", "instruction"), ("OR", "or"), ("12", "bare_number"), ("General Instructions", "instructions_heading"),
+    ("7. Why is that so?", "question"), ("Some plain words.", "content"), ("Section of a text that goes on", "content"), ("Q4) How was it?", "question"), ("or", "or"), ("Part IV", "section"), ("Answer the following in brief.", "content"), ("Answer 3 out of 5", "instruction"),
+]
+
+
+@query("SELECT l_orderkey AS paper_id, l_linenumber AS line_no, [" + ", ".join(f"'{c}'" for _, c in CLASSED) + f"][(l_orderkey + l_linenumber * 3 + l_partkey) % {len(CLASSED)} + 1] AS class, count(*) AS n FROM lineitem GROUP BY 1, 2, 3")
+def class_branches(spark, sf_dir):
+    """Lines of each class (T3 to T8, T11), by number."""
+    k = ((F.col("l_orderkey") + F.col("l_linenumber") * 3 + F.col("l_partkey")) % len(CLASSED)).cast("int")
+    lines = S.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("paper_id"), F.col("l_linenumber").alias("line_no"), F.get(F.array(*(F.lit(t) for t, _ in CLASSED)), k).alias("text"))
+    return lines.groupBy("paper_id", "line_no", line_class(F.col("text")).alias("class")).agg(F.count("*").alias("n"))
+
+
+@query("""WITH p AS (SELECT o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS page, count(*) OVER (PARTITION BY o_custkey) AS pages FROM orders),
+l AS (SELECT *, unnest(range(1, 10)) AS line_no FROM p)
+SELECT o_custkey::VARCHAR AS paper_id, page, line_no FROM l
+WHERE pages < 2 OR line_no BETWEEN 4 AND 8 OR line_no = 3 AND (page % 2 = 0 OR (pages + 1) // 2 < greatest(2, ceil(pages * 0.6)))""")
+def furniture_branches(spark, sf_dir):
+    """Pages of nine lines (T1, T4): a running head, a column head, a line on odd
+    pages only, a long line, two lines in the middle, a sentence, a bare number and
+    a footer, the same on all pages."""
+    from pyspark.sql import Window
+
+    o = S.table(spark, sf_dir, "orders")
+    w = Window.partitionBy("o_custkey")
+    rows = o.select(F.col("o_custkey").cast("string").alias("paper_id"), F.row_number().over(w.orderBy("o_orderkey")).alias("page"), F.count("*").over(w).alias("pages"))
+    page = F.col("page").cast("string")
+    said = F.array(
+        F.concat(F.lit("Running head "), F.col("paper_id")), F.lit("Q.NO. Questions"), F.when(F.col("page") % 2 == 1, "Odd words").otherwise(F.concat(F.lit("Even words "), page)),
+        F.lit("A line that is the same on every page but much too long for a running head of any paper"), F.lit("Middle words"), F.lit("Other middle words"), F.lit("Answer in ink."), F.lit("7"), F.concat(F.lit("Page "), page, F.lit("/"), F.col("pages").cast("string")),
+    )
+    lines = rows.select("paper_id", "page", F.posexplode(said).alias("pos", "text")).select("paper_id", "page", (F.col("pos") + 1).alias("line_no"), "text")
+    return pages.without_furniture(lines).select("paper_id", "page", "line_no")

@@ -303,3 +303,11 @@ def test_static_papers(spark, tmp_path):
 
 def test_calls_name_their_outcomes():
     assert calls.OUTCOMES == ("finished", "truncated", "quota", "transport", "other") and calls.OUTCOME.startswith("outcome string")
+
+
+def test_a_wording_that_all_items_share_is_not_gathered(spark):
+    item = "paper_id string, page int, idx long, number string, text string, marks string, kind string, options array<string>, confidence double, section string, has_figure boolean"
+    rows = [("p", 1, k, "1", "Same text", "2" if k == 5 else None, "x", ["(B) b%d" % k, "(A) a", "free"][k % 3 :], 1 - k / 1000, None, False) for k in range(200)]
+    (r,) = vision.dedupe_by_text(spark.createDataFrame(rows[::-1], item).repartition(4)).collect()
+    want = spark.createDataFrame([([x[7] for x in rows],)], "o array<array<string>>").select(vision.option_union(F.col("o"))).first()[0]
+    assert (r.idx, r.marks, r.confidence, r.options) == (0, "2", 1 - 199 / 1000, want) and len(want) == 202
