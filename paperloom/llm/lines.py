@@ -15,10 +15,11 @@ need no exchange of a run, and no sort of it.
 
 Native: DataFrame functions only. Line texts are never shuffled for their own
 sake, only 128-bit keys and places; texts move once, to meet the places that
-they lose (not at all if those are few enough to broadcast). Counting is
-partially aggregated, so a line that a third of all documents hold is one row
-from each task; the join with spent keys has plain scans on both sides, which
-Spark splits where it is skewed.
+they lose (not at all if those are few enough to broadcast). A key and
+document is dealt by both, and sums by key are partial before they are dealt by
+key, so a line that a third of all documents hold is one row from each task. Runs
+are merged bucket by bucket, without an exchange. The join with spent keys has
+plain scans on both sides, which Spark splits where it is skewed.
 
 Defined results: a null or empty text is one empty line, kept; a document is
 its doc_id: rows of one id count as one document and each lose the same lines;
@@ -66,6 +67,13 @@ KEY = ["h1", "h2"]
 BUCKETS = {"spark.sql.legacy.bucketedTableScan.outputOrdering": "true", "spark.sql.sources.bucketing.autoBucketedScan.enabled": "false"}
 
 
+def summed(lines: DataFrame) -> DataFrame:
+    """(h1, h2, docs, top): each key's documents and the largest id among them. A
+    document's key is dealt once by both; then each task's sums are dealt by key."""
+    once = lines.select("doc_id", *KEY).distinct()
+    return once.groupBy(*KEY).agg(F.count("*").alias("docs"), F.max("doc_id").alias("top"))
+
+
 class LineRuns:
     """The runs of a store, by level, and the repeats of their keys. A document's
     lines must all be in one batch. close() forgets the tables."""
@@ -105,7 +113,7 @@ class LineRuns:
     def add(self, lines: DataFrame) -> DataFrame:
         """Adds the run of a batch of (doc_id, h1, h2), and compacts. Returns the
         batch's keys that were new."""
-        keys = lines.repartition(self.buckets, *KEY).groupBy(*KEY).agg(F.count_distinct("doc_id").alias("docs"), F.max("doc_id").alias("top"))
+        keys = summed(lines)
         if self.levels:
             keys = self.spark.table(self.stored(keys, "batch"))
         new = self.stored(self.fresh(keys), "run")
@@ -121,14 +129,18 @@ class LineRuns:
         self.levels[level].append(name)
         if len(self.levels[level]) >= self.fanout:
             done, self.levels[level] = self.levels[level], []
-            both = reduce(DataFrame.unionByName, map(self.spark.table, done))
-            self.put(level + 1, self.stored(both.repartition(self.buckets, *KEY), "run"))
+            self.put(level + 1, self.stored(reduce(self.merged, map(self.spark.table, done)), "run"))
+
+    def merged(self, one: DataFrame, other: DataFrame) -> DataFrame:
+        """Two runs as one, bucket by bucket as they lie; their keys are different."""
+        both = one.join(other.select(*KEY, F.col("docs").alias("docs2"), F.col("top").alias("top2")).hint("merge"), KEY, "full_outer")
+        return both.select(*KEY, F.coalesce("docs", "docs2").alias("docs"), F.coalesce("top", "top2").alias("top"))
 
     def spent(self, least_docs: int = LEAST_DOCS) -> DataFrame:
         """(h1, h2, top): keys in at least that many documents, over all runs."""
         if not self.repeats:
             return reduce(DataFrame.unionByName, self.runs()).where(F.col("docs") >= least_docs).select(*KEY, "top")
-        again = reduce(DataFrame.unionByName, self.repeats).repartition(self.buckets, *KEY).groupBy(*KEY).agg(F.sum("docs").alias("more"), F.max("top").alias("later"))
+        again = reduce(DataFrame.unionByName, self.repeats).groupBy(*KEY).agg(F.sum("docs").alias("more"), F.max("top").alias("later"))
         again = self.spark.table(self.stored(again, "again"))
         found = [run.join(again.hint("merge"), KEY, "left").where(F.col("docs") + F.coalesce("more", F.lit(0)) >= least_docs).select(*KEY, F.greatest("top", "later").alias("top")) for run in self.runs()]
         return reduce(DataFrame.unionByName, found)

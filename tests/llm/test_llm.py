@@ -700,6 +700,10 @@ def test_line_runs_incrementally(spark):
     keys = runs.spark.table(runs.stored(spark.range(9).select(F.col("id").alias("h1"), F.col("id").alias("h2")).repartition(runs.buckets, *lines.KEY), "batch"))
     plan = keys.join(runs.runs()[0].hint("merge"), lines.KEY, "left_anti")._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Exchange" not in plan and "Sort [" not in plan
+    both = runs.merged(runs.runs()[0], runs.runs()[0])._jdf.queryExecution().executedPlan().toString()
+    assert "FullOuter" in both and "Exchange" not in both
+    sums = lines.summed(lines.keyed_lines(spark.createDataFrame(batches[0], "doc_id long, text string")))._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"Exchange hashpartitioning\(h1#\d+L?, h2#\d+L?, \d+\).*\n[^\n]*HashAggregate\(keys=\[h1[^\n]*partial_count", sums), sums
     fresh.append(added(batches[3]))
     assert fresh == [2, 1, 1, 0] and [len(x) for x in runs.levels] == [0, 0, 1]
     assert sorted(r.top for r in runs.spent().collect()) == [8, 9]  # a in 1, 2, 9; c in 2, 3, 8
