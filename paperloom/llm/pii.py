@@ -94,70 +94,132 @@ SEEDS = re.compile(r"[0-9]{3}|[0-9][ .()-]{1,2}[0-9]|@|[\[({] ?at ?[\])}]")
 SPOKEN = re.compile(r"\bat\b.{1,60}\bdot\b", re.I)
 EMAIL_LIKE = re.compile(r"[\w.%+-]+ ?(?:@|[\[({] ?at ?[\])}]|\bat\b) ?[\w-]+(?: ?(?:\.|[\[({] ?dot ?[\])}]|\bdot\b) ?[\w-]+)* ?(?:\.|[\[({] ?dot ?[\])}]|\bdot\b) ?[A-Za-z]{2,}", re.I)
 IBAN_LIKE = re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?")
+IBAN_START = re.compile(r"[A-Z]{2}[0-9]{2}")
 OCTETS = re.compile(r"([0-9]{1,3})(?: ?\[?\.\]? ?([0-9]{1,3})){3}")
 CUES = {"email": {"email", "mail", "contact", "write"}, "ip": {"ip", "host", "server"}, "card": {"card", "visa", "credit", "pan"}, "phone": {"phone", "tel", "call", "mobile", "fax", "telephone", "cell"}, "ssn": {"ssn", "social", "security"}, "iban": {"iban", "account"}}
 TLDS = {"com", "org", "net", "edu", "gov", "info", "io", "de", "fr", "es", "uk", "eu"}
 WINDOW = 60
+#: By the number of letters in a segment, three for more.
+LETTERS = ("no_letters", "few_letters", "few_letters", "letters")
+#: Longer shapes are no feature; separators are alike in them.
+MAX_SHAPE = 16
+SHAPED = str.maketrans(dict.fromkeys(" .\u2011-", "-"))
+#: Segments starting at so many atoms are scored at a time.
+BLOCK = 2048
 
 
-def span_features(text: str, a: int, b: int) -> list[str]:
-    """Features of text[a:b] as a whole."""
-    s = text[a:b]
-    d = re.sub("[^0-9]", "", s)
-    out = [f"digits{min(len(d), 20)}"]
-    letters = sum(map(str.isalpha, s))
-    out.append("letters" if letters > 2 else "few_letters" if letters else "no_letters")
-    shape = re.sub("[0-9]+", lambda m: str(min(len(m[0]), 9)), s)
-    if not letters and len(shape) <= 16:
-        out.append("shape:" + re.sub(r"[ .‑-]", "-", shape))
-    if EMAIL_LIKE.fullmatch(s):
-        out.append("email_like")
-        out.append("tld" if re.search("[A-Za-z]+$", s)[0].lower() in TLDS else "no_tld")
-    if IBAN_LIKE.fullmatch(s):
-        out.append("iban_like")
-        moved = (t := s.replace(" ", ""))[4:] + t[:4]
-        out.append("iban_ok" if int("".join(str(int(c, 36)) for c in moved)) % 97 == 1 else "iban_off")
-    if OCTETS.fullmatch(s) and all(int(x) < 256 for x in re.findall("[0-9]+", s)):
-        out.append("octets")
-    if 13 <= len(d) <= 19 and not letters:
-        out.append("luhn" if luhn(d) else "no_luhn")
+def left_features(text: str, a: int) -> list[str]:
+    """What stands before a segment that starts at a."""
     before = text[max(0, a - 24) : a]
     cues = set(re.findall(r"[a-z]+", before.lower())[-3:])
-    out += [f"cue:{k}" for k, words in CUES.items() if cues & words]
+    out = [f"cue:{k}" for k, words in CUES.items() if cues & words]
     if before and not before[-1].isspace() and before[-1] not in "(\"':":
         out.append("joined_left")
-    after = text[b : b + 2]
+    if re.search(r"[0-9][ )-]{0,2}$", before):
+        out.append("digits_precede")
+    return out
+
+
+def right_features(text: str, b: int) -> list[str]:
+    """What follows a segment that ends at b."""
+    out, after = [], text[b : b + 2]
     if after[:1].isalnum() or (len(after) == 2 and after[0] in "-./@_=" and after[1].isalnum()):
         out.append("joined_right")
     if re.match(r" ?[(-]? ?[0-9]", text[b : b + 4]):
         out.append("digits_follow")
-    if re.search(r"[0-9][ )-]{0,2}$", before):
-        out.append("digits_precede")
     return out
 
 
-def candidates(text: str, lo: int, hi: int, max_atoms: int | None = MAX_ATOMS):
+def email_features(s: str) -> list[str]:
+    if not EMAIL_LIKE.fullmatch(s):
+        return []
+    # by its ASCII end: the pattern's folded case takes a long s or a Kelvin sign too
+    return ["email_like", "tld" if re.search("[A-Za-z]*$", s)[0].lower() in TLDS else "no_tld"]
+
+
+def iban_features(s: str) -> list[str]:
+    if not IBAN_LIKE.fullmatch(s):
+        return []
+    moved = (t := s.replace(" ", ""))[4:] + t[:4]
+    return ["iban_like", "iban_ok" if int("".join(str(int(c, 36)) for c in moved)) % 97 == 1 else "iban_off"]
+
+
+def octets(s: str) -> bool:
+    return bool(OCTETS.fullmatch(s)) and all(int(x) < 256 for x in re.findall("[0-9]+", s))
+
+
+def span_features(text: str, a: int, b: int) -> list[str]:
+    """Features of text[a:b] as a whole."""
+    s = text[a:b]
+    d = re.sub("[^0-9]", "", s)
+    letters = sum(map(str.isalpha, s))
+    out = [f"digits{min(len(d), 20)}", LETTERS[min(letters, 3)]]
+    shape = re.sub("[0-9]+", lambda m: str(min(len(m[0]), 9)), s)
+    if not letters and len(shape) <= MAX_SHAPE:
+        out.append("shape:" + shape.translate(SHAPED))
+    out += email_features(s) + iban_features(s)
+    if octets(s):
+        out.append("octets")
+    if 13 <= len(d) <= 19 and not letters:
+        out.append("luhn" if luhn(d) else "no_luhn")
+    return out + left_features(text, a) + right_features(text, b)
+
+
+class Atoms:
+    """The atoms of text[lo:hi], with running sums by which the digits, letters,
+    shape and checksum of any segment are known without reading it again."""
+
+    def __init__(self, text: str, lo: int, hi: int):
+        self.text = text
+        self.spans = [m.span() for m in ATOM.finditer(text, lo, hi)]
+        self.digits = [e - b if text[b] in "0123456789" else 0 for b, e in self.spans]
+        self.opens = [text[b].isalnum() or text[b] in "+(" for b, _ in self.spans]
+        self.closes = [text[e - 1].isalnum() for _, e in self.spans]
+        self.says_at = [text[b] == "@" or (e - b == 2 and text[b:e].lower() == "at") for b, e in self.spans]
+        gaps = [text[e:b] for (_, e), (b, _) in zip(self.spans, self.spans[1:])]
+        #: No segment spans the gap before such an atom.
+        self.parted = [False, *(len(g) > 1 or g == "\n" for g in gaps)]
+        pieces = [str(min(n, 9)) if n else text[b:e].translate(SHAPED) for n, (b, e) in zip(self.digits, self.spans)]
+        self.shape = "".join(g.translate(SHAPED) + x for g, x in zip(["", *gaps], pieces))
+        sums = lambda of: np.concatenate(([0], np.cumsum(of, dtype=np.int64)))
+        self.n_digits, self.n_runs, self.n_at = sums(self.digits), sums([n > 0 for n in self.digits]), sums(self.says_at)
+        self.n_letters = sums([0 if n else sum(map(str.isalpha, text[b:e])) for n, (b, e) in zip(self.digits, self.spans)])
+        self.shape_end = np.cumsum([len(g) + len(x) for g, x in zip(["", *gaps], pieces)], dtype=np.int64)
+        self.shape_start = self.shape_end - [len(x) for x in pieces]
+        values = np.array([int(c) for n, (b, e) in zip(self.digits, self.spans) if n for c in text[b:e]], np.int64)
+        twice = 2 * values - 9 * (values > 4)
+        odd = np.arange(len(values)) % 2 == 1
+        #: Luhn sums with the digits at even, or odd, places doubled.
+        self.luhn = np.stack([sums(np.where(odd, values, twice)), sums(np.where(odd, twice, values))])
+
+    def segments(self, first: int, last: int, max_atoms: int | None) -> list[tuple[int, int]]:
+        """(first, last + 1) atoms of each segment that could be an entity and
+        starts at one of the atoms first to last - 1."""
+        out = []
+        digits_of, closes, says_at, parted, spans = self.digits, self.closes, self.says_at, self.parted, self.spans
+        for i in range(first, last):
+            if not self.opens[i]:
+                continue
+            digits, spoken = 0, False
+            for j in range(i, len(spans) if max_atoms is None else min(i + max_atoms, len(spans))):
+                if j > i and parted[j]:
+                    break
+                if digits_of[j]:
+                    digits += digits_of[j]
+                    if digits > MAX_DIGITS:
+                        break
+                elif says_at[j]:
+                    spoken = True
+                if closes[j] and (7 <= digits or (spoken and EMAIL_LIKE.fullmatch(self.text, spans[i][0], spans[j][1]))):
+                    out.append((i, j + 1))
+        return out
+
+
+def candidates(text: str, lo: int, hi: int, max_atoms: int | None = MAX_ATOMS) -> tuple[list, list]:
     """Atoms of text[lo:hi], and (first, last + 1) atoms of each segment that
     could be an entity."""
-    atoms = [m.span() for m in ATOM.finditer(text, lo, hi)]
-    out = []
-    for i, (a, _) in enumerate(atoms):
-        if not (text[a].isalnum() or text[a] in "+("):
-            continue
-        digits, spoken = 0, False
-        for j in range(i, len(atoms) if max_atoms is None else min(i + max_atoms, len(atoms))):
-            b, e = atoms[j]
-            if j > i and (gap := text[atoms[j - 1][1] : b]) and (len(gap) > 1 or gap == "\n"):
-                break
-            if text[b] in "0123456789":
-                digits += e - b
-                if digits > MAX_DIGITS:
-                    break
-            elif text[b] == "@" or text[b:e].lower() == "at":
-                spoken = True
-            if text[e - 1].isalnum() and (7 <= digits or (spoken and EMAIL_LIKE.fullmatch(text, a, e))):
-                out.append((i, j + 1))
-    return atoms, out
+    atoms = Atoms(text, lo, hi)
+    return atoms.spans, atoms.segments(0, len(atoms.spans), max_atoms)
 
 
 def seeds_of(text: str) -> list[tuple[int, int]]:
@@ -260,37 +322,87 @@ class Model:
     unseen = -2.0
 
     def __init__(self, weights: dict[tuple[str, str], float]):
-        self.weights = weights
-        self.known = {f for _, f in weights}
+        #: Ties go to the last kind by name.
+        self.kinds = sorted(KINDS, reverse=True)
+        self.bias = np.array([weights.get((k, "bias"), 0.0) for k in self.kinds])
+        self.rows = {f: np.array([weights.get((k, f), 0.0) for k in self.kinds]) for f in {f for _, f in weights}}
+
+    def sums(self, features: list[str]) -> np.ndarray:
+        """What features weigh for each of self.kinds."""
+        out = np.zeros(len(KINDS))
+        for f in features:
+            out += self.rows.get(f, self.unseen)
+        return out
 
     def score(self, features: list[str]) -> tuple[float, str]:
         """The best kind of a segment and its score."""
-        w = self.weights
-        return max((sum(w.get((k, f), 0.0) if f in self.known else self.unseen for f in features) + w.get((k, "bias"), 0.0), k) for k in KINDS)
+        sums = self.sums(features) + self.bias
+        return float(sums.max()), self.kinds[int(sums.argmax())]
+
+    def scores(self, atoms: Atoms, segments: list[tuple[int, int]]) -> np.ndarray:
+        """For each segment what span_features weigh for each of self.kinds. What
+        stands before and after is looked at once an atom, digits and letters
+        are differences of running sums, and the patterns are tried only where
+        a segment's counts allow a match."""
+        text, spans = atoms.text, atoms.spans
+        i, j = np.array(segments, np.int64).T
+        digits, letters = atoms.n_digits[j] - atoms.n_digits[i], atoms.n_letters[j] - atoms.n_letters[i]
+        total = self.bias + np.stack([self.sums([f"digits{n}"]) for n in range(21)])[np.minimum(digits, 20)]
+        total += np.stack([self.sums([x]) for x in LETTERS])[np.minimum(letters, 3)]
+        starts, at = np.unique(i, return_inverse=True)
+        total += np.stack([self.sums(left_features(text, spans[k][0])) for k in starts.tolist()])[at]
+        stops, at = np.unique(j, return_inverse=True)
+        total += np.stack([self.sums(right_features(text, spans[k - 1][1])) for k in stops.tolist()])[at]
+        bare = letters == 0
+        begin, end = atoms.shape_start[i], atoms.shape_end[j - 1]
+        if len(at := np.flatnonzero(bare & (end - begin <= MAX_SHAPE))):
+            strange = np.full(len(KINDS), self.unseen)
+            total[at] += np.stack([self.rows.get("shape:" + atoms.shape[a:b], strange) for a, b in zip(begin[at].tolist(), end[at].tolist())])
+        if len(at := np.flatnonzero(bare & (digits >= 13) & (digits <= 19))):
+            low, high = atoms.n_digits[i[at]], atoms.n_digits[j[at]]
+            doubled = high % 2  # the last digit, at place high - 1, isn't doubled
+            off = (atoms.luhn[doubled, high] - atoms.luhn[doubled, low]) % 10 > 0
+            total[at] += np.stack([self.sums(["luhn"]), self.sums(["no_luhn"])])[off.astype(int)]
+        capital = np.array([IBAN_START.match(text, spans[k][0]) is not None for k in starts.tolist()])[np.searchsorted(starts, i)]
+        tried = (
+            ((atoms.n_at[j] > atoms.n_at[i]) & ~bare, email_features),
+            (capital, iban_features),
+            (bare & (atoms.n_runs[j] - atoms.n_runs[i] == 4) & (digits <= 12), lambda s: ["octets"] * octets(s)),
+        )
+        for where, features in tried:
+            for k in np.flatnonzero(where).tolist():
+                if found := features(text[spans[i[k]][0] : spans[j[k] - 1][1]]):
+                    total[k] += self.sums(found)
+        return total
 
     def spans(self, text: str, lo: int, hi: int, max_atoms: int | None = MAX_ATOMS) -> list[tuple[str, int, int]]:
         """Viterbi over segments; a tie goes to fewer entities."""
-        atoms, cand = candidates(text, lo, hi, max_atoms)
-        if not cand:
-            return []
+        atoms = Atoms(text, lo, hi)
+        n = len(atoms.spans)
         ends: dict[int, list] = {}
-        for i, j in cand:
-            value, kind = self.score(span_features(text, atoms[i][0], atoms[j - 1][1]))
-            if value > 0:
-                ends.setdefault(j, []).append((value, i, kind))
+        for first in range(0, n, BLOCK):
+            if not (segments := atoms.segments(first, min(first + BLOCK, n), max_atoms)):
+                continue
+            scores = self.scores(atoms, segments)
+            values, kinds = scores.max(axis=1), scores.argmax(axis=1)
+            for k in np.flatnonzero(values > 0).tolist():
+                i, j = segments[k]
+                ends.setdefault(j, []).append((float(values[k]), i, self.kinds[kinds[k]]))
+        if not ends:
+            return []
         best, back = [0.0], [None]
-        for j in range(1, len(atoms) + 1):
+        for j in range(1, n + 1):
             value, step = best[j - 1], None
             for own, i, kind in ends.get(j, ()):
                 if best[i] + own > value:
                     value, step = best[i] + own, (i, kind)
             best.append(value)
             back.append(step)
-        out, j = [], len(atoms)
+        out, j = [], n
         while j:
             if back[j]:
                 i, kind = back[j]
-                out.append((kind, atoms[i][0], atoms[j - 1][1]))
+                out.append((kind, atoms.spans[i][0], atoms.spans[j - 1][1]))
                 j = i
             else:
                 j -= 1

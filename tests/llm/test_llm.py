@@ -2,6 +2,7 @@
 inputs: nulls, empty and long texts, repeated rows, empty tables, extra columns."""
 
 import hashlib
+import functools
 import math
 import random
 import re
@@ -475,6 +476,45 @@ def test_viterbi_is_the_best_segmentation():
         assert sum(value[at[a], at[b]][0] for _, a, b in spans) == pytest.approx(best(0))
 
 
+def test_scores_by_running_sums_are_those_of_the_features():
+    """Segments of every sort, in blocks: each kind's score is what the features
+    of the segment, read by itself, weigh."""
+    r, model = random.Random(3), pii.trained()
+    texts = [x for x, _ in pii.sentences(40, 77)] + ["".join(r.choice("0123456789 .-()[]+ atdoEK\u017f\u2011@,\n\t") for _ in range(300)) for _ in range(40)]
+    texts += [" ".join(str(r.randint(0, 10 ** r.randint(1, 5))) for _ in range(100)), "ip 10 . 0 . 0 . 1 iban: DE89 3704 0044 0532 0130 00", "bo at x dot co\u017f\u017f"]
+    seen = 0
+    for text in texts:
+        atoms = pii.Atoms(text, 0, len(text))
+        segments = atoms.segments(0, len(atoms.spans), pii.MAX_ATOMS)
+        seen += len(segments)
+        for (i, j), row in zip(segments, model.scores(atoms, segments) if segments else ()):
+            want = model.sums(pii.span_features(text, atoms.spans[i][0], atoms.spans[j - 1][1])) + model.bias
+            assert np.allclose(row, want), text[atoms.spans[i][0] : atoms.spans[j - 1][1]]
+    assert seen > 3000
+
+
+def test_added_spans_by_brute_force(monkeypatch):
+    """End to end: every window's segments scored one by one by span_features and
+    the best set of them found by trying all, against all_spans."""
+    monkeypatch.setattr(pii, "BLOCK", 3)
+    model = pii.trained()
+    for text, _ in pii.sentences(60, 4321):
+        base, spans = pii.all_spans(text, model)
+        more = []
+        for lo, hi in pii.windows(text, base):
+            atoms, cand = pii.candidates(text, lo, hi)
+            value = {(i, j): model.score(pii.span_features(text, atoms[i][0], atoms[j - 1][1])) for i, j in cand}
+
+            @functools.cache
+            def best(at):
+                if at >= len(atoms):
+                    return 0.0, ()
+                return max([best(at + 1)] + [(v + best(j)[0], ((k, atoms[i][0], atoms[j - 1][1]), *best(j)[1])) for (i, j), (v, k) in value.items() if i == at and v > 0], key=lambda x: x[0])
+
+            more += best(0)[1]
+        assert sorted(spans) == sorted([*base, *more])
+
+
 def test_likelihood_and_gradient():
     """Against all segmentations, and against differences."""
     r = np.random.default_rng(4)
@@ -502,7 +542,7 @@ def test_likelihood_and_gradient():
             assert grad[y, f] == pytest.approx((plain(weights + step) - plain(weights - step)) / 2e-5, abs=1e-6)
 
 
-@pytest.mark.parametrize("text", ["7" * 1_000_000, "1.2.3." + "0" * 1_000_000 + "1", "a1b2" * 250_000, "@" * 1_000_000, "+1" * 500_000, "1.2.3." + "9" * 5000, "123.456-" * 1000, "x" * 1_000_000 + "@" + "y" * 1000, "0123456789abcdef" * 15_000])
+@pytest.mark.parametrize("text", ["7" * 1_000_000, "1.2.3." + "0" * 1_000_000 + "1", "a1b2" * 250_000, "@" * 1_000_000, "+1" * 500_000, "1.2.3." + "9" * 5000, "123.456-" * 1000, "x" * 1_000_000 + "@" + "y" * 1000, "0123456789abcdef" * 15_000, "3 1 " * 60_000])
 def test_long_unbroken_texts(text):
     began = time.process_time()
     base, spans = pii.all_spans(text, pii.trained())
