@@ -9,7 +9,9 @@ that it doesn't touch. At least one in K - S + 1 consecutive k-mers is chosen.
 
 Anchors are matched by position: a feature is an anchor, the next one and the
 distance between them, so two texts agree at a place only where both anchors are
-in both texts and as far apart in each. The fingerprint of a text is the SKETCH
+in both texts and as far apart in each. A text of up to SHORT code points has too
+few pieces for pairs to outlive an edit: its features are also the single
+anchors of its code points, as pieces of one. The fingerprint of a text is the SKETCH
 least distinct hashes of its features, as eight hex digits each; likeness is the
 share of the least SKETCH of two fingerprints' union that is in both: exact for
 texts with up to SKETCH features together, an estimate of the features'
@@ -24,7 +26,7 @@ serves the asked and the asking side; only those heads are moved besides.
 
 Defined results: a null text is empty: no anchors, an empty fingerprint; two
 empty fingerprints have likeness 1, an empty and a full one 0; a text of fewer
-than K pieces has one anchor, all of it; a null id sorts last (so does -2^63, which stands for it); rows of one id
+than K pieces has one anchor, all of it (of fewer than K code points, both ways); a null id sorts last (so does -2^63, which stands for it); rows of one id
 are ordered by text hash, and repeated rows are one document, returned as often
 as they are there; a single document is its own next; an empty table gives no
 row; further columns are not read.
@@ -37,7 +39,7 @@ from pyspark.sql import functions as F
 
 from .common import table, written
 
-PIECE, K, S, SKETCH = 3, 5, 2, 256
+PIECE, K, S, SKETCH, SHORT = 3, 5, 2, 256, 96
 #: Documents in a range, about, where each looks for the next one.
 RANGE = 200_000
 NO_ID = -(1 << 63)
@@ -58,16 +60,20 @@ def with_anchors(df: DataFrame, text: str, name: str, piece: int = PIECE, k: int
     return df.withColumn(name, F.coalesce(F.transform(at, hashed), whole)).drop(t, inner, at)
 
 
-def with_sketch(df: DataFrame, text: str, name: str, sketch: int | None = SKETCH) -> DataFrame:
+def with_sketch(df: DataFrame, text: str, name: str, sketch: int | None = SKETCH, short: int = SHORT) -> DataFrame:
     """df with `name`: the least `sketch` distinct hashes of its features (None:
     all), 32 bits each, as signed integers. A text's last anchor stands alone."""
-    a = f"{name}_a"
+    a, brief, fine = f"{name}_a", f"{name}_b", f"{name}_f"
     df = with_anchors(df, text, a)
+    df = with_anchors(df.withColumn(brief, F.when(F.length(text) <= short, F.col(text)).otherwise("")), brief, fine, piece=1)
     one, after = (lambda i: F.get(a, i)), (lambda i: F.get(a, i + 1))
-    feature = lambda i: F.shiftright(F.xxhash64(one(i)["hash"], F.coalesce(after(i)["hash"], F.lit(0)), F.coalesce(after(i)["pos"] - one(i)["pos"], F.lit(0))), 32).cast("int")
+    hashed = lambda *of: F.shiftright(F.xxhash64(*of), 32).cast("int")
+    feature = lambda i: hashed(one(i)["hash"], F.coalesce(after(i)["hash"], F.lit(0)), F.coalesce(after(i)["pos"] - one(i)["pos"], F.lit(0)))
     features = F.when(F.size(a) > 0, F.transform(F.sequence(F.lit(0), F.size(a) - 1), feature)).otherwise(F.array().cast("array<int>"))
-    least = F.sort_array(F.array_distinct(features))
-    return df.withColumn(name, least if sketch is None else F.slice(least, 1, sketch)).drop(a)
+    # no pair is at such a distance
+    single = F.transform(fine, lambda x: hashed(x["hash"], F.lit(0).cast("long"), F.lit(-1)))
+    least = F.sort_array(F.array_distinct(F.concat(features, single)))
+    return df.withColumn(name, least if sketch is None else F.slice(least, 1, sketch)).drop(a, brief, fine)
 
 
 def fingerprint(sketch: str) -> Column:

@@ -665,6 +665,34 @@ def test_sharding_is_even_and_steady():
         sharding.fill(("a", "b"), 10)
 
 
+def test_sketch_of_the_query_against_all_features(spark):
+    """Texts with more features than SKETCH: a fingerprint is their least hashes,
+    and likeness is counted among the least of both."""
+    r, n = random.Random(8), syncmers.SKETCH
+    first, other = ([str(r.randint(0, 10**9)) for _ in range(600)] for _ in range(2))
+    docs = spark.createDataFrame([(1, " ".join(first)), (2, " ".join(first[:400] + other)), (3, " ".join(other)), (4, "some words"), (5, "")], "doc_id long, text string")
+    whole, own = ({x.doc_id: x for x in syncmers.edited_likeness(docs, size).select("*", syncmers.likeness("sketch", "edited_sketch", size).alias("e"), syncmers.likeness("sketch", "next_sketch", size).alias("x")).collect()} for size in (None, n))
+
+    def share(a, b):
+        a, b = sorted(a)[:n], sorted(b)[:n]
+        least = set(sorted({*a, *b})[:n])
+        return len(least & {*a} & {*b}) / len(least) if least else 1.0
+
+    assert all(len(whole[i].sketch) > n for i in (1, 2, 3)) and own[2].x > 0.1
+    for i, x in own.items():
+        assert list(x.sketch) == sorted(whole[i].sketch)[:n] and list(x.edited_sketch) == sorted(whole[i].edited_sketch)[:n]
+        assert (x.e, x.x) == pytest.approx((share(whole[i].sketch, whole[i].edited_sketch), share(whole[i].sketch, whole[i].next_sketch)))
+        if i < 5:  # an estimate of what all features say
+            assert (x.e, x.x) == pytest.approx((whole[i].e, whole[i].x), abs=0.12)
+
+
+def test_short_texts_are_told_apart(spark):
+    """An edited short text is nearer than the next document."""
+    docs = spark.createDataFrame([(1, "a short line of text"), (2, "quite another one"), (3, "nothing like those here")], "doc_id long, text string")
+    for x in syncmers.edited_likeness(docs).select(syncmers.likeness("sketch", "edited_sketch").alias("e"), syncmers.likeness("sketch", "next_sketch").alias("x")).collect():
+        assert x.e > x.x
+
+
 def test_syncmers_against_brute_force(spark, folder):
     docs = [(i, t or "") for i, t in set(ROWS)]
     ident = spark.createDataFrame(docs, "doc_id long, text string")
@@ -685,9 +713,11 @@ def test_syncmers_against_brute_force(spark, folder):
     assert long.near_edited > 0.3
 
     def features(text):
-        anchors = [(x.pos, x.hash) for x in syncmers.with_anchors(spark.createDataFrame([(text,)], "t string"), "t", "a").first().a]
+        one = spark.createDataFrame([(text,)], "t string")
+        anchors = [(x.pos, x.hash) for x in syncmers.with_anchors(one, "t", "a").first().a]
         pairs = [(h, anchors[k + 1][1], anchors[k + 1][0] - p) for k, (p, h) in enumerate(anchors[:-1])]
-        return {*pairs, *(("last", h) for _, h in anchors[-1:])}
+        fine = syncmers.with_anchors(one, "t", "a", piece=1).first().a if len(text) <= syncmers.SHORT else []
+        return {*pairs, *(("last", h) for _, h in anchors[-1:]), *(("single", x.hash) for x in fine)}
 
     def alike(a, b):
         a, b = features(a), features(b)
