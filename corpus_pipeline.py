@@ -32,11 +32,12 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five-word likeness of 0.8 or more, linked by
-    exact comparison) one document stays: of the least id, then the least hash
+    """Of each group of near copies one document stays. They are linked by SimHash
+    (op2's fingerprints, three bits) and, where more bits differ, by exact comparison
+    (five-word likeness of 0.8 or more). The one that stays is of the least id, then the least hash
     of the text; one without an id only where none has an id. Rows of one id and
     different texts are different documents; repeated rows are one."""
-    stays = nearcopies.near_copies(docs).where("stays").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("key"), "text_hash")
+    stays = nearcopies.near_copies(docs, fingerprinted=True).where("stays").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("key"), "text_hash")
     stays = written(stays.distinct(), "stays")
     # joined and told apart by one key, so that texts are dealt once
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("key"), F.xxhash64("text").alias("text_hash"))

@@ -1,7 +1,9 @@
 """Near copies by the exact likeness of their sets of five-word shingles.
 
-Two texts are linked if |A & B| / |A | B| is LEAST (4/5) or more. SimHash alone
-can't decide that: at 0.8 two fingerprints are expected to differ in ten of 64
+Two texts are linked if |A & B| / |A | B| is LEAST (4/5) or more and, with
+`fingerprinted`, if their SimHash fingerprints are at most three bits apart: these
+come first, through simhash's index, and what they connect is one component for all
+that follows. SimHash alone can't decide the likeness: at 0.8 two fingerprints are expected to differ in ten of 64
 bits, and no radius that an index can probe finds all. So texts meet by prefix
 filtering, which misses none: in the order of the shingles' hashes, two sets
 that are alike enough share one of the first n - ceil(4n/5) + 1 of each.
@@ -47,7 +49,8 @@ from pyspark.sql import functions as F
 from .common import SLICE_ROWS, forget, scratch_root, shuffles_dropped, written
 from .components import components
 from .lines import BUCKETS
-from .simhash import hashes
+from .simhash import fingerprint, hashes
+from .simhash import links as fingerprint_links
 
 WORDS, LEAST = 5, (4, 5)
 #: Rows of one prefix hash in a block; two blocks meet in a task.
@@ -65,16 +68,17 @@ def prefix(n: int) -> int:
     return n + (LEAST[0] * n // -LEAST[1]) + 1 if n else 0
 
 
-def shingle_sets(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, sid, n, hashes): hashes, sorted, only in a set's first
-    row of a task, so that a set with very many copies stays small."""
+def shingle_sets(docs: DataFrame, fingerprinted: bool = False) -> DataFrame:
+    """(doc_id, text_hash, sid, n, hashes) and, if asked for, the text's SimHash fp:
+    hashes, sorted, only in a set's first row of a task, so that a set with very
+    many copies stays small."""
 
     def run(batches):
         seen = set()
         for batch in batches:
             for start in range(0, batch.num_rows, SLICE_ROWS):
                 part = batch.slice(start, SLICE_ROWS)
-                sids, sizes, sets = [], [], []
+                sids, sizes, sets, fps = [], [], [], []
                 for text in part.column(1).to_pylist():
                     data = np.unique(hashes(text, WORDS)).astype("<u8").tobytes()
                     sid = int.from_bytes(xxhash.xxh64_digest(data), "big", signed=True)
@@ -82,9 +86,14 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
                     sizes.append(len(data) // 8)
                     sets.append(None if sid in seen else data)
                     seen.add(sid)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(sids, pa.int64()), pa.array(sizes, pa.int32()), pa.array(sets, pa.binary())], names=["doc_id", "text_hash", "sid", "n", "hashes"])
+                    if fingerprinted:
+                        fps.append(fingerprint(hashes(text)))
+                columns = [part.column(0), part.column(2), pa.array(sids, pa.int64()), pa.array(sizes, pa.int32()), pa.array(sets, pa.binary())]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(np.array(fps, np.uint64).view(np.int64))][: len(names)], names=names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash")).mapInArrow(run, "doc_id long, text_hash long, sid long, n int, hashes binary")
+    schema = "doc_id long, text_hash long, sid long, n int, hashes binary" + ", fp long" * fingerprinted
+    names = [c.split()[0] for c in schema.split(", ")]
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash")).mapInArrow(run, schema)
 
 
 @contextmanager
@@ -501,10 +510,20 @@ def alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return out
 
 
-def near_copies(docs: DataFrame, tile: int = TILE, members: int = MEMBERS) -> DataFrame:
+def near_copies(docs: DataFrame, tile: int = TILE, members: int = MEMBERS, fingerprinted: bool = False) -> DataFrame:
     """linked(), without its shuffle files once it is done."""
     with shuffles_dropped(docs.sparkSession), buckets_kept(docs.sparkSession):
-        return linked(docs, tile, members)
+        return linked(docs, tile, members, fingerprinted)
+
+
+def by_fingerprint(rows: DataFrame) -> DataFrame:
+    """(a, b): each set and the least one of its SimHash component (fingerprints
+    that are linked at three or fewer differing bits, as simhash.links finds them)."""
+    pairs = written(rows.select("sid", "fp").distinct(), "fingerprints")
+    roots = components(fingerprint_links(pairs.select("fp").distinct())).select(F.col("vertex").alias("fp"), "root")
+    placed = written(pairs.join(roots, "fp", "left").select("sid", F.coalesce("root", "fp").alias("root")), "placed")
+    firsts = written(placed.groupBy("root").agg(F.min("sid").alias("first")), "firsts")
+    return written(placed.join(firsts, "root").where("sid <> first").select(F.col("first").alias("a"), F.col("sid").alias("b")), "close")
 
 
 WAYS = [c.split()[0] for c in TILED.split(", ")]
@@ -538,19 +557,23 @@ def by_hashes(held: DataFrame, small: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, links)
 
 
-def linked(docs: DataFrame, tile: int, members: int) -> DataFrame:
+def linked(docs: DataFrame, tile: int, members: int, fingerprinted: bool) -> DataFrame:
     """(doc_id, text_hash, component_id, stays), a row for each of docs; text_hash
-    is xxhash64 of the text. The rows of a component that stay are those of one
+    is xxhash64 of the text. With fingerprinted, SimHash links count too, and what
+    they connect isn't compared again. The rows of a component that stay are those of one
     id and text: the least id, then the least hash; one without id only where
     none has an id."""
-    rows = stored_rows(shingle_sets(docs))
+    rows = stored_rows(shingle_sets(docs, fingerprinted))
     sets = sets_of(rows)
+    close = by_fingerprint(rows) if fingerprinted else None
     tokens = written(shared(prefixes(sets)), "tokens")
     fits = LEAST[1] * F.least("n", "first_n") >= LEAST[0] * F.greatest("n", "first_n")
     tried = tokens.where("sid <> first").where(fits).select(F.col("first").alias("a"), F.col("sid").alias("b"), F.col("first_n").alias("a_n"), F.col("n").alias("b_n"))
     tried = written(possible(tried), "tried")  # a pair that has other tokens too is counted whole in rest
     hubs = alike(tried, sets)
     forget(tried)
+    if close is not None:
+        hubs = hubs.unionByName(close)
     roots = components(hubs).select(F.col("vertex").alias("sid"), "root")
     rooted = tokens.select("token", "sid", "n", "rest").join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     held = written(tiled(rooted, tile), "tiles")

@@ -780,6 +780,18 @@ def test_line_runs_incrementally(spark):
     runs.close()
 
 
+def test_pipeline_links_by_simhash(spark):
+    """Fingerprints within three bits are linked, whatever the five-word likeness."""
+    said = "five words said so often " * 200
+    texts = [said + " ".join(f"{c}{k}" for k in range(9)) for c in "ab"] + [" ".join(f"c{k}" for k in range(99))]
+    a, b, c = (simhash.fingerprint(simhash.hashes(t)) for t in texts)
+    assert (a ^ b).bit_count() <= 3 < (a ^ c).bit_count()
+    rows = list(enumerate(texts))
+    assert len(set(x[1] for x in plain_near_copies(rows))) == 3  # not alike by their sets
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in rows], DOCS)
+    assert sorted(x.doc_id for x in corpus_pipeline.near_dedup(spark, docs, "").collect()) == [0, 2]
+
+
 def plain_line_dedup(rows):
     key = lambda line: line.strip(" \t\n\x0b\x0c\r").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
     held = defaultdict(set)
