@@ -7,14 +7,16 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions.text import extract, is_furniture, normalise, trimmed
+from .dealing import dealt
 
 
-def without_furniture(lines: DataFrame, share: float = 0.6) -> DataFrame:
+def without_furniture(lines: DataFrame, share: float = 0.6, size: int | None = None) -> DataFrame:
     """lines (paper_id, page, line_no, text) without blank lines and, in papers
     of two pages or more, without what is printed on most of the pages: a line
     on `share` of them (two at least), short, near the top or bottom, and no
-    bare number, question start or finished sentence."""
-    kept = lines.withColumn("text", normalise(F.col("text"))).where("text <> ''").repartition("paper_id")
+    bare number, question start or finished sentence. size: about how many lines
+    there are, where it is known."""
+    kept = dealt(lines.withColumn("text", normalise(F.col("text"))).where("text <> ''"), "paper_id", size=lines.count() if size is None else size)
     # dealt once: all windows are inside a paper. Longer lines are no running heads, whatever they repeat
     paper, page = Window.partitionBy("paper_id"), Window.partitionBy("paper_id", "page")
     short = F.when(F.length("text") <= P.RUNNING_HEAD, F.col("text"))

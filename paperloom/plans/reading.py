@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import shapes as H
 from ..functions.text import line_class
 from ..operators import ingest, pages, tiling, vision
+from ..operators.dealing import dealt
 from ..sources import readers
 from ..sources.calls import Reply
 from ..sources.provider import LineReader, OfflineProvider
@@ -190,6 +191,7 @@ def furniture_branches(spark, sf_dir):
     from pyspark.sql import Window
 
     o = S.table(spark, sf_dir, "orders")
+    size, o = o.count(), dealt(o, "o_custkey")
     w = Window.partitionBy("o_custkey")
     rows = o.select(F.col("o_custkey").cast("string").alias("paper_id"), F.row_number().over(w.orderBy("o_orderkey")).alias("page"), F.count("*").over(w).alias("pages"))
     page = F.col("page").cast("string")
@@ -198,4 +200,4 @@ def furniture_branches(spark, sf_dir):
         F.lit("A line that is the same on every page but much too long for a running head of any paper"), F.lit("Middle words"), F.lit("Other middle words"), F.lit("Answer in ink."), F.lit("7"), F.concat(F.lit("Page "), page, F.lit("/"), F.col("pages").cast("string")),
     )
     lines = rows.select("paper_id", "page", F.posexplode(said).alias("pos", "text")).select("paper_id", "page", (F.col("pos") + 1).alias("line_no"), "text")
-    return pages.without_furniture(lines).select("paper_id", "page", "line_no")
+    return pages.without_furniture(lines, size=9 * size).select("paper_id", "page", "line_no")

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.dealing import dealt
+
 ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
 SQL_ORDER = ", ".join(ORDER)
 
@@ -78,7 +80,7 @@ lines AS (
 def customer_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A customer's orders as pages with a running head, a header line, a body
     line and a footer."""
-    o = table(spark, sf_dir, "orders")
+    o = dealt(table(spark, sf_dir, "orders"), "o_custkey")
     page = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
     rows = o.withColumn("page", page).withColumn("pages", F.count("*").over(Window.partitionBy("o_custkey")))
     s = lambda c: F.col(c).cast("string")

@@ -10,7 +10,7 @@ from paperloom.functions.arithmetic import calculate
 from paperloom.functions.context import KEYS, question_context
 from paperloom.functions.identity import question_signature
 from paperloom.functions.text import line_class, normalize_text, strip_fences
-from paperloom.operators import diagnostics, ingest, pages, segment, store, vision, workflow
+from paperloom.operators import dealing, diagnostics, ingest, pages, segment, store, vision, workflow
 from paperloom.sources import provider, readers
 from paperloom.sources.settings import Settings
 from paperloom.streaming.checkpoints import current, upsert_stream
@@ -432,3 +432,12 @@ def test_stream_upserts(spark, tmp_path):
         upsert_stream(stream, str(tmp_path / "t"), str(tmp_path / "c"), ["k"], ["n"], lambda b, n: seen.append(n)).awaitTermination()
         assert seen
     assert sorted(map(tuple, current(spark, str(tmp_path / "t")).collect())) == [("a", 2, "z"), ("b", 1, "y")]
+
+
+def test_tasks_grow_with_the_rows(spark):
+    """What is sorted by paper is dealt to more tasks where there are more rows."""
+    lines = spark.createDataFrame([(str(p), n, 1, "Some words") for p in range(50) for n in (1, 2, 3)], "paper_id string, page int, line_no int, text string")
+    few, many = pages.without_furniture(lines), pages.without_furniture(lines, size=9 * dealing.TASK_ROWS)
+    assert few.rdd.getNumPartitions() <= 4 and many.rdd.getNumPartitions() == 9
+    assert sorted(many.collect()) == sorted(few.collect())
+    assert dealing.dealt(lines, "paper_id", task_rows=10).rdd.getNumPartitions() == 15  # counted
