@@ -40,7 +40,7 @@ SELECT paper_id, page, line_no, text FROM counted
 WHERE pages < 2 OR NOT (regexp_matches(text, {quoted(P.PAGE_FOOTER)}) OR
   (on_pages >= greatest(2, ceil(pages * 0.6)) AND length(text) <= 60 AND NOT regexp_matches(text, {quoted(P.SENTENCE_END)}) AND NOT regexp_matches(text, {quoted(P.QUESTION_START)})))""")
 def furniture_lines(spark, sf_dir):
-    return pages.without_furniture(S.customer_pages(spark, sf_dir))
+    return pages.without_furniture(S.customer_pages(spark, sf_dir), size=5 * S.table(spark, sf_dir, "orders").count())
 
 
 CLASS_SQL = f"""CASE WHEN regexp_matches(text, {quoted(P.SECTION)}) AND length(text) <= 90 THEN 'section'
