@@ -24,7 +24,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def order_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Questions of the canonical shape; marks are unknown where the quantity
     is divisible by 13."""
-    rows = table(spark, sf_dir, "lineitem")
+    rows = dealt(table(spark, sf_dir, "lineitem"), "l_orderkey")
     at = F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*ORDER)) - 1
     quantity = F.col("l_quantity").cast("int")
     return rows.select(
@@ -57,14 +57,15 @@ SQL_PAPERS = """papers AS (
 
 def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(paper_id, page, line_no, text): a heading where the section changes, an
-    instruction at the start of a section, the item, its bare marks."""
-    rows = table(spark, sf_dir, "lineitem")
-    w = Window.partitionBy("l_orderkey").orderBy(*ORDER)
+    instruction at the start of a section, the item, its bare marks. Dealt by
+    paper_id, so that what groups by it deals nothing again."""
+    rows = dealt(table(spark, sf_dir, "lineitem").withColumn("paper_id", F.col("l_orderkey").cast("string")), "paper_id")
+    w = Window.partitionBy("paper_id").orderBy(*ORDER)
     rows = rows.withColumn("place", F.row_number().over(w)).withColumn("before", F.lag("l_returnflag").over(w))
     turn = F.coalesce(F.col("before") != F.col("l_returnflag"), F.lit(True))
     item = F.concat(F.col("l_linenumber").cast("string"), F.lit(" Find the value of part "), F.col("l_partkey").cast("string"), F.lit("?"))
     said = F.filter(F.array(F.when(turn, F.struct(F.lit(1).alias("k"), F.concat(F.lit("Section "), F.col("l_returnflag")).alias("text"))), F.when(turn, F.struct(F.lit(2).alias("k"), F.concat(F.lit("Attempt all "), F.col("l_linenumber").cast("string"), F.lit(" questions. Each carries 3 marks.")).alias("text"))), F.struct(F.lit(3).alias("k"), item.alias("text")), F.struct(F.lit(4).alias("k"), F.col("l_quantity").cast("int").cast("string").alias("text"))), lambda x: x.isNotNull())
-    return rows.select(F.col("l_orderkey").cast("string").alias("paper_id"), F.lit(1).alias("page"), "place", F.explode(said).alias("s")).select("paper_id", "page", (F.col("place") * 10 + F.col("s.k")).cast("int").alias("line_no"), "s.text")
+    return rows.select("paper_id", F.lit(1).alias("page"), "place", F.explode(said).alias("s")).select("paper_id", "page", (F.col("place") * 10 + F.col("s.k")).cast("int").alias("line_no"), "s.text")
 
 
 SQL_LINES = f"""ordered AS (

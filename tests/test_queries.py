@@ -52,3 +52,9 @@ def test_results_do_not_depend_on_partitions(spark):
 def test_reconcile_deals_once_by_item(spark):
     plan = catalog.QUERIES["reconcile"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("hashpartitioning(work_item_id") == 1 and "Join" not in plan
+
+
+def test_lines_are_dealt_once(spark):
+    """Grouping by paper follows the deal that the lines came by (a new one would hold all groups in the session's few tasks)."""
+    plan = catalog.QUERIES["line_classes"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1, plan
