@@ -6,7 +6,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from paperloom.functions.arithmetic import calculate
+from paperloom.functions.arithmetic import calculate, outcome
 from paperloom.functions.context import KEYS, question_context
 from paperloom.functions.identity import question_signature
 from paperloom.functions.text import line_class, normalize_text, strip_fences
@@ -441,3 +441,9 @@ def test_tasks_grow_with_the_rows(spark):
     assert few.rdd.getNumPartitions() <= 4 and many.rdd.getNumPartitions() == 9
     assert sorted(many.collect()) == sorted(few.collect())
     assert dealing.dealt(lines, "paper_id", task_rows=10).rdd.getNumPartitions() == 15  # counted
+
+
+def test_expressions_are_calculated_once():
+    outcome.cache_clear()
+    assert [outcome(e) for e in ("7 // 2", "1 / 0", "7 // 2", None, None)][:3] == [(3.0, None), (None, "division by zero"), (3.0, None)]
+    assert outcome.cache_info().hits == 2
