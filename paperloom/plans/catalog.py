@@ -79,7 +79,7 @@ marks AS (SELECT l_orderkey::VARCHAR AS paper_id, l_linenumber::VARCHAR AS numbe
 SELECT paper_id, number, section, marks, CASE WHEN k = high THEN 'strict' ELSE 'relaxed' END AS strategy
 FROM firsts JOIN n USING (paper_id) JOIN marks USING (paper_id, number)""")
 def segment_papers(spark, sf_dir):
-    parsed = segment.parsed_papers(S.order_lines(spark, sf_dir))
+    parsed = segment.parsed_papers(S.order_lines(spark, sf_dir), placed=True)
     return parsed.select("paper_id", "strategy", F.explode("questions").alias("q")).select("paper_id", "q.number", "q.section", "q.marks", "strategy")
 
 

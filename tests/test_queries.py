@@ -56,5 +56,6 @@ def test_reconcile_deals_once_by_item(spark):
 
 def test_lines_are_dealt_once(spark):
     """Grouping by paper follows the deal that the lines came by (a new one would hold all groups in the session's few tasks)."""
-    plan = catalog.QUERIES["line_classes"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange hashpartitioning") == 1, plan
+    for name in ("line_classes", "declared_counts", "segment_papers"):
+        plan = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1, plan
