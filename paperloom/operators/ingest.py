@@ -47,24 +47,25 @@ def unreadable(rows: DataFrame) -> DataFrame:
     return rows.where("error is not null").select(*diagnostics.finding(UNREADABLE, "error", F.col("error"), F.col("page")))
 
 
-def assembled(known: DataFrame, questions: DataFrame, facts: DataFrame) -> DataFrame:
+def assembled(known: DataFrame, questions: DataFrame, facts: DataFrame | None = None) -> DataFrame:
     """Papers of known (paper_id, total_pages, declared_...), with the roll-up of
-    their questions and the header's facts. A paper without questions has none,
-    and no marks."""
-    rows = known.join(pages.paper_rollup(questions), "paper_id", "left").join(facts.withColumnRenamed("class", "class_name"), "paper_id", "left")
+    their questions and the header's facts (if known doesn't hold them). A paper
+    without questions has none, and no marks."""
+    rows = known.join(pages.paper_rollup(questions), "paper_id", "left")
+    rows = (rows if facts is None else rows.join(facts, "paper_id", "left")).withColumnRenamed("class", "class_name")
     return rows.withColumns({"status": F.lit("ready"), "total_questions": F.coalesce("total_questions", F.lit(0)), "sections": F.coalesce("sections", F.array().cast("array<string>"))})
 
 
-def text_papers(lines: DataFrame, cut: Cut) -> Ingested:
+def text_papers(lines: DataFrame, cut: Cut, placed: bool = False) -> Ingested:
     """lines (paper_id, page, line_no, text): clean pages, parse, assembly and
-    report. What the parser put aside are warnings."""
-    kept = cut(pages.without_furniture(lines))
-    parsed = cut(segment.parsed_papers(kept))
+    report. What the parser put aside are warnings. Lines are dealt by paper once,
+    and not at all where they are already (placed)."""
+    parsed = cut(segment.parsed_papers(pages.without_furniture(lines, placed=placed), placed=True))
     questions = segment.questions_of(parsed)
-    sized = lines.groupBy("paper_id").agg(F.max("page").cast("int").alias("total_pages"))
-    facts = pages.header_facts(lines).withColumnRenamed("total_marks", "declared_total_marks")
-    known = sized.join(parsed.select("paper_id", "strategy", F.col("declared_count").alias("declared_question_count"), F.coalesce("sections", F.array().cast("array<string>")).alias("declared_sections")), "paper_id", "left")
-    papers = assembled(known, questions, facts)
+    # one pass over the lines for the header's facts and the pages
+    facts = pages.header_facts(lines, F.max("page").cast("int").alias("total_pages")).withColumnRenamed("total_marks", "declared_total_marks")
+    known = facts.join(parsed.select("paper_id", "strategy", F.col("declared_count").alias("declared_question_count"), F.coalesce("sections", F.array().cast("array<string>")).alias("declared_sections")), "paper_id", "left")
+    papers = assembled(known, questions)
     return Ingested(papers, questions, diagnostics.report(papers, questions).unionByName(diagnostics.parser_findings(parsed)))
 
 

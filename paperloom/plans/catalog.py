@@ -92,7 +92,7 @@ said AS (SELECT paper_id, sum(regexp_extract(text, 'all ([0-9]+) questions', 1):
 SELECT paper_id, 'ready' AS status, count(*)::INT AS total_questions, sum(marks) AS total_marks, any_value(sections) AS sections, any_value(declared)::INT AS declared, 1 AS total_pages
 FROM firsts JOIN marks USING (paper_id, number) JOIN heads USING (paper_id) JOIN said USING (paper_id) GROUP BY paper_id""")
 def paper_assembly(spark, sf_dir):
-    papers = ingest.text_papers(S.order_lines(spark, sf_dir), cut).papers
+    papers = ingest.text_papers(S.order_lines(spark, sf_dir), cut, placed=True).papers
     return papers.select("paper_id", "status", "total_questions", "total_marks", F.array_join("sections", ",").alias("sections"), F.col("declared_question_count").alias("declared"), "total_pages")
 
 

@@ -447,3 +447,19 @@ def test_expressions_are_calculated_once():
     outcome.cache_clear()
     assert [outcome(e) for e in ("7 // 2", "1 / 0", "7 // 2", None, None)][:3] == [(3.0, None), (None, "division by zero"), (3.0, None)]
     assert outcome.cache_info().hits == 2
+
+
+def test_lines_of_papers_are_dealt_and_written_once(spark, tmp_path):
+    """Placed lines go through clean pages and the parse without another exchange; no row holds a set of pages."""
+    plans = []
+
+    def cut(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return cutter(spark, tmp_path)(df)
+
+    said = [("a", 1, 1, "Running head"), ("a", 1, 2, "1 Find x? 3"), ("a", 2, 1, "Running head"), ("a", 2, 2, "2 Find y? 4"), ("a", 3, 1, "Page 3 of 3"), ("b", 1, 1, "Running head"), ("b", 1, 2, "Subject: Maths"), ("b", 1, 3, "1 Say it?")]
+    lines = spark.createDataFrame(said, "paper_id string, page int, line_no int, text string").repartition("paper_id")
+    papers = ingest.text_papers(lines, cut, placed=True).papers
+    assert len(plans) == 1 and plans[0].count("Exchange") == 1 and "collect_set" not in plans[0], plans
+    assert sorted(papers.select("paper_id", "total_pages", "total_questions", "total_marks", "subject").collect()) == [("a", 3, 2, 7, None), ("b", 1, 1, None, "Maths")]
+    assert sorted(r.text for r in pages.without_furniture(lines).collect() if r.paper_id == "a") == ["1 Find x? 3", "2 Find y? 4"]
