@@ -8,6 +8,7 @@ QNO_HEADER = r"(?i)^\s*Q\s*\.?\s*N\s*O\s*\.?\b"
 PAGE_FOOTER = r"(?i)^\s*Page\s+\d+\s*(?:/|\bof\b)\s*\d+\b"
 SECTION = r"^\s*(?i:Section|Part|Unit)\s*[-–—:]?\s*([A-Z]{1,2}|[IVXLC]{1,5}|\d{1,3})(?:\s*[—–\-:|]\s*(.+?))?\s*$"
 ATTEMPT_START = r"(?i)^\s*(?:Attempt|Answer)\b"
+ATTEMPT_OPENING = r"(?i)^[\s\u00a0]*(?:Attempt|Answer)"
 ATTEMPT_SHAPE = r"(?i)\ball\s+\d+\s+questions?\b|\b\d+\s*out\s*of\s*\d+\b|\bcarries?\s+\d+\s*marks?\b|\bany\s+\d+\s+questions?\b"
 INSTRUCTIONS_HEADING = r"(?i)^\s*(?:(?:general\s+)?instructions?|notes?)\s*:\s*$|^\s*(?:general\s+)?instructions?\s*$"
 DECLARED_ALL = r"(?i)^\s*(?:Attempt|Answer)\b.*?\ball\b\s+(\d+)\s*questions?"

@@ -45,6 +45,12 @@ def line_class(text: Column) -> Column:
     return out.otherwise("content")
 
 
+def is_instruction(text: Column) -> Column:
+    """Whether line_class is instruction. Most lines don't start like one, and are
+    tried for nothing else; one that does can't be of the classes before it."""
+    return text.rlike(P.ATTEMPT_OPENING) & is_attempt(normalise(text))
+
+
 def section_label(line: Column) -> Column:
     return extract(line, P.SECTION, 1)
 

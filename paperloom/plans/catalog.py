@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import patterns as P
 from ..functions.arithmetic import safe_calculate
 from ..functions.scoring import confidence, payload_errors
-from ..functions.text import carried_marks, declared_count, figure_flag, line_class, normalize_text, option_groups, promotable, question_type, section_label, text_key, trailing_marks
+from ..functions.text import carried_marks, declared_count, figure_flag, is_instruction, line_class, normalize_text, option_groups, promotable, question_type, section_label, text_key, trailing_marks
 from ..functions.context import question_context
 from ..functions.identity import question_signature
 from ..operators import diagnostics, ingest, pages, segment, store, vision, workflow
@@ -68,7 +68,7 @@ def header_facts(spark, sf_dir):
 FROM lines WHERE text LIKE 'Attempt%' GROUP BY paper_id""")
 def declared_counts(spark, sf_dir):
     t = F.col("text")
-    lines = S.order_lines(spark, sf_dir).where(line_class(t) == "instruction")
+    lines = S.order_lines(spark, sf_dir).where(is_instruction(t))
     return lines.groupBy("paper_id").agg(F.nullif(F.sum(declared_count(t)), F.lit(0)).alias("declared"), F.max(carried_marks(t)).alias("carried"))
 
 

@@ -64,8 +64,9 @@ def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = rows.withColumn("place", F.row_number().over(w)).withColumn("before", F.lag("l_returnflag").over(w))
     turn = F.coalesce(F.col("before") != F.col("l_returnflag"), F.lit(True))
     item = F.concat(F.col("l_linenumber").cast("string"), F.lit(" Find the value of part "), F.col("l_partkey").cast("string"), F.lit("?"))
-    said = F.filter(F.array(F.when(turn, F.struct(F.lit(1).alias("k"), F.concat(F.lit("Section "), F.col("l_returnflag")).alias("text"))), F.when(turn, F.struct(F.lit(2).alias("k"), F.concat(F.lit("Attempt all "), F.col("l_linenumber").cast("string"), F.lit(" questions. Each carries 3 marks.")).alias("text"))), F.struct(F.lit(3).alias("k"), item.alias("text")), F.struct(F.lit(4).alias("k"), F.col("l_quantity").cast("int").cast("string").alias("text"))), lambda x: x.isNotNull())
-    return rows.select("paper_id", F.lit(1).alias("page"), "place", F.explode(said).alias("s")).select("paper_id", "page", (F.col("place") * 10 + F.col("s.k")).cast("int").alias("line_no"), "s.text")
+    said = F.array(F.when(turn, F.concat(F.lit("Section "), F.col("l_returnflag"))), F.when(turn, F.concat(F.lit("Attempt all "), F.col("l_linenumber").cast("string"), F.lit(" questions. Each carries 3 marks."))), item, F.col("l_quantity").cast("int").cast("string"))
+    lines = rows.select("paper_id", F.lit(1).alias("page"), "place", (F.array(turn, turn, F.lit(True), F.lit(True))).alias("there"), F.posexplode(said).alias("k", "text"))
+    return lines.where(F.get("there", F.col("k"))).select("paper_id", "page", (F.col("place") * 10 + F.col("k") + 1).cast("int").alias("line_no"), "text")
 
 
 SQL_LINES = f"""ordered AS (

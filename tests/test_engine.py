@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from paperloom.functions.arithmetic import calculate, outcome
 from paperloom.functions.context import KEYS, question_context
 from paperloom.functions.identity import question_signature
-from paperloom.functions.text import line_class, normalize_text, strip_fences
+from paperloom.functions.text import is_instruction, line_class, normalize_text, strip_fences
 from paperloom.operators import dealing, diagnostics, ingest, pages, segment, store, vision, workflow
 from paperloom.sources import provider, readers
 from paperloom.sources.settings import Settings
@@ -463,3 +463,10 @@ def test_lines_of_papers_are_dealt_and_written_once(spark, tmp_path):
     assert len(plans) == 1 and plans[0].count("Exchange") == 1 and "collect_set" not in plans[0], plans
     assert sorted(papers.select("paper_id", "total_pages", "total_questions", "total_marks", "subject").collect()) == [("a", 3, 2, 7, None), ("b", 1, 1, None, "Maths")]
     assert sorted(r.text for r in pages.without_furniture(lines).collect() if r.paper_id == "a") == ["1 Find x? 3", "2 Find y? 4"]
+
+
+def test_instructions_are_told_by_their_start_first(spark):
+    said = ["Attempt all 3 questions.", "\u00a0 answer any 2 questions", "Answering carries 2 marks", "The answer carries 2 marks", "Attempt 1", "Section A", "\n\tATTEMPT 2 out of 3", "\u00a0", "", None, "13", "1 Attempt all 3 questions."]
+    rows = spark.createDataFrame([(x,) for x in said], "text string").select("text", F.coalesce(is_instruction(F.col("text")), F.lit(False)).alias("is"), (line_class(F.col("text")) == "instruction").alias("want"))
+    got = rows.collect()
+    assert [r["is"] for r in got] == [r["want"] for r in got] and sum(r["is"] for r in got) == 3
