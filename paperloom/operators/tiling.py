@@ -24,6 +24,8 @@ from . import vision
 
 #: The overlap of halves, the height that isn't cut further, how often a page is halved.
 OVERLAP, LEAST_HEIGHT, LEVELS = 0.25, 800, vision.LEAVES.bit_length() - 1
+#: Bytes of images that a task of calls reads in one turn. More images are more turns, not larger tasks.
+TASK_BYTES = 1 << 27
 SPLIT = "split"
 READ = "paper_id string, page int, tile string, outcome string, reply string, error string, calls int, content binary"
 COLUMNS = ["paper_id", "page", "tile", "outcome", "reply", "error", "calls", "content"]
@@ -48,11 +50,12 @@ class LineTiler:
         return b"\n".join(image.split(b"\n")[top:bottom])
 
 
-def read_pages(images: DataFrame, provider: Provider, cut: Callable[[DataFrame], DataFrame], tiler: Tiler | None = None, concurrency: int = 8, levels: int = LEVELS, least_height: int = LEAST_HEIGHT, overlap: float = OVERLAP, attempts: int = 2, pause: float = 1.0) -> DataFrame:
+def read_pages(images: DataFrame, provider: Provider, cut: Callable[[DataFrame], DataFrame], tiler: Tiler | None = None, concurrency: int = 8, levels: int = LEVELS, least_height: int = LEAST_HEIGHT, overlap: float = OVERLAP, attempts: int = 2, pause: float = 1.0, task_bytes: int = TASK_BYTES) -> DataFrame:
     """(paper_id, page, tile, outcome, reply, error, calls) of images (paper_id,
     page, content): the replies that no more reading makes whole. tile is the way
     of halves, '' for a page. At most `concurrency` calls are made at once, and
-    each is written before the next round, so that none is made again."""
+    each is written before the next round, so that none is made again. Images go in
+    turns of about `task_bytes` for each of these tasks, one turn after another."""
 
     def halves(paper, page, tile, content, calls):
         height = tiler.height(content)
@@ -80,12 +83,26 @@ def read_pages(images: DataFrame, provider: Provider, cut: Callable[[DataFrame],
             out = [x for r in zip(rows["paper_id"], rows["page"], rows["tile"], rows["content"]) for x in one(*r)]
             yield pd.DataFrame(out, columns=COLUMNS).astype({"page": "Int32", "calls": "Int32"})
 
-    frontier, done = images.select("paper_id", "page", F.lit("").alias("tile"), "content"), []
-    for _ in range(levels + 1 if tiler is not None else 1):
-        said = cut(frontier.repartition(concurrency, "paper_id", "page", "tile").mapInPandas(run, READ))
-        done.append(said.where(F.col("outcome") != SPLIT).drop("content"))
-        frontier = said.where(F.col("outcome") == SPLIT).select("paper_id", "page", "tile", "content")
-    return reduce(DataFrame.unionByName, done)
+    done, turns = [], in_turns(images.select("paper_id", "page", "content"), concurrency, task_bytes, cut)
+    for turn in turns:
+        frontier = turn.select("paper_id", "page", F.lit("").alias("tile"), "content")
+        for _ in range(levels + 1 if tiler is not None else 1):
+            said = cut(frontier.repartition(concurrency, "paper_id", "page", "tile").mapInPandas(run, READ))
+            done.append(said.where(F.col("outcome") != SPLIT).drop("content"))
+            frontier = said.where(F.col("outcome") == SPLIT).select("paper_id", "page", "tile", "content")
+    reads = reduce(DataFrame.unionByName, done)
+    return reads if len(turns) == 1 else cut(reads)  # one table, however many turns
+
+
+def in_turns(images: DataFrame, concurrency: int, task_bytes: int, cut: Callable[[DataFrame], DataFrame]) -> list[DataFrame]:
+    """images in parts of about concurrency times task_bytes. If there are several,
+    they are written once, a place in a turn to a file, so that a turn reads its own."""
+    turns = -(-(images.agg(F.sum(F.length("content"))).first()[0] or 0) // (concurrency * task_bytes))
+    if turns <= 1:
+        return [images]
+    places = turns * concurrency
+    held = cut(images.withColumn("place", F.pmod(F.xxhash64("paper_id", "page"), F.lit(places)).cast("int")).repartitionById(places, "place"))
+    return [held.where(F.col("place").between(k * concurrency, (k + 1) * concurrency - 1)).drop("place") for k in range(turns)]
 
 
 def folded(items: DataFrame, levels: int = LEVELS) -> DataFrame:

@@ -311,3 +311,21 @@ def test_a_wording_that_all_items_share_is_not_gathered(spark):
     (r,) = vision.dedupe_by_text(spark.createDataFrame(rows[::-1], item).repartition(4)).collect()
     want = spark.createDataFrame([([x[7] for x in rows],)], "o array<array<string>>").select(vision.option_union(F.col("o"))).first()[0]
     assert (r.idx, r.marks, r.confidence, r.options) == (0, "2", 1 - 199 / 1000, want) and len(want) == 202
+
+
+def test_images_go_in_turns(spark, tmp_path):
+    """More images are more turns of as many tasks, with the same reads; no task reads more than about task_bytes."""
+    tasks, written = [], cutter(spark, tmp_path)
+
+    def cut(df):
+        if "outcome" in df.columns and "MapInPandas" in df._jdf.queryExecution().executedPlan().toString():
+            tasks.append(df.rdd.mapPartitions(lambda rows: [sum(len(r.content or b"") for r in rows)]).collect())
+        return written(df)
+
+    images = spark.createDataFrame([(f"p{k % 7}", k + 1, b"\n".join(b"%d\tword%d" % (j, k) for j in range(1 + k % 9))) for k in range(60)] + [(None, None, b"x"), ("q", 1, None)], IMAGES)
+    read = lambda **how: tiling.read_pages(images, provider.LineReader(4), cut, tiling.LineTiler(), concurrency=2, least_height=6, pause=0.0, **how)
+    whole, rounds = sorted(map(repr, read().collect())), len(tasks)
+    tasks.clear()
+    assert sorted(map(repr, read(task_bytes=400).collect())) == whole and len(whole) > 62
+    assert rounds == 3 and len(tasks) > 9 and len(tasks) % 3 == 0
+    assert all(len(t) <= 2 for t in tasks) and max(map(max, tasks)) < 3 * 400
