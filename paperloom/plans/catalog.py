@@ -12,6 +12,7 @@ from ..functions.text import carried_marks, declared_count, figure_flag, is_inst
 from ..functions.context import question_context
 from ..functions.identity import question_signature
 from ..operators import diagnostics, ingest, pages, segment, store, vision, workflow
+from ..operators.dealing import dealt
 from ..sources.provider import OfflineProvider
 from ..sources.readers import lines_of_texts
 from . import keeping, reading  # noqa: F401  register their queries
@@ -137,7 +138,8 @@ found(paper_id, code, severity, question) AS (
 
 
 def order_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return diagnostics.report(S.order_papers(spark, sf_dir), cut(S.order_questions(spark, sf_dir)))  # numbered once, read by each rule
+    size = S.table(spark, sf_dir, "lineitem").count() + S.table(spark, sf_dir, "orders").count()
+    return diagnostics.report(dealt(S.order_papers(spark, sf_dir), "paper_id", size=size), S.order_questions(spark, sf_dir, size))
 
 
 @query(f"WITH {REPORT_SQL} SELECT paper_id, code, severity, question FROM found")

@@ -21,14 +21,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def order_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+def order_questions(spark: SparkSession, sf_dir: str, size: int | None = None) -> DataFrame:
     """Questions of the canonical shape; marks are unknown where the quantity
-    is divisible by 13."""
-    rows = dealt(table(spark, sf_dir, "lineitem"), "l_orderkey")
-    at = F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*ORDER)) - 1
+    is divisible by 13. Dealt by paper_id (to as many tasks as `size` rows need)."""
+    rows = dealt(table(spark, sf_dir, "lineitem").withColumn("paper_id", F.col("l_orderkey").cast("string")), "paper_id", size=size)
+    at = F.row_number().over(Window.partitionBy("paper_id").orderBy(*ORDER)) - 1
     quantity = F.col("l_quantity").cast("int")
     return rows.select(
-        F.col("l_orderkey").cast("string").alias("paper_id"), at.alias("question_index"), F.col("l_linenumber").cast("string").alias("number"), F.col("l_returnflag").alias("section"),
+        "paper_id", at.alias("question_index"), F.col("l_linenumber").cast("string").alias("number"), F.col("l_returnflag").alias("section"),
         F.concat(F.lit("Find the value of part "), F.col("l_partkey").cast("string")).alias("text"), F.when(quantity % 13 != 0, quantity).alias("marks"), F.lit("numerical").alias("type"),
         F.lit(None).cast("array<string>").alias("options"), F.lit(False).alias("has_figure"), F.lit(1).alias("page"),
     )

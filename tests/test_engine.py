@@ -161,6 +161,14 @@ def test_paper_rules(spark):
         diagnostics.raise_if_invalid(empty)
 
 
+def test_first_missing_numbers_are_named(spark):
+    names = [c.split()[0] for c in COLUMNS.split(", ")]
+    for numbers, missing in (([1, *range(3, 80, 2)], range(2, 25, 2)), ([50, 1, 2, 2, 9], range(3, 16)), ([5, 8], (6, 7))):
+        rows = [tuple((dict(zip(names, GOOD)) | {"question_index": k, "number": str(n), "text": f"A whole question {k}"})[c] for c in names) for k, n in enumerate(numbers)]
+        found = diagnostics.report(spark.createDataFrame([PAPER], PAPERS), spark.createDataFrame(rows, COLUMNS)).where("code = 'numbering_gap'").collect()
+        assert [r.message for r in found] == ["missing " + ", ".join(str(n) for n in [m for m in missing if m not in numbers][:12])]
+
+
 # --- vision items
 
 

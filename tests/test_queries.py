@@ -5,7 +5,10 @@ import os
 import duckdb
 import pytest
 
+from paperloom.operators import diagnostics
+from paperloom.operators.dealing import TASK_ROWS, dealt
 from paperloom.plans import catalog
+from paperloom.plans import shapes as S
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -59,3 +62,13 @@ def test_lines_are_dealt_once(spark):
     for name in ("line_classes", "declared_counts", "segment_papers"):
         plan = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
         assert plan.count("Exchange hashpartitioning") == 1, plan
+
+
+def test_report_deals_questions_and_papers_once(spark):
+    """All rules share one deal by paper, to as many tasks as the rows need; the gate deals its papers' ids besides."""
+    plan = catalog.QUERIES["report_gate"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(paper_id") == plan.count("Exchange hashpartitioning") <= 3 and plan.count("lineitem.parquet") == 1, plan
+    size = 9 * TASK_ROWS
+    found = diagnostics.report(dealt(S.order_papers(spark, SF), "paper_id", size=size), S.order_questions(spark, SF, size))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == plan.count(", 9), REPARTITION_BY_NUM") == 2, plan
